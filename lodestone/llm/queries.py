@@ -9,7 +9,20 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .mixing import mix_sources
+from .quality import judge_documents
 from .sharding import shard_documents
+from .urlfilter import Rule, judge_urls
+
+#: Longest first is not needed: the operator orders them.
+URL_RULES = (
+    Rule("allow", "org", "/"),
+    Rule("block", "example.org", "/es/"),
+    Rule("block", "example.org", "/en/1"),
+    Rule("allow", "com", "/fr/"),
+    Rule("block", "com", "/de/"),
+)
+#: Domains of advertising, gambling, spam and adult pages.
+LISTED_DOMAINS = tuple(f"{name}.example.{top}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org"))
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,9 +40,53 @@ def op3_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics and verdict of every document."""
+    judged = judge_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_bad_lines", "bad_words"]
+    return judged.select("doc_id", *[F.col(f"quality.{c}").alias(c) for c in own])
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL."""
+    listed = spark.createDataFrame([(x,) for x in LISTED_DOMAINS], "key string")
+    judged = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, listed)
+    return judged.select(
+        "page_id", F.col("url_host").alias("host"), F.col("url_path").alias("path"),
+        F.col("url_rule").alias("rule"), F.col("url_verdict").alias("verdict"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
+    "op2_line_quality": op2_line_quality,
     "op3_ring_shards": op3_ring_shards,
+    "op7_url_filter": op7_url_filter,
 }
 
-ORACLES: dict[str, str] = {}
+def _listed_sql() -> str:
+    return ", ".join(f"'{x}'" for x in LISTED_DOMAINS)
+
+
+ORACLES: dict[str, str] = {
+    "op7_url_filter": rf"""
+        with parts as (
+            select page_id,
+                coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+                coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path
+            from pages),
+        ruled as (
+            select *, case
+                when (host = 'example.org' or ends_with(host, '.example.org')) and starts_with(path, '/en/1') then 'example.org/en/1'
+                when (host = 'example.org' or ends_with(host, '.example.org')) and starts_with(path, '/es/') then 'example.org/es/'
+                when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/fr/') then 'com/fr/'
+                when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/de/') then 'com/de/'
+                when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/') then 'org/'
+                end as rule,
+                list_has_any([array_to_string(list_slice(string_split(host, '.'), -k, -1), '.') for k in [1, 2, 3]], [{_listed_sql()}]) as listed
+            from parts)
+        select page_id, host, path, rule, case
+            when rule in ('org/', 'com/fr/') then 'allow' when rule is not null then 'block'
+            when listed then 'block' else 'allow' end as verdict
+        from ruled""",
+}
