@@ -12,6 +12,7 @@ from .common import table
 from .linededup import dedup_lines
 from .mixing import mix_sources
 from .prefix_tokens import count_tokens
+from .probminhash import near_classes
 from .quality import PHRASES, judge_documents
 from .sharding import shard_documents
 from .urlfilter import Rule, judge_urls
@@ -50,6 +51,11 @@ def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"quality.{c}").alias(c) for c in own])
 
 
+def op4_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of near copies: five-word shingles, similarity 0.8 or more."""
+    return near_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
+
+
 def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its repeated runs of 50 words or more, and the places of the lines that went."""
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=50)
@@ -84,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_line_quality": op2_line_quality,
     "op3_ring_shards": op3_ring_shards,
+    "op4_prob_minhash": op4_prob_minhash,
     "op6_line_runs": op6_line_runs,
     "op7_url_filter": op7_url_filter,
     "op10_prefix_tokens": op10_prefix_tokens,
