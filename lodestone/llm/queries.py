@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .licenses import scan_licenses
 from .linededup import dedup_lines
 from .mixing import mix_sources
+from .packing import pack_documents
 from .prefix_tokens import count_tokens
 from .probminhash import near_classes
 from .quality import PHRASES, judge_documents
@@ -71,6 +73,19 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in sequences of 512 to 4,096 words."""
+    return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every document."""
+    scanned = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scanned.select(
+        "doc_id", F.size("license_hits").alias("n_hits"), F.array_sort(F.array_distinct("license_hits.license")).alias("licenses"), "license_hits",
+    )
+
+
 def op10_prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, and how much of it fits into 4,096."""
     return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("piece_bpe_32k.model"), limit=4096).drop("text")
@@ -93,6 +108,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_prob_minhash": op4_prob_minhash,
     "op6_line_runs": op6_line_runs,
     "op7_url_filter": op7_url_filter,
+    "op8_best_fit": op8_best_fit,
+    "op9_license_scan": op9_license_scan,
     "op10_prefix_tokens": op10_prefix_tokens,
 }
 
