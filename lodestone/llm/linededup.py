@@ -24,15 +24,17 @@ from .common import BLANKS, cut, has_columns, n_words
 DOC, ROW = "run_doc", "run_row"
 
 
+def _split(text: Column) -> Column:
+    """All lines without the blanks around them; a line without a word is empty."""
+    return F.transform(F.split(text, "\n", -1), lambda x: F.trim(x, F.lit(BLANKS)))
+
+
 def _lines(text: Column) -> Column:
     """Lines with a word: place in the text (from 0), two hashes of the trimmed line, words."""
-    every = F.transform(
-        F.split(text, "\n", -1),
-        lambda x, i: F.struct(
-            i.alias("at"), F.xxhash64(F.trim(x, F.lit(BLANKS))).alias("a"), F.xxhash64(F.lit(1), F.trim(x, F.lit(BLANKS))).alias("b"), n_words(x).cast("int").alias("n"),
-        ),
-    )
-    return F.filter(every, lambda x: x["n"] > 0)
+    return F.transform(
+        F.filter(F.transform(_split(text), lambda x, i: F.struct(i.alias("at"), x.alias("line"))), lambda x: x["line"] != ""),
+        lambda x: F.struct(x["at"].alias("at"), F.xxhash64(x["line"]).alias("a"), F.xxhash64(F.lit(1), x["line"]).alias("b"), n_words(x["line"]).cast("int").alias("n")),
+    )
 
 
 def _reach(words: Column, start: Column, min_words: int) -> Column:
@@ -106,7 +108,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     keyed = docs.withColumn("row_hash", F.xxhash64("text"))
     both = keyed.join(gone, (F.col("row_hash") == F.col("gone_row")) & F.col("doc_id").eqNullSafe(F.col("gone_doc")), "left")
     lines = F.split("text", "\n", -1)
-    worded = F.filter(F.transform(lines, lambda x, i: F.when(F.regexp_count(x, F.lit("[^\\x20\\x09-\\x0D]")) > 0, i)), lambda i: i.isNotNull())
+    worded = F.filter(F.transform(_split(F.col("text")), lambda x, i: F.when(x != "", i)), lambda i: i.isNotNull())
     places = F.transform("gone_indexes", lambda k: F.element_at(F.col("worded"), k))
     some = F.col("gone_indexes").isNotNull()
     both = both.withColumn("worded", worded).withColumn("gone_lines", F.coalesce(places, F.array().cast("array<int>")))
