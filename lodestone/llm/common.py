@@ -23,16 +23,21 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows from a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and written stages that driver and executors share.
 
-    The folder is the one that the cluster names in spark.checkpoint.dir; only where that is
-    unset (tests, one machine) a temporary folder stands in.
+    It is the one that the cluster names in spark.checkpoint.dir; only where that is unset (tests,
+    one machine) a temporary folder stands in.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return str(context._jsc.sc().getCheckpointDir().get())
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows from a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

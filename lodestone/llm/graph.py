@@ -1,4 +1,4 @@
-"""Connected components of a link table, as joins over checkpointed frames."""
+"""Connected components of a link table, by contraction."""
 
 from __future__ import annotations
 
@@ -11,16 +11,29 @@ from .common import cut
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for every node of the frame's columns a and b; label is the least node of its component.
 
-    Every round takes the least label among the neighbours and then the label's own label, so that
-    long chains shrink fast. Nodes without links do not appear. Only counts come to the driver.
+    Every round points a node at the least of itself and its neighbours, follows the pointers to
+    their roots by doubling, and replaces the ends of all links by their roots; links inside a root
+    go, so that each round has fewer. A node's label is what its roots of all rounds lead to. Nodes
+    without links do not appear. Nothing but the question whether rows are left comes to the driver.
     """
-    pairs = links.where("a <> b").select("a", "b")
-    near = cut(pairs.union(pairs.select("b", "a")).distinct())
-    labels = cut(near.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("label")))
+    now = cut(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    found = None
     while True:
-        heard = near.join(labels, near["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("heard"))
-        lower = labels.join(heard, labels["node"] == heard["a"]).select("node", F.col("label").alias("was"), F.least("label", "heard").alias("label"))
-        jump = lower.select(F.col("node").alias("at"), F.col("label").alias("further"))
-        labels = cut(lower.join(jump, lower["label"] == jump["at"], "left").select("node", "was", F.coalesce("further", "label").alias("label")))
-        if labels.where("label <> was").isEmpty():
-            return labels.select("node", "label")
+        ends = now.select(F.col("a").alias("node"), F.col("a").alias("least")).union(now.select("b", "a")).union(now.select("a", "b"))
+        step = cut(ends.groupBy("node").agg(F.min("least").alias("label")).select("node", F.least("node", "label").alias("label")))
+        while True:
+            ahead = step.select(F.col("node").alias("at"), F.col("label").alias("further"))
+            jump = cut(step.join(ahead, step["label"] == ahead["at"]).select("node", F.col("label").alias("was"), F.col("further").alias("label")))
+            step, still = jump.select("node", "label"), jump.where("label <> was")
+            if still.isEmpty():
+                break
+        if found is None:
+            found = step
+        else:
+            further = step.select(F.col("node").alias("at"), F.col("label").alias("further"))
+            found = cut(found.join(further, found["label"] == further["at"], "left").select("node", F.coalesce("further", "label").alias("label")))
+        one, two = step.select(F.col("node").alias("a"), F.col("label").alias("one")), step.select(F.col("node").alias("b"), F.col("label").alias("two"))
+        moved = now.join(one, "a").join(two, "b").where("one <> two")
+        now = cut(moved.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct())
+        if now.isEmpty():
+            return found

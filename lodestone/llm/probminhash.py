@@ -6,11 +6,8 @@ that arrives first. Two documents agree in a slot with their probability Jaccard
 shingle's process ends once it is later than all slots, so that long documents cost little more
 than one arrival a shingle.
 
-Bands of slots are hashed. Documents that share a bucket are linked to its least member, and
-connected components of these links are the candidate clusters. Inside a cluster all documents are
-compared by exact shingle sets, in blocks of bounded size that tasks share; a block emits a
-spanning forest of its links, never all pairs. Components of the verified links are the classes.
-Exact copies are one node throughout.
+Bands of slots are hashed into candidate clusters, inside which exact shingle sets are compared
+in blocks of bounded size (see blocks.py). Exact copies are one node throughout.
 """
 
 from __future__ import annotations
@@ -26,8 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import classes, postings_links, text_key
 from .common import WORD, cut, has_columns
-from .graph import components
 
 
 @dataclass(frozen=True)
@@ -70,12 +67,12 @@ class Shingler:
         known = self.known
         if len(known) > 500_000:
             known.clear()
-        out = []
-        for w in words:
-            if (h := known.get(w)) is None:
-                h = known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-            out.append(h)
-        codes = np.array(out, np.uint64)
+        hashes = list(map(known.get, words))
+        if None in hashes:
+            for w in set(words).difference(known):
+                known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+            hashes = list(map(known.__getitem__, words))
+        codes = np.array(hashes, np.uint64)
         spans = max(1, len(codes) - self.width + 1)
         total = np.zeros(spans, np.uint64)
         for k in range(min(self.width, len(codes))):
@@ -115,45 +112,6 @@ def band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return total.view(np.int64)
 
 
-def spanning_links(sets: list[np.ndarray], left: int, similarity: Fraction) -> list[tuple[int, int]]:
-    """A spanning forest of the links between sets (sorted, without repeats) of at least that similarity.
-
-    Sets before index left are compared with those from left on; with left 0 all are compared with all.
-    """
-    parent = list(range(len(sets)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    num, den = similarity.numerator, similarity.denominator
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    right = np.arange(left, len(sets))
-    values = np.concatenate([sets[i] for i in right]) if len(right) else np.empty(0, np.uint64)
-    owner = np.repeat(right, sizes[right])
-    order = np.argsort(values, kind="stable")
-    values, owner = values[order], owner[order]
-    out = []
-    for i in range(left or len(sets)):
-        lo, hi = np.searchsorted(values, sets[i], "left"), np.searchsorted(values, sets[i], "right")
-        n = hi - lo
-        total = int(n.sum())
-        if not total:
-            continue
-        # The posting lists of the set's shingles, one after another.
-        at = np.arange(total) + np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n)
-        common = np.bincount(owner[at], minlength=len(sets))
-        # common / (a + b - common) >= num / den
-        for j in np.flatnonzero((den + num) * common >= num * (sizes[i] + sizes)):
-            j = int(j)
-            if j != i and sizes[j] and (a := root(i)) != (b := root(j)):
-                parent[max(a, b)] = min(a, b)
-                out.append((i, j))
-    return out
-
-
 def near_classes(docs: DataFrame, rules: NearRules | None = None) -> DataFrame:
     """doc_id, text_key, class_key and class_id for every row of docs.
 
@@ -171,7 +129,7 @@ def near_classes(docs: DataFrame, rules: NearRules | None = None) -> DataFrame:
     rules = rules or NearRules()
     slots = rules.bands * rules.rows
 
-    @F.pandas_udf("bands array<long>, shingles long")
+    @F.pandas_udf("bands array<long>, mass long")
     def marks(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(rules.width)
         for texts in parts:
@@ -198,70 +156,29 @@ def near_classes(docs: DataFrame, rules: NearRules | None = None) -> DataFrame:
                         flush()
                         mass = 0
             flush()
-            yield pd.DataFrame({"bands": bands, "shingles": sizes})
-
-    key = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    nothing = F.unhex(F.md5(F.lit("null").cast("binary")))  # nulls are a text of their own
-    keyed = docs.select("doc_id", F.when(F.col("text").isNull(), nothing).otherwise(key).alias("text_key"), "text")
-    marked = cut(keyed.withColumn("m", marks("text")).select("doc_id", "text_key", "m.bands", "m.shingles"))
-
-    # Copies of a text are equal rows here, so that the map-side sums already make them one.
-    spread = marked.select("text_key", F.explode("bands").alias("band"))
-    hubs = spread.groupBy("band").agg(F.min("text_key").alias("hub"), F.max("text_key").alias("other")).where("hub <> other").select(F.col("band").alias("hub_band"), "hub")
-    star = spread.join(hubs, spread["band"] == hubs["hub_band"]).where("text_key <> hub").select(F.col("text_key").alias("a"), F.col("hub").alias("b")).distinct()
-    clusters = components(star)
-
-    # One row per text of a cluster, with the row of documents that stands for it.
-    texts = marked.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.max("shingles").alias("shingles"))
-    members = cut(clusters.join(texts, clusters["node"] == texts["text_key"]).select("node", F.col("label").alias("cluster"), "first_id", "shingles"))
-    mass = members.groupBy("cluster").agg(F.ceil(F.sum("shingles") / rules.block_shingles).cast("int").alias("blocks")).withColumnRenamed("cluster", "mass_cluster")
-    dealt = members.join(mass, members["cluster"] == mass["mass_cluster"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("node", "first_id", "cluster", "block", "blocks")
-    whole = keyed.join(dealt, (keyed["text_key"] == dealt["node"]) & keyed["doc_id"].eqNullSafe(dealt["first_id"])).select("node", "text", "cluster", "block", "blocks")
-    units = whole.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.select("cluster", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "block", "node", "text")
+            yield pd.DataFrame({"bands": bands, "mass": sizes})
+
+    keyed = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.col("text").alias("payload"))
+    marked = cut(keyed.withColumn("m", marks("payload")).select("doc_id", "text_key", "m.bands", "m.mass"))
     similarity = Fraction(rules.similarity).limit_denominator(10_000)
+    num, den = similarity.numerator, similarity.denominator
 
-    def verified(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def links():
         shingler = Shingler(rules.width)
+        # common / (a + b - common) >= num / den
+        return lambda texts, left: postings_links([np.unique(shingler.all(t)) for t in texts], left, lambda common, size, sizes: (den + num) * common >= num * (size + sizes))
 
-        def links(unit: dict[bytes, tuple[int, str]], one: int, two: int) -> pd.DataFrame:
-            nodes = sorted(unit, key=lambda k: unit[k][0] != one)
-            sets = [np.unique(shingler.all(unit[k][1])) for k in nodes]
-            left = sum(unit[k][0] == one for k in nodes) if one != two else 0
-            found = spanning_links(sets, left, similarity) if one == two or left < len(nodes) else []
-            return pd.DataFrame([(nodes[i], nodes[j]) for i, j in found], columns=["a", "b"])
-
-        at, unit = None, {}
-        for part in parts:
-            for cluster, one, two, block, node, text in part.itertuples(index=False, name=None):
-                if at != (cluster, one, two):
-                    if len(unit) > 1:
-                        yield links(unit, *at[1:])
-                    at, unit = (cluster, one, two), {}
-                unit[node] = (block, text)
-        if len(unit) > 1:
-            yield links(unit, *at[1:])
-
-    links = units.repartition("cluster", "one", "two").sortWithinPartitions("cluster", "one", "two").mapInPandas(verified, "a binary, b binary")
-    classes = components(cut(links))
-
-    joined = marked.select("doc_id", "text_key").join(classes, F.col("text_key") == F.col("node"), "left")
-    joined = joined.select("doc_id", "text_key", F.coalesce("label", "text_key").alias("class_key"))
-    ids = joined.groupBy("class_key").agg(F.min("doc_id").alias("class_id")).withColumnRenamed("class_key", "id_key")
-    return joined.join(ids, joined["class_key"] == ids["id_key"]).select("doc_id", "text_key", "class_key", "class_id")
+    return classes(keyed, marked, links, rules.block_shingles)
 
 
 def drop_near_copies(docs: DataFrame, rules: NearRules | None = None) -> DataFrame:
     """One row of docs for each class of near_classes: the one with the least doc_id (null ids first), then text."""
-    classes = near_classes(docs, rules)
-    first = classes.groupBy("class_key").agg(F.min(F.struct("doc_id", "text_key")).alias("first")).select("first.*")
+    found = near_classes(docs, rules)
+    first = found.groupBy("class_key").agg(F.min(F.struct("doc_id", "text_key")).alias("first")).select("first.*")
     first = first.select(F.col("doc_id").alias("first_id"), F.col("text_key").alias("first_key"))
-    key = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    nothing = F.unhex(F.md5(F.lit("null").cast("binary")))
-    keyed = docs.withColumn("near_key", F.when(F.col("text").isNull(), nothing).otherwise(key))
+    keyed = docs.withColumn("near_key", text_key(F.col("text")))
     kept = keyed.join(first, (F.col("near_key") == F.col("first_key")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
     # Rows equal in doc_id and text: one of them stays.
-    if not classes.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty():
+    if not found.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id", "near_key"])
     return kept.select(*docs.columns)
