@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chroma import recording_classes
 from .common import table
 from .licenses import scan_licenses
 from .linededup import dedup_lines
@@ -58,6 +59,11 @@ def op4_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
 
 
+def op5_chroma_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, played as a recording, with its class of aligned recordings."""
+    return recording_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its repeated runs of 50 words or more, and the places of the lines that went."""
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=50)
@@ -106,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_quality": op2_line_quality,
     "op3_ring_shards": op3_ring_shards,
     "op4_prob_minhash": op4_prob_minhash,
+    "op5_chroma_classes": op5_chroma_classes,
     "op6_line_runs": op6_line_runs,
     "op7_url_filter": op7_url_filter,
     "op8_best_fit": op8_best_fit,
