@@ -1,0 +1 @@
+"""Relational operators over artifacts, sections, symbols, instructions and graphs."""

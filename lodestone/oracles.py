@@ -1,3 +1,251 @@
 """DuckDB SQL for the queries of queries.py that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from .operators.callgraph import ENTRY_NAMES, LIBRARY_NAMES, LIBRARY_PREFIXES
+from .operators.cfg import CONDITIONS, LOOPS, TRAPS
+from .operators.security import API_LISTS, FEATURES, SECTION_TOKENS, SEVERITIES, SEVERITY_SCORE, SYMBOL_TOKENS
+from .plans.bindings import APIS, MNEMONICS, SECTION_NAMES, SYMBOL_NAMES
+
+#: Expected categories, independent of the expressions under test.
+CATEGORY = {
+    "mov": "Memory", "add": "Arithmetic", "jne": "Control", "call": "Control", "ret": "Control", "jmp": "Control", "imul": "Unknown", "vaesenc": "Crypto",
+    "addps": "Arithmetic", "popcnt": "Memory", "syscall": "System", "loop": "Unknown", "lea": "Memory", "int": "System", "xor": "Logic", "je": "Control",
+    "fadd": "Float", "vmovaps": "Vector", "nop": "Unknown", "cmp": "Unknown",
+}
+
+
+def _list(names) -> str:
+    return "[" + ", ".join(f"'{n}'" for n in names) + "]"
+
+
+def _in(names) -> str:
+    return "(" + ", ".join(f"'{n}'" for n in names) + ")"
+
+
+def _map(pairs: dict[str, object], of: str) -> str:
+    return f"case {of} " + " ".join(f"when '{k}' then " + (f"'{v}'" if isinstance(v, str) else str(v)) for k, v in pairs.items()) + " end"
+
+
+DOCS = "docs as (select doc_id::varchar as artifact_id, text, hex(encode(text)) as hx from documents)"
+BYTES = "bytes as (select artifact_id, unnest(regexp_extract_all(hx, '..')) as h, generate_subscripts(regexp_extract_all(hx, '..'), 1) - 1 as pos from docs)"
+PAGE_BYTES = "bytes as (select page_id::varchar as artifact_id, unnest(regexp_extract_all(hex(encode(html)), '..')) as h from pages)"
+
+
+def _entropy(key: str, source: str = "bytes", where: str = "true") -> str:
+    """A query of key and entropy over rows with the column h."""
+    return f"""select {key}, abs(coalesce(sum(-(n / total) * log2(n / total)), 0)) as entropy from (
+        select {key}, n::double as n, sum(n) over (partition by {key})::double as total from (select {key}, h, count(*) as n from {source} where {where} group by all)) group by all"""
+
+
+WHOLE = f"whole as ({_entropy('artifact_id')})"
+LEVEL = "case when entropy > 7.8 then 'High' when entropy > 7.5 then 'Medium' when entropy > 7.0 then 'Low' else 'None' end"
+PACKER = "case when strlen(hx) < 2048 then null " + " ".join(f"when contains(substr(hx, 1, 2048), '{n.encode().hex().upper()}') then '{n}'" for n in ("UPX", "VMProtect", "Themida", "ASPack")) + " end"
+CHUNKS = "chunked as (select artifact_id, pos // 1024 as chunk, h from bytes)"
+
+
+def _byte(at: str) -> str:
+    """The byte of docs.hx at an offset, as a number; null beyond the end."""
+    digit = lambda k: f"(instr('0123456789ABCDEF', substr(hx, 2 * ({at}) + {k}, 1)) - 1)"
+    return f"(case when ({at}) >= 0 and 2 * ({at}) + 2 <= strlen(hx) then ({digit(1)} * 16 + {digit(2)})::bigint end)"
+
+
+def _number(*ats: str) -> str:
+    """Bytes from the greatest place on, as one number."""
+    return "(" + " + ".join(f"{_byte(a)} * {256 ** (len(ats) - 1 - i)}" for i, a in enumerate(ats)) + ")"
+
+
+MATCHES = f"""{DOCS}, {BYTES},
+    runs as (select artifact_id, pos, h, lead(h) over o as h2, lead(h, 2) over o as h3, lead(h, 3) over o as h4 from bytes window o as (partition by artifact_id order by pos)),
+    found as (
+        select artifact_id, 0 as pattern_idx, 'the' as name, 'Crypto' as category, pos as "offset", 3 as length, h || h2 || h3 as data from runs where h = '74' and h2 = '68' and h3 = '65'
+        union all select artifact_id, 1, 'of', 'Api', pos, 4, h || h2 || h3 || h4 from runs where h || h2 || h3 || h4 = '206F6620'
+        union all select artifact_id, 2, 'wild', 'Malware', pos, 4, h || h2 || h3 || h4 from runs where h = '74' and h2 = '68' and h4 = '20'
+        union all select artifact_id, 3, 'head', 'FileFormat', pos, 2, h || h2 from runs where pos = 0 and h || h2 = '5468'),
+    matches as (select * from (select *, row_number() over (partition by artifact_id order by pattern_idx, "offset") as k from found) where k <= 1000)"""
+
+EVENTS = "ev as (select *, (user_id % 50)::varchar as artifact_id from events)"
+IMPORTS = f"imports as (select artifact_id, event_id as ordinal, {_list(APIS)}[(event_id % {len(APIS)} + 1)::int] as name, event_type as library from ev)"
+SECTIONS = f"""sections as (select artifact_id, event_id as ordinal, {_list(SECTION_NAMES)}[(event_id % {len(SECTION_NAMES)} + 1)::int] as name, event_id * 64 as address,
+    event_id % 5 * 64 as size, event_id % 3 = 0 as w, event_id % 4 = 0 as x from ev)"""
+SYMBOLS = f"""symbols as (select artifact_id, event_id as ordinal, {_list(SYMBOL_NAMES)}[(event_id % {len(SYMBOL_NAMES)} + 1)::int] as name, user_id as address, event_id % 4 as size,
+    case when event_id % 3 = 0 then 'Object' else 'Function' end as symbol_type from ev)"""
+FEATS = "features as (select distinct artifact_id, " + ", ".join(f"artifact_id::int // {1 << k} % 2 = 1 as {c}" for k, c in enumerate(("nx_bit", "aslr", "stack_canary", "cfi", "pie"))) + " from ev)"
+RULES = "rules as (select * from (values " + ", ".join(f"('{k}', {w}::double, '{c}', '{s}', '{t}', '{a}')" for k, w, c, s, t, names in API_LISTS for a in names) + ") r(list, weight, category, severity, txt, api))"
+_any = lambda tokens: "(" + " or ".join(f"contains(lower(name), '{t}')" for t in tokens) + ")"
+FOUND = f"""found as (
+    select artifact_id, 0 as stage, ordinal, category, severity, txt || ': ' || name as description, library as location, name as data from imports join rules on name = api
+    union all select artifact_id, 1, ordinal, 'CodeInjection', 'High', 'Section ''' || name || ''' is both executable and writable (RWX)', '0x' || lower(to_hex(address)), name from sections where w and x
+    union all select artifact_id, 1, ordinal, 'Obfuscation', 'Medium', 'Suspicious section name: ' || name, '0x' || lower(to_hex(address)), name from sections where {_any(SECTION_TOKENS)}
+    union all select artifact_id, 2, ordinal, 'SuspiciousApi', 'Medium', 'Suspicious symbol: ' || name, '0x' || lower(to_hex(address)), name from symbols where {_any(SYMBOL_TOKENS)}
+    """ + " ".join(f"union all select artifact_id, 3, {i}, 'MissingSecurity', '{s}', '{t}', null, null from features where not {c}" for i, (c, s, t, _) in enumerate(FEATURES) if s) + ")"
+SECURITY = f"{EVENTS}, {IMPORTS}, {SECTIONS}, {SYMBOLS}, {FEATS}, {RULES}, {FOUND}"
+
+INSTRUCTIONS = f"""named as (
+    select (user_id % 50)::varchar as artifact_id, user_id as function_addr, row_number() over (partition by user_id order by ts, event_id) - 1 as idx,
+        {_list(MNEMONICS)}[(event_id % {len(MNEMONICS)} + 1)::int] as mnemonic, event_id * 7 % 61 * 4 as target, 'r' || json_extract_string(props, '$.k') || ', ' || event_type as regs from events),
+    instructions as (
+    select artifact_id, function_addr, idx, idx * 4 as address, mnemonic,
+        case when mnemonic in ('jne', 'je', 'jmp', 'call', 'loop') then target::varchar when mnemonic in ('ret', 'nop', 'syscall') then '' else regs end as operands,
+        case when mnemonic = 'ret' then 'Return' when mnemonic = 'call' then 'Call' when mnemonic = 'jmp' then 'Jump' when mnemonic in ('jne', 'je') then 'ConditionalJump'
+            when mnemonic in ('int', 'syscall') then 'Interrupt' else 'Sequential' end as flow_kind,
+        case when mnemonic in ('jne', 'je', 'jmp', 'call') then target end as flow_target from named)"""
+BLOCKS = f"""{INSTRUCTIONS},
+    targets as (select distinct artifact_id, function_addr, flow_target as address from instructions where flow_target is not null),
+    leaders as (
+        select i.*, (t.address is not null or idx = 0 or coalesce(lag(flow_kind) over (partition by artifact_id, function_addr order by idx) in ('Jump', 'ConditionalJump', 'Call', 'Return', 'Interrupt'), false))::int as leader
+        from instructions i left join targets t using (artifact_id, function_addr, address)),
+    blocked as (select *, (sum(leader) over (partition by artifact_id, function_addr order by idx) - 1)::int as block from leaders),
+    blocks as (
+        select artifact_id, function_addr, block, min(address) as start, max(address) + 4 as "end", count(*) as n, arg_max(flow_kind, idx) as flow_kind,
+            max(flow_target) filter (is_last) as flow_target, arg_max(mnemonic, idx) as last_mnemonic, arg_min(mnemonic, idx) as first_mnemonic
+        from (select *, idx = max(idx) over (partition by artifact_id, function_addr, block) as is_last from blocked) group by 1, 2, 3),
+    edges as (
+        select b.artifact_id, b.function_addr, b.block as src, t.block as dst, 0 as ord from blocks b join blocks t on t.artifact_id = b.artifact_id and t.function_addr = b.function_addr and t.start = b.flow_target
+        where b.flow_kind in ('Jump', 'ConditionalJump')
+        union all
+        select artifact_id, function_addr, block, block + 1, 1 from (select *, max(block) over (partition by artifact_id, function_addr) as most from blocks) where block < most and flow_kind not in ('Jump', 'Return', 'Interrupt')),
+    outs as (select artifact_id, function_addr, src as block, count(*) as out_edges from edges group by all),
+    ins as (select artifact_id, function_addr, dst as block, count(*) as in_edges from edges group by all),
+    graph as (select b.*, coalesce(out_edges, 0) as out_edges, coalesce(in_edges, 0) as in_edges from blocks b left join outs using (artifact_id, function_addr, block) left join ins using (artifact_id, function_addr, block))"""
+HALSTEAD = """ops as (select artifact_id, function_addr, count(distinct mnemonic) as n1, count(*) as big1 from instructions group by 1, 2),
+    args as (select artifact_id, function_addr, count(distinct o) as n2, count(*) as big2 from (select artifact_id, function_addr, trim(unnest(string_split(operands, ','))) as o from instructions) where o <> '' group by 1, 2),
+    halstead as (
+        select artifact_id, function_addr, n1, coalesce(n2, 0) as n2, n1 + coalesce(n2, 0) as vocabulary, big1 + coalesce(big2, 0) as length,
+            case when coalesce(n2, 0) = 0 then 'nan'::double else n1 * log2(n1) + n2 * log2(n2) end as calculated_length, (big1 + coalesce(big2, 0)) * log2(n1 + coalesce(n2, 0)) as volume,
+            case when coalesce(n2, 0) > 0 then n1 / 2.0 * (big2::double / n2) else 0.0 end as difficulty
+        from ops left join args using (artifact_id, function_addr))"""
+METRICS = f"""{BLOCKS}, {HALSTEAD},
+    marked as (
+        select b.*, mnemonic in {_in(LOOPS)} as loops, g.out_edges > 1 and idx = max(idx) over (partition by artifact_id, function_addr, block) as splits from blocked b join graph g using (artifact_id, function_addr, block)),
+    nested as (select *, coalesce(sum(loops::int + splits::int) over (partition by artifact_id, function_addr order by idx rows between unbounded preceding and 1 preceding), 0) as nest from marked),
+    cognitive as (
+        select artifact_id, function_addr, sum(((flow_kind = 'ConditionalJump')::int + (mnemonic in {_in(CONDITIONS)})::int + loops::int) * (1 + nest) + (mnemonic in {_in(TRAPS)})::int)::bigint as cognitive from nested group by 1, 2),
+    counts as (
+        select artifact_id, function_addr, count(*) as block_count, sum(out_edges)::bigint as edge_count, max(in_edges)::int as nesting_depth, (greatest(sum(out_edges) - count(*), 0) + 2)::bigint as cyclomatic from graph group by 1, 2),
+    metrics as (
+        select *, case when volume > 0 then greatest(0.0, least(100.0, 171 - 5.2 * ln(volume) - 0.23 * cyclomatic - 16.2 * ln(block_count))) end as maintainability
+        from counts join cognitive using (artifact_id, function_addr) join halstead using (artifact_id, function_addr))"""
+
+CALLS = f"""nodes as (select distinct 'a' as artifact_id, user_id as address, {_list(SYMBOL_NAMES)}[(user_id % {len(SYMBOL_NAMES)} + 1)::int] || '_' || user_id as name from events),
+    edges as (select 'a' as artifact_id, e.user_id as caller, f.user_id as callee, case when e.user_id = f.user_id then 'Recursive' else 'Direct' end as call_type from events e join events f on f.event_id = e.event_id + 1 where e.event_type = 'click'),
+    entry as (select min(user_id) as address from events)"""
+DEPTHS = """walk(address, depth) as (select address, 0 from entry union select callee, depth + 1 from walk join edges on caller = address where depth < 40),
+    depths as (select address, min(depth) as depth from walk group by 1)"""
+CLOSURE = """hops as (select distinct caller, callee from edges),
+    reach(a, b) as (select caller, callee from hops union select a, callee from reach join hops on caller = b),
+    cyclic as (select distinct a as address from reach where a = b),
+    recursive_nodes as (select address from cyclic union select a from reach join cyclic on b = address)"""
+_library = "(" + " or ".join([f"starts_with(name, '{p}')" for p in LIBRARY_PREFIXES] + [f"contains(name, '{p}')" for p in LIBRARY_NAMES]) + ")"
+_order = "[" + ", ".join(f"'{s}'" for s in SEVERITIES) + "]"
+
+ORACLES: dict[str, str] = {
+    "entropy_packing_levels": f"with {DOCS}, {BYTES}, {WHOLE} select {LEVEL} as obfuscation_level, count(*) as n, round(sum(entropy), 4) as entropy, count(*) filter (entropy > 7.5) as packed from whole group by 1",
+    "artifact_entropy": f"with {DOCS}, {BYTES}, {WHOLE} select artifact_id, round(entropy, 6) as entropy from whole",
+    "page_entropy": f"with {PAGE_BYTES}, {WHOLE} select artifact_id, round(entropy, 6) as entropy from whole",
+    "byte_frequencies": f"with {DOCS}, {BYTES} select ((instr('0123456789ABCDEF', substr(h, 1, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(h, 2, 1)) - 1)::int as byte, count(*) as n from bytes group by 1",
+    "byte_chi_square": f"""with {DOCS}, {BYTES}, c as (select artifact_id, h, count(*) as n from bytes group by 1, 2), t as (select artifact_id, sum(n) / 256.0 as want, count(*) as used from c group by 1)
+        select artifact_id, round(sum((n - want) * (n - want) / want) + (256 - any_value(used)) * any_value(want), 4) as chi_square from c join t using (artifact_id) group by 1""",
+    "chunk_entropy": f"""with {DOCS}, {BYTES}, {CHUNKS}, e as ({_entropy('artifact_id, chunk', 'chunked')})
+        select artifact_id, chunk::int as chunk, chunk * 1024 as start, least(chunk * 1024 + 1024, strlen(hx) // 2) as "end", round(entropy, 6) as entropy from e join docs using (artifact_id)""",
+    "dense_regions": f"""with {DOCS}, {BYTES}, {CHUNKS}, e as ({_entropy('artifact_id, chunk', 'chunked')})
+        select artifact_id, chunk * 1024 as start, least(chunk * 1024 + 1024, strlen(hx) // 2) as "end", round(entropy, 6) as entropy, 'High entropy region - possible obfuscation' as description
+        from e join docs using (artifact_id) where entropy > 4.5""",
+    "packing_indicators": f"""with {DOCS}, {BYTES}, {WHOLE} select artifact_id, round(entropy, 6) as entropy, entropy > 7.5 as is_packed, {PACKER} as packer_name,
+        case when entropy > 7.5 then entropy / 8 end as compression_ratio, {LEVEL} as obfuscation_level from whole join docs using (artifact_id)""",
+    "detect_formats": """with hx as (select hex(encode(text)) as h from documents union all select hex(encode(html)) from pages)
+        select case when h = '' then null when starts_with(h, '7F454C46') then 'Elf' when starts_with(h, '4D5A') then 'Pe' when substr(h, 1, 8) in ('FEEDFACE', 'FEEDFACF', 'CEFAEDFE', 'CFFAEDFE') then 'MachO'
+            when starts_with(h, 'CAFEBABE') then 'Java' when starts_with(h, '0061736D') then 'Wasm' else 'Raw' end as format, count(*) as n from hx group by 1""",
+    "parser_predicates": f"""with {DOCS} select artifact_id, starts_with(hx, '7F454C46') as is_elf, false as is_pe, substr(hx, 1, 8) in ('FEEDFACE', 'FEEDFACF', 'CEFAEDFE', 'CFFAEDFE', 'CAFEBABE', 'BEBAFECA') as is_macho,
+        starts_with(hx, 'CAFEBABE') or starts_with(hx, '504B0304') as is_java, starts_with(hx, '0061736D') as is_wasm, true as is_raw from docs""",
+    "byte_readers": f"""with {DOCS} select artifact_id, {_byte('0')} as u8, {_number('2', '1')} as u16, {_number('2', '3', '4', '5')} as u32,
+        {_number('strlen(hx) // 2 - 2', 'strlen(hx) // 2 - 1')} as last16, {_number('63', '62', '61', '60')} as u32_60 from docs""",
+    "byte_views": f"""with {DOCS} select artifact_id, case when strlen(hx) >= 22 then substr(hx, 7, 16) end as view,
+        text, starts_with(text, 'Th') as starts, contains(text, ' of ') as holds from docs""",
+    "parsed_metadata": f"""with {DOCS} select artifact_id, null::varchar as error, strlen(text)::bigint as size, 'Raw' as format, 'Unknown' as architecture, null::bigint as entry_point, 0::bigint as base_address,
+        null::varchar as compiler_info, 'Little' as endian, false as nx_bit, false as pie from docs""",
+    "parsed_sections": f"""with {DOCS} select artifact_id, 0 as ordinal, '.data' as name, 0::bigint as address, strlen(text)::bigint as size, 0::bigint as "offset", true as perm_read, false as perm_write,
+        false as perm_execute, 'Data' as section_type, case when strlen(text) <= 1024 then strlen(text)::int end as "inline" from docs""",
+    "section_entropy": f"""with {DOCS}, {BYTES}, n as (select artifact_id, strlen(text) as n from docs),
+        parts as (select artifact_id, 'body' as name, h from bytes join n using (artifact_id) where n > 100 and pos >= 100
+            union all select artifact_id, 'head', h from bytes join n using (artifact_id) where n >= 250 and pos >= 50 and pos < 250
+            union all select artifact_id, 'head', h from bytes join n using (artifact_id) where n >= 200 and n < 250 and pos < 200),
+        e as ({_entropy('artifact_id, name', 'parts')}) select artifact_id, name, round(entropy, 6) as entropy from e""",
+    "pattern_matches": f'with {MATCHES} select artifact_id, pattern_idx, name, category, "offset", length, data from matches',
+    "pattern_categories": f'with {MATCHES} select category, name, count(*) as n, count(distinct artifact_id) as artifacts, sum("offset")::bigint as offsets from matches group by 1, 2',
+    "builtin_patterns": """with t as (select html from pages), p(name, category, s, magic) as (values ('PE_MZ', 'FileFormat', 'MZ', true), ('GCC', 'Compiler', 'GCC:', false), ('MSVC', 'Compiler', 'Microsoft C/C++', false),
+            ('UPX', 'Packer', 'UPX!', false), ('Suspicious_API', 'Malware', 'VirtualAllocEx', false), ('CreateProcess', 'Api', 'CreateProcessA', false))
+        select name, category, sum(case when magic then starts_with(html, s)::bigint else (length(html) - length(replace(html, s, ''))) // length(s) end)::bigint as n from t, p
+        where (magic and starts_with(html, s)) or (not magic and contains(html, s)) group by 1, 2""",
+    "top_pattern_categories": f"""with {MATCHES}, totals as (select category, count(*) as n from matches group by 1),
+        ranked as (select *, row_number() over (partition by category order by artifact_id, pattern_idx, "offset")::int as rank from matches)
+        select category, n, rank, artifact_id, name, "offset" from ranked join totals using (category) where rank <= 5""",
+    "overlapping_counts": f"""with {DOCS}, {BYTES}, runs as (select artifact_id, h, lead(h) over o as h2, lead(h, 2) over o as h3, lead(h, 3) over o as h4 from bytes window o as (partition by artifact_id order by pos)),
+        c as (select artifact_id, count(*) filter (h || h2 || h3 = '746865') as the, count(*) filter (h || h2 = '7468' and h3 is not null and h4 = '20') as wild from runs group by 1)
+        select artifact_id, coalesce(the, 0) as the, coalesce(wild, 0) as wild from docs left join c using (artifact_id)""",
+    "printable_strings": r"""select doc_id::varchar as artifact_id, (generate_subscripts(regexp_extract_all(text, '[\x20-\x7e]{12,}'), 1) - 1)::int as ordinal, unnest(regexp_extract_all(text, '[\x20-\x7e]{12,}')) as text from documents""",
+    "string_indicators": r"""with t as (select doc_id::varchar as artifact_id, text as x from documents union all select 'p' || page_id, html from pages),
+        f as (select artifact_id, 'url' as kind, unnest(regexp_extract_all(x, '(?:https?|ftp)://[\x21\x23-\x26\x28-\x3b\x3d\x3f-\x7e]+')) as value from t
+            union all select artifact_id, 'email', unnest(regexp_extract_all(x, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')) from t)
+        select artifact_id, kind, value, count(*) as n from f group by 1, 2, 3""",
+    "security_findings": f"with {SECURITY} select artifact_id, stage, ordinal::bigint as ordinal, category, severity, description, location, data from found",
+    "security_severities": f"with {SECURITY} select severity, count(*) as n, (list_position({_order}, severity) - 1)::bigint as rank from found group by 1",
+    "security_indicators": f"with {EVENTS}, {IMPORTS}, {RULES} select artifact_id, list, list(name order by ordinal, name) as names from imports join rules on name = api group by 1, 2",
+    "risk_scores": f"""with ev as (select *, (user_id % 50)::varchar || '/' || event_id // 97 as artifact_id from events), {IMPORTS}, {SECTIONS}, {SYMBOLS},
+        ids as (select distinct artifact_id, split_part(artifact_id, '/', 1)::int as k from imports),
+        features as (select artifact_id, {", ".join(f"k // {1 << i} % 2 = 1 as {c}" for i, c in enumerate(("nx_bit", "aslr", "stack_canary", "cfi", "pie")))} from ids), {RULES}, {FOUND},
+        points as (select artifact_id, weight as p from imports join rules on name = api union all select artifact_id, {_map(SEVERITY_SCORE, 'severity')}::double from found
+            union all select artifact_id, {" + ".join(f"case when {c} then 0.0 else {n} end" for c, _, _, n in FEATURES)} from features),
+        scores as (select artifact_id, least(100.0, sum(p) / 2)::double as risk from points group by 1)
+        select artifact_id, risk, case when risk <= 25 then 'Low' when risk <= 50 then 'Medium' when risk <= 75 then 'High' else 'Critical' end as level from scores""",
+    "instruction_classes": f"with {INSTRUCTIONS} select mnemonic, {_map(CATEGORY, 'mnemonic')} as category, flow_kind, count(*) as n, sum(flow_target)::bigint as targets from instructions group by 1, 2, 3",
+    "category_shares": f"with {INSTRUCTIONS}, c as (select {_map(CATEGORY, 'mnemonic')} as category, count(*) as n from instructions group by 1) select category, n, round(n * 100.0::double / sum(n) over (), 6) as percent from c",
+    "top_mnemonics": f"with {INSTRUCTIONS} select mnemonic, count(*) as n from instructions group by 1 order by 2 desc, 1 limit 10",
+    "instruction_totals": f"with {INSTRUCTIONS} select count(*) as n, 4.0::double as avg_size, count(*) filter (flow_kind in ('Jump', 'ConditionalJump')) as jumps, count(*) filter (flow_kind = 'Call') as calls from instructions",
+    "basic_blocks": f"with {BLOCKS} select * from blocks",
+    "cfg_edges": f"with {BLOCKS} select artifact_id, function_addr, src, dst, ord from edges",
+    "block_types": f"""with {BLOCKS} select artifact_id, function_addr, block, case when block = 0 then 'Entry' when out_edges = 0 then 'Exit' when flow_kind = 'Return' then 'Return' when flow_kind = 'Call' then 'Call'
+        when flow_kind = 'ConditionalJump' then 'Conditional' else 'Normal' end as block_type, out_edges::int as out_edges, in_edges::int as in_edges from graph""",
+    "function_complexity": f"""with {METRICS} select artifact_id, function_addr, block_count, edge_count, cyclomatic, nesting_depth, cognitive, case when cyclomatic between 1 and 10 then 'Low' when cyclomatic between 11 and 20 then 'Moderate'
+        when cyclomatic between 21 and 50 then 'High' else 'Very High' end as level, round(maintainability, 6) as maintainability from metrics""",
+    "halstead_metrics": f"""with {INSTRUCTIONS}, {HALSTEAD} select artifact_id, function_addr, n1, n2, vocabulary, length, round(calculated_length, 6) as calculated_length, round(volume, 6) as volume,
+        round(difficulty, 6) as difficulty, round(difficulty * volume, 3) as effort, round(volume / 3000, 6) as bugs from halstead""",
+    "cognitive_summary": f"""with {METRICS} select artifact_id, sum(cognitive)::bigint as total, round(avg(cognitive), 6) as average, max(cognitive) as most, case when max(cognitive) > 0 then
+        (list(function_addr order by cognitive desc, function_addr))[1] end as most_complex, count(*) as functions from metrics group by 1""",
+    "top_functions": f"with {METRICS} select function_addr, cyclomatic, block_count from metrics order by cyclomatic desc, function_addr limit 5",
+    "cfg_dot": f"""with {BLOCKS}, lines as (select artifact_id, function_addr, 0 as part, block as a, 0 as b, '  bb' || block || ' [label="0x' || lower(to_hex(start)) || '"];' as line from blocks
+            union all select artifact_id, function_addr, 1, src, ord, '  bb' || src || ' -> bb' || dst || ';' from edges)
+        select artifact_id, function_addr, 'digraph CFG {{' || chr(10) || string_agg(line, chr(10) order by part, a, b) || chr(10) || '}}' || chr(10) as dot from lines group by 1, 2""",
+    "located_points": f"""with {EVENTS}, {SECTIONS}, p as (select artifact_id, event_id * 64 + 32 as point from ev)
+        select p.artifact_id, point, ordinal, name as section from p join sections s on s.artifact_id = p.artifact_id and point >= address and point < address + size
+        qualify rank() over (partition by p.artifact_id, point order by ordinal) = 1""",
+    "first_text_sections": f"with {EVENTS}, {SECTIONS} select artifact_id, min(ordinal) as ordinal, arg_min(address, ordinal) as address, arg_min(size, ordinal) as size from sections where name = '.text' group by 1",
+    "call_graph_functions": f"""with {EVENTS}, {SYMBOLS}, f as (select artifact_id, address as start, min(ordinal) as ordinal, arg_min(name, ordinal) as name, arg_min(size, ordinal) as size
+            from symbols where symbol_type = 'Function' and size > 0 group by 1, 2)
+        select artifact_id, start, ordinal, name, size::bigint as size from f union all select distinct artifact_id, artifact_id::bigint + 100000, -1, '_start', 1000 from ev""",
+    "imports_by_library": f"with {EVENTS}, {IMPORTS} select artifact_id, library, count(*) as n, string_agg(name, ',' order by name) as names from imports group by 1, 2",
+    "nation_diff": """with a as (select s_nationkey as key, count(*) as n from supplier group by 1), b as (select c_nationkey as key, count(*) as n from customer where c_acctbal > 0 group by 1)
+        select key, case when a.n is null then 'added' when b.n is null then 'removed' when a.n = b.n then 'same' else 'changed' end as status, a.n as old, b.n as "new" from a full join b using (key)""",
+    "library_functions": f"""with {EVENTS}, {SYMBOLS} select name, {_library} as is_library, case name when '_ZN3foo3barEv' then 'foo::bar()' end as demangled, count(*) as n from symbols group by 1, 2, 3""",
+    "call_degrees": f"""with {CALLS} select artifact_id, address, name, (select count(*) from edges where callee = address) as in_degree, (select count(*) from edges where caller = address) as out_degree from nodes""",
+    "call_node_types": f"""with {CALLS} select address, name, case when address = (select address from entry) or name in {_in(ENTRY_NAMES)} then 'EntryPoint' when address % 3 = 0 then 'External'
+        when {_library} then 'Library' else 'Internal' end as node_type from nodes""",
+    "call_depths": f"with recursive {CALLS}, {DEPTHS} select address, depth from depths",
+    "recursive_functions": f"with recursive {CALLS}, {CLOSURE} select 'a' as artifact_id, address from recursive_nodes",
+    "unreachable_functions": f"with recursive {CALLS}, {DEPTHS} select address, name from nodes where address not in (select address from depths)",
+    "call_statistics": f"""with recursive {CALLS}, {DEPTHS}, {CLOSURE}, n as (select address, depth, address in (select address from recursive_nodes) as rec, address in (select caller from edges) as calls_any from nodes left join depths using (address))
+        select 'a' as artifact_id, count(*) as functions, count(*) filter (rec) as recursive_functions, count(*) filter (not calls_any) as leaf_functions, count(*) filter (depth is null) as unreachable_functions,
+            coalesce(max(depth), 0)::int as max_depth, round(coalesce(avg(depth), 0), 6) as avg_depth, count(*) filter (rec) as cyclic_dependencies, (select count(*) from edges) as calls,
+            (select count(*) from edges where call_type = 'Direct') as direct_calls, 0::bigint as indirect_calls, 1::bigint as entry_points from n""",
+    "instruction_calls": f"""with {INSTRUCTIONS}, known as (select distinct artifact_id, idx * 4 as address from instructions),
+        direct as (select case when flow_target = function_addr then 'Recursive' else 'Direct' end as call_type, flow_target as callee from instructions i where flow_kind = 'Call' and exists (select 1 from known k where k.artifact_id = i.artifact_id and k.address = flow_target)),
+        last as (select * from instructions qualify idx = max(idx) over (partition by artifact_id, function_addr)),
+        tails as (select 'TailCall', flow_target from last i where flow_kind = 'Jump' and flow_target <> function_addr and exists (select 1 from known k where k.artifact_id = i.artifact_id and k.address = flow_target))
+        select call_type, callee, count(*) as n from (select * from direct union all select * from tails) group by 1, 2""",
+    "metadata_json": """select doc_id::varchar as artifact_id, '{"artifact_id":"' || doc_id || '","length":' || strlen(text) || '}' as json, strlen(text)::bigint as read_length from documents""",
+    "hourly_events": "select date_trunc('hour', ts)::timestamp as hour, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",
+    "user_sessions": """with g as (select user_id, ts, case when ts >= lag(ts) over o + interval 30 minutes or lag(ts) over o is null then 1 else 0 end as fresh from events window o as (partition by user_id order by ts)),
+        s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from g) select user_id, min(ts) as started, count(*) as n from s group by user_id, k""",
+    "artifact_triage": f"""with {PAGE_BYTES}, {WHOLE}, p as (select page_id::varchar as artifact_id, html, hex(encode(html)) as hx from pages)
+        select artifact_id, 'Raw' as format, strlen(html)::bigint as length, round(entropy, 6) as entropy, {LEVEL} as level, {PACKER} as packer_name from p join whole using (artifact_id)""",
+}
