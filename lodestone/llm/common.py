@@ -41,6 +41,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bytes of texts that a Python worker is given at a time.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(df: DataFrame) -> None:
+    """Bounds the session's Arrow batches by bytes, so that long texts cannot fill a Python worker; a smaller bound stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        now = int(conf.get(key))
+    except ValueError:  # with a unit
+        now = BATCH_BYTES + 1
+    if now < 1 or now > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+
+
 def has_columns(df: DataFrame, *names: str) -> None:
     """Raises ValueError where a column that the operator reads is missing."""
     if missing := [x for x in names if x not in df.columns]:

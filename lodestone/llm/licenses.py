@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, has_columns
+from .common import WORD, bounded_batches, has_columns
 
 #: Public license notices as projects print them.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -81,7 +81,7 @@ class WindowScanner:
     def codes(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the plain words, and the places of these among all words of the text."""
         words, known = _words(text or ""), self.known
-        if len(known) > 500_000:
+        if len(known) > 200_000:
             known.clear()
         hashes = list(map(known.get, words))
         if None in hashes:
@@ -161,6 +161,7 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
     name is replaced.
     """
     has_columns(docs, "text")
+    bounded_batches(docs)
     rules = rules or ScanRules()
 
     @F.pandas_udf("array<struct<template int, license string, first_word long, n_words long, containment double>>")

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import has_columns
+from .common import bounded_batches, has_columns
 
 MARK = "▁"
 #: Chunks up to so many characters are remembered, in at most so many prefix states.
@@ -205,6 +205,7 @@ def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096, prefixes:
     A null text counts as an empty one: 0 tokens. Existing columns of these names are replaced.
     """
     has_columns(docs, "text")
+    bounded_batches(docs)
     schema = "n_bytes long, n_tokens long, over_limit boolean, fit_chars long" + ", prefix_tokens array<int>" * prefixes
     names = [x.split()[0] for x in schema.split(", ")]
 

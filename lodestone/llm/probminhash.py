@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import classes, postings_links, text_key
-from .common import WORD, cut, has_columns
+from .common import WORD, bounded_batches, cut, has_columns
 
 
 @dataclass(frozen=True)
@@ -65,7 +65,7 @@ class Shingler:
         if not words:
             return np.empty(0, np.uint64)
         known = self.known
-        if len(known) > 500_000:
+        if len(known) > 200_000:
             known.clear()
         hashes = list(map(known.get, words))
         if None in hashes:
@@ -126,6 +126,7 @@ def near_classes(docs: DataFrame, rules: NearRules | None = None) -> DataFrame:
     an empty table.
     """
     has_columns(docs, "doc_id", "text")
+    bounded_batches(docs)
     rules = rules or NearRules()
     slots = rules.bands * rules.rows
 
@@ -152,7 +153,7 @@ def near_classes(docs: DataFrame, rules: NearRules | None = None) -> DataFrame:
                     sizes[i] = len(items)
                     held.append((i, items, 1.0 + np.log(counts)))
                     mass += len(items) + slots
-                    if mass > 1_500_000:
+                    if mass > 400_000:
                         flush()
                         mass = 0
             flush()

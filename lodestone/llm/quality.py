@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, has_columns
+from .common import WORD, bounded_batches, has_columns
 
 SYMBOLS = "#*$%&|<>"
 BLANK = " \t\n\x0b\x0c\r"
@@ -141,6 +141,7 @@ def judge_documents(docs: DataFrame, rules: LineRules | None = None) -> DataFram
     repeat are judged alike. An existing column named quality is replaced.
     """
     has_columns(docs, "text")
+    bounded_batches(docs)
     rules = rules or LineRules()
 
     @F.pandas_udf(SCHEMA)
