@@ -20,6 +20,10 @@ from .common import cut
 from .graph import components
 
 
+#: Rows of cluster members that are broadcast at most.
+BROADCAST_ROWS = 250_000
+
+
 def text_key(text: Column) -> Column:
     """MD5 of the text as bytes; all nulls have a key of their own."""
     key = F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
@@ -70,18 +74,21 @@ def classes(keyed: DataFrame, marked: DataFrame, links: Callable[[], Callable[[l
     keyed: doc_id, text_key and payload, what is compared. marked: doc_id, text_key, bands (hashes,
     array of long) and mass. links() gives a function of payloads and left (see postings_links).
     """
-    # Copies of a text are equal rows here, so that the map-side sums already make them one.
-    spread = marked.select("text_key", F.explode("bands").alias("band"))
-    hubs = spread.groupBy("band").agg(F.min("text_key").alias("hub"), F.max("text_key").alias("other")).where("hub <> other").select(F.col("band").alias("hub_band"), "hub")
-    star = spread.join(hubs, spread["band"] == hubs["hub_band"]).where("text_key <> hub").select(F.col("text_key").alias("a"), F.col("hub").alias("b")).distinct()
+    # Half a key is enough here: two texts that share it share a cluster, where whole keys tell them apart.
+    # Copies of a text are equal rows, so that the map-side sums already make them one.
+    spread = marked.select(F.xxhash64("text_key").alias("text_id"), F.explode("bands").alias("band"))
+    hubs = spread.groupBy("band").agg(F.min("text_id").alias("hub"), F.max("text_id").alias("other")).where("hub <> other").select(F.col("band").alias("hub_band"), "hub")
+    star = spread.join(hubs, spread["band"] == hubs["hub_band"]).where("text_id <> hub").select(F.col("text_id").alias("a"), F.col("hub").alias("b")).distinct()
     clusters = components(star)
 
     # One row per text of a cluster, with the row of documents that stands for it.
     texts = marked.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.max("mass").alias("mass"))
-    members = cut(clusters.join(texts, clusters["node"] == texts["text_key"]).select("node", F.col("label").alias("cluster"), "first_id", "mass"))
+    members = cut(clusters.join(texts, clusters["node"] == F.xxhash64(texts["text_key"])).select(F.col("text_key").alias("node"), F.col("label").alias("cluster"), "first_id", "mass"))
     mass = members.groupBy("cluster").agg(F.greatest(F.lit(1), F.ceil(F.sum("mass") / block_mass)).cast("int").alias("blocks")).withColumnRenamed("cluster", "mass_cluster")
     dealt = members.join(mass, members["cluster"] == mass["mass_cluster"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.select("node", "first_id", "cluster", "block", "blocks")
+    if members.count() <= BROADCAST_ROWS:  # rows of about 60 bytes; beyond that the payloads are shuffled to them
+        dealt = F.broadcast(dealt)
     whole = keyed.join(dealt, (keyed["text_key"] == dealt["node"]) & keyed["doc_id"].eqNullSafe(dealt["first_id"])).select("node", "payload", "cluster", "block", "blocks")
     units = whole.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = units.select("cluster", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "block", "node", "payload")
@@ -109,7 +116,9 @@ def classes(keyed: DataFrame, marked: DataFrame, links: Callable[[], Callable[[l
     pairs = units.repartition("cluster", "one", "two").sortWithinPartitions("cluster", "one", "two").mapInPandas(verified, "a binary, b binary")
     labels = components(cut(pairs))
 
+    # Class ids come from one row a text; both sides of the last join are exchanges, so that Spark can split a large class.
+    by_text = texts.select("text_key", "first_id").join(labels, F.col("text_key") == F.col("node"), "left")
+    ids = cut(by_text.groupBy(F.coalesce("label", "text_key").alias("id_key")).agg(F.min("first_id").alias("class_id")))
     joined = marked.select("doc_id", "text_key").join(labels, F.col("text_key") == F.col("node"), "left")
     joined = joined.select("doc_id", "text_key", F.coalesce("label", "text_key").alias("class_key"))
-    ids = joined.groupBy("class_key").agg(F.min("doc_id").alias("class_id")).withColumnRenamed("class_key", "id_key")
     return joined.join(ids, joined["class_key"] == ids["id_key"]).select("doc_id", "text_key", "class_key", "class_id")
