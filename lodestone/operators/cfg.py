@@ -58,10 +58,18 @@ def edges(block_rows: DataFrame) -> DataFrame:
 
 def graph(block_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
     """Blocks with successors (in order), predecessors (sorted) and block_type."""
-    out = edge_rows.groupBy(*KEY, F.col("src").alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "dst"))), lambda x: x["dst"]).alias("successors"))
-    into = edge_rows.groupBy(*KEY, F.col("dst").alias("block")).agg(F.array_sort(F.collect_list("src")).alias("predecessors"))
+    nobody = F.lit(None).cast("int")
+
+    def end(block: str, to: Column, origin: Column) -> Column:
+        return F.struct(F.col(block).alias("block"), to.alias("to"), origin.alias("from"))
+
+    # Both ends of an edge meet in one aggregate, so that there is one shuffle and one join.
+    ends = edge_rows.select(*KEY, F.explode(F.array(end("src", F.col("dst"), nobody), end("dst", nobody, F.col("src")))).alias("e"), "ord")
+    ends = ends.select(*KEY, "e.*", "ord")
+    step = F.when(F.col("to").isNotNull(), F.struct("ord", "to"))
+    met = ends.groupBy(*KEY, "block").agg(F.transform(F.array_sort(F.collect_list(step)), lambda x: x["to"]).alias("successors"), F.array_sort(F.collect_list("from")).alias("predecessors"))
     none = F.array().cast("array<int>")
-    g = block_rows.join(out, [*KEY, "block"], "left").join(into, [*KEY, "block"], "left")
+    g = block_rows.join(met, [*KEY, "block"], "left")
     g = g.withColumns({"successors": F.coalesce("successors", none), "predecessors": F.coalesce("predecessors", none)})
     return g.withColumn("block_type", block_type())
 
