@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,25 +35,31 @@ def disassemble(code: DataFrame, most: int = 10_000) -> DataFrame:
     flow_target, size, category and engine; for an architecture without an engine one row with
     error and no mnemonic.
     """
-    schema = "array<struct<idx int, address long, bytes binary, mnemonic string, operands string, flow_kind string, flow_target long, size int, engine string, error string>>"
+    fields = [("artifact_id", pa.string()), ("function_addr", pa.int64()), ("idx", pa.int32()), ("address", pa.int64()), ("bytes", pa.binary()), ("mnemonic", pa.string()),
+              ("operands", pa.string()), ("flow_kind", pa.string()), ("flow_target", pa.int64()), ("size", pa.int32()), ("engine", pa.string()), ("error", pa.string())]
+    names = {pa.string(): "string", pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
 
-    @F.pandas_udf(schema)
-    def decoded(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for architectures, addresses, contents in parts:
-            out = []
-            for architecture, address, content in zip(architectures, addresses, contents, strict=True):
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+
+    def decoded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for part in parts:
+            for artifact, function, architecture, address, content in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 if (engine := ENGINES.get(architecture)) is None:
-                    out.append([{"error": f"no engine for {architecture}"}])
+                    rows.append((artifact, function, *[None] * 9, f"no engine for {architecture}"))
                     continue
-                address, data = int(address) & (1 << 64) - 1, bytes(content or b"")
-                out.append([
-                    {"idx": k, "address": _signed(i.address), "bytes": data[i.address - address : i.address - address + i.size], "mnemonic": i.mnemonic, "operands": i.operands,
-                     "flow_kind": i.flow, "flow_target": _signed(i.target), "size": i.size, "engine": "x86", "error": None}
-                    for k, i in enumerate(engine(data, address, most))
-                ])
-            yield pd.Series(out, dtype=object)
-
-    rows = code.select("artifact_id", "function_addr", F.explode(decoded("architecture", "address", "data")).alias("i")).select("artifact_id", "function_addr", "i.*")
+                start, data = address & (1 << 64) - 1, content or b""
+                for k, i in enumerate(engine(data, start, most)):
+                    at = i.address - start
+                    rows.append((artifact, function, k, _signed(i.address), data[at : at + i.size], i.mnemonic, i.operands, i.flow, _signed(i.target), i.size, "x86", None))
+                    if len(rows) >= 50_000:
+                        yield batch(rows)
+                        rows.clear()
+        if rows:
+            yield batch(rows)
+
+    rows = code.select("artifact_id", "function_addr", "architecture", "address", "data").mapInArrow(decoded, ", ".join(f"{n} {names[t]}" for n, t in fields))
     return rows.withColumn("category", F.when(F.col("mnemonic").isNotNull(), category("mnemonic")))
 
 
