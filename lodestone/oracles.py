@@ -248,4 +248,19 @@ ORACLES: dict[str, str] = {
         s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as k from g) select user_id, min(ts) as started, count(*) as n from s group by user_id, k""",
     "artifact_triage": f"""with {PAGE_BYTES}, {WHOLE}, p as (select page_id::varchar as artifact_id, html, hex(encode(html)) as hx from pages)
         select artifact_id, 'Raw' as format, strlen(html)::bigint as length, round(entropy, 6) as entropy, {LEVEL} as level, {PACKER} as packer_name from p join whole using (artifact_id)""",
+    "hexdumps": f"""with {DOCS}, {BYTES}, cells as (select artifact_id, pos, lower(h) as h, case when h between '20' and '7E' then chr(((instr('0123456789ABCDEF', substr(h, 1, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(h, 2, 1)) - 1)::int) else '.' end as c from bytes),
+        lines as (select artifact_id, pos // 16 as k, lpad(lower(to_hex(pos // 16 * 16)), 8, '0') || ': ' || rpad(coalesce(string_agg(h || ' ', '' order by pos) filter (pos % 16 < 8), ''), 24, ' ') || ' '
+            || rpad(coalesce(string_agg(h || ' ', '' order by pos) filter (pos % 16 >= 8), ''), 24, ' ') || ' |' || string_agg(c, '' order by pos) || '|' as line from cells group by 1, 2)
+        select artifact_id, string_agg(line, chr(10) order by k) as dump from lines group by 1""",
+    "capped_instructions": f"with {INSTRUCTIONS} select function_addr, count(*) as n, max(idx) as last from instructions where idx < 20 group by 1",
+    "split_instructions": f"with {INSTRUCTIONS} select mnemonic, operands, count(*) as n from instructions group by 1, 2",
+    "call_graph_dot": f"""with {CALLS}, n as (select address, '  "0x' || lower(to_hex(address)) || '" [label="' || name || '\\n0x' || lower(to_hex(address)) || '", fillcolor="' || case when address = (select address from entry) or name in {_in(ENTRY_NAMES)}
+            then 'lightgreen' when {_library} then 'lightblue' else 'lightgray' end || '"];' as line from nodes qualify row_number() over (order by address) <= 1000),
+        m as (select caller, callee, call_type, count(*) as k from edges where caller in (select address from n) and callee in (select address from n) group by 1, 2, 3),
+        e as (select *, '  "0x' || lower(to_hex(caller)) || '" -> "0x' || lower(to_hex(callee)) || '" [label="' || k || '"' || case call_type when 'Recursive' then ', color=green, style=bold' else '' end || '];' as line from m)
+        select 'a' as artifact_id, concat('digraph CallGraph {{', chr(10), '  rankdir=TB;', chr(10), '  node [shape=box, style=filled];', chr(10), '  edge [arrowhead=normal];', chr(10), chr(10), (select string_agg(line, chr(10) order by address) from n), chr(10), chr(10),
+            (select string_agg(line, chr(10) order by caller, callee, call_type) from e), chr(10), '}}', chr(10)) as dot""",
+    "call_graph_json": f"""with {CALLS}, sites as (select e.user_id as caller, f.user_id as callee, case when e.user_id = f.user_id then 'Recursive' else 'Direct' end as call_type, e.event_id as site from events e join events f on f.event_id = e.event_id + 1 where e.event_type = 'click')
+        select 'a' as artifact_id, concat('{{"nodes":[', (select string_agg(concat('{{"address":', address, ',"name":"', name, '"}}'), ',' order by address) from nodes), '],"edges":[',
+            (select string_agg(concat('{{"caller":', caller, ',"callee":', callee, ',"call_type":"', call_type, '","site":', site, '}}'), ',' order by caller, callee, call_type, site) from sites), ']}}') as json""",
 }

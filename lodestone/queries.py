@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import binary
-from .functions.instructions import complexity_level
+from .functions.instructions import complexity_level, split_text
 from .operators import callgraph, cfg, detect, disasm, entropy, export, patterns, security, strings
 from .operators import instructions as instr
 from .operators import sections as sec
@@ -233,6 +233,19 @@ def instruction_totals(spark, sf):
     return instr.totals(b.instructions(spark, sf))
 
 
+@query
+def capped_instructions(spark, sf):
+    i = instr.capped(b.instructions(spark, sf), 20)
+    return i.groupBy("function_addr").agg(F.count(F.lit(1)).alias("n"), F.max("idx").cast("long").alias("last"))
+
+
+@query
+def split_instructions(spark, sf):
+    i = b.instructions(spark, sf)
+    parts = split_text(F.concat(F.lit(" "), "mnemonic", F.lit(" "), "operands"))
+    return i.groupBy(parts["mnemonic"].alias("mnemonic"), parts["operands"].alias("operands")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def basic_blocks(spark, sf):
     return cfg.blocks(cfg.with_blocks(b.instructions(spark, sf)))
