@@ -118,6 +118,13 @@ class Analysis:
     def call_statistics(self) -> DataFrame:
         return callgraph.statistics(self.call_graph, self.call_edges, self.entries)
 
+    @cached_property
+    def function_report(self) -> DataFrame:
+        """Functions with their complexity and their place in the call graph."""
+        measures = self.complexity.withColumnRenamed("function_addr", "start")
+        calls = self.call_graph.select("artifact_id", F.col("address").alias("start"), "node_type", "in_degree", "out_degree", "is_recursive", "depth")
+        return self.functions.join(measures, ["artifact_id", "start"], "left").join(calls, ["artifact_id", "start"], "left")
+
     @cached_property
     def section_entropy(self) -> DataFrame:
         return entropy.section_entropy(self.artifacts, self.sections)

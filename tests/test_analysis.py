@@ -48,6 +48,8 @@ def test_analyzer(files):
     assert ("pe", "SuspiciousApi", "Suspicious API call: VirtualAllocEx") in found and ("elf", "MissingSecurity", "ASLR not enabled") in found
     assert all(0 <= r.risk <= 100 for r in a.risk.collect())
     assert a.call_graph.where("artifact_id = 'elf'").count() >= 1 and a.call_statistics.count() >= 1
+    report = a.function_report.where("artifact_id = 'elf' and name = 'main'").first()
+    assert report.cyclomatic == 2 and report.node_type == "EntryPoint" and report.depth == 0
     assert a.packing.count() == 7 and a.instruction_totals().first().n >= 6
     assert a.loops.count() == 0 and a.dominators.count() == a.cfg.count()
 
