@@ -149,7 +149,8 @@ def judge_documents(docs: DataFrame, rules: LineRules | None = None) -> DataFram
         out = pd.DataFrame([judge(t, rules) for t in texts], columns=[x.split()[0] for x in SCHEMA.split(", ")])
         return out.astype({"base_failed": bool, "kept": bool}) if len(out) else out
 
-    return docs.withColumn("quality", quality(F.col("text")))
+    # Marked as such so that Spark runs it once, and not again for a filter on its result.
+    return docs.withColumn("quality", quality.asNondeterministic()(F.col("text")))
 
 
 def clean_documents(docs: DataFrame, rules: LineRules | None = None) -> DataFrame:
