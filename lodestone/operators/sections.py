@@ -10,12 +10,20 @@ def locate(points: DataFrame, sections: DataFrame, point: str) -> DataFrame:
     """Points (artifact_id, the column point) with the first section, by ordinal, whose addresses hold them.
 
     Sections: artifact_id, ordinal, name, address, size. Points in no section are left out. The
-    join is on artifact_id with the range as a residual: an artifact has tens of sections.
+    join is an equi-join on bins: a section lies in at most two bins of the least power of two
+    that is no smaller than it, and a point in one bin of each such width that occurs (64 at most).
     """
-    s = sections.select(F.col("artifact_id").alias("s_id"), "ordinal", F.col("name").alias("section"), "address", F.col("size").alias("section_size"))
-    held = points.join(s, (F.col("artifact_id") == F.col("s_id")) & (F.col(point) >= F.col("address")) & (F.col(point) < F.col("address") + F.col("section_size")))
+    level = F.ceil(F.log2("size")).cast("int")
+    s = sections.where("size > 0").select(F.col("artifact_id").alias("s_id"), "ordinal", F.col("name").alias("section"), "address", F.col("size").alias("section_size"), level.alias("s_level"))
+    levels = sorted(r[0] for r in s.select("s_level").distinct().collect())
+    shifted = lambda at, by: F.call_function("shiftright", at, by)
+    last = F.col("address") + F.col("section_size") - 1
+    s = s.withColumn("s_bin", F.explode(F.array_distinct(F.array(shifted(F.col("address"), F.col("s_level")), shifted(last, F.col("s_level"))))))
+    p = points.withColumn("p_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("p_bin", shifted(F.col(point), F.col("p_level")))
+    held = p.join(s, (F.col("artifact_id") == F.col("s_id")) & (F.col("p_level") == F.col("s_level")) & (F.col("p_bin") == F.col("s_bin")))
+    held = held.where((F.col(point) >= F.col("address")) & (F.col(point) < F.col("address") + F.col("section_size")))
     first = Window.partitionBy("artifact_id", point).orderBy("ordinal")
-    return held.withColumn("_k", F.rank().over(first)).where("_k = 1").drop("_k", "s_id")
+    return held.withColumn("_k", F.rank().over(first)).where("_k = 1").drop("_k", "s_id", "p_level", "p_bin", "s_level", "s_bin")
 
 
 def file_offsets(points: DataFrame, sections: DataFrame, point: str) -> DataFrame:
