@@ -19,6 +19,7 @@ import math
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,9 @@ from .common import cut, has_columns, n_words
 #: Rows of a bucket on average; a cell (one source in one bucket) has fewer.
 ROWS_PER_BUCKET = 4096
 MIN_BUCKETS = 256
+#: Sources whose sums the driver takes at most.
+MOST_SOURCES = 100_000
+BLOCKS = pa.schema([("source", pa.string()), ("source_size", pa.int64()), ("target", pa.float64()), ("block", pa.int64()), ("times", pa.int64()), ("before", pa.int64())])
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], max_repeats: int) -> list[float]:
@@ -155,8 +159,15 @@ def mix_sources(
             whole["source"] = whole["source"].astype(object).where(whole["source"].notna(), None)
             yield plan_blocks(whole, weights, house, shards, max_repeats, seed, min_block)
 
-    # One row per source meets in this one task; the blocks it returns are at most house + sources.
-    plan = cut(totals.coalesce(1).mapInPandas(planned, "source string, source_size long, target double, block long, times long, before long"))
+    # One row per source meets in one place, the driver or beyond MOST_SOURCES a task; the blocks are at most house + sources.
+    schema = "source string, source_size long, target double, block long, times long, before long"
+    few = totals.limit(MOST_SOURCES + 1).collect()
+    if len(few) <= MOST_SOURCES:
+        rows = list(planned(iter([pd.DataFrame(few, columns=["source", "source_size"])])))
+        plan = docs.sparkSession.createDataFrame(pa.Table.from_pandas(rows[0], BLOCKS, preserve_index=False) if rows else BLOCKS.empty_table())
+    else:
+        plan = totals.coalesce(1).mapInPandas(planned, schema)
+    plan = cut(plan)
     small = plan.count() <= 2 * house
     near = F.broadcast if small else (lambda x: x)
 
