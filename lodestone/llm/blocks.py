@@ -68,18 +68,32 @@ def postings_links(sets: list[np.ndarray], left: int, enough: Callable[[np.ndarr
     return out
 
 
-def classes(keyed: DataFrame, marked: DataFrame, links: Callable[[], Callable[[list, int], list[tuple[int, int]]]], block_mass: int) -> DataFrame:
+def agreeing(star: DataFrame, marked: DataFrame, share: float) -> DataFrame:
+    """The links of star whose ends' sketches (a byte for each slot) agree in at least that share of slots."""
+    own = marked.groupBy(F.xxhash64("text_key").alias("id")).agg(F.first("sketch").alias("sketch"))
+
+    @F.pandas_udf("boolean")
+    def agree(one: pd.Series, two: pd.Series) -> pd.Series:
+        return pd.Series([bool(np.mean(np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)) >= share) for x, y in zip(one, two, strict=True)], dtype=bool)
+
+    both = star.join(own.select(F.col("id").alias("a"), F.col("sketch").alias("one")), "a").join(own.select(F.col("id").alias("b"), F.col("sketch").alias("two")), "b")
+    return both.where(agree("one", "two")).select("a", "b")
+
+
+def classes(keyed: DataFrame, marked: DataFrame, links: Callable[[], Callable[[list, int], list[tuple[int, int]]]], block_mass: int, agreement: float | None = None) -> DataFrame:
     """doc_id, text_key, class_key and class_id for every row of marked.
 
     keyed: doc_id, text_key and payload, what is compared. marked: doc_id, text_key, bands (hashes,
     array of long) and mass. links() gives a function of payloads and left (see postings_links).
+    With agreement, marked has sketch too, and a document joins a bucket's least member only if
+    their sketches agree in that share of slots: bands of few slots then do not chain strangers.
     """
     # Half a key is enough here: two texts that share it share a cluster, where whole keys tell them apart.
     # Copies of a text are equal rows, so that the map-side sums already make them one.
     spread = marked.select(F.xxhash64("text_key").alias("text_id"), F.explode("bands").alias("band"))
     hubs = spread.groupBy("band").agg(F.min("text_id").alias("hub"), F.max("text_id").alias("other")).where("hub <> other").select(F.col("band").alias("hub_band"), "hub")
     star = spread.join(hubs, spread["band"] == hubs["hub_band"]).where("text_id <> hub").select(F.col("text_id").alias("a"), F.col("hub").alias("b")).distinct()
-    clusters = components(star)
+    clusters = components(star if agreement is None else agreeing(star, marked, agreement))
 
     # One row per text of a cluster, with the row of documents that stands for it.
     texts = marked.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.max("mass").alias("mass"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import classes, postings_links, text_key
-from .common import cut, has_columns
+from .common import bounded_batches, cut, has_columns
 from .probminhash import band_hashes, signatures
 
 
@@ -32,8 +32,11 @@ class ChromaRules:
     hits: float = 0.6
     #: Differing bits at the best offset, as a share.
     errors: float = 0.15
-    bands: int = 48
-    rows: int = 2
+    #: Recordings that match share hits / (2 - hits) = 0.43 of their integers at least; a pair misses all bands with probability 0.005.
+    bands: int = 64
+    rows: int = 3
+    #: Share of slots in which a document and a bucket's least member must agree: 5 standard deviations under 0.43.
+    agreement: float = 0.25
     #: Integers in a block of a candidate cluster, about.
     block_codes: int = 1 << 14
     seed: int = 23
@@ -157,20 +160,23 @@ def recording_classes(docs: DataFrame, rules: ChromaRules | None = None) -> Data
     their copies. Rows that repeat each give a row. An empty table gives an empty table.
     """
     has_columns(docs, "doc_id", "text")
+    bounded_batches(docs)
     rules = rules or ChromaRules()
     slots = rules.bands * rules.rows
 
-    @F.pandas_udf("bands array<long>, mass long, n_frames long")
+    @F.pandas_udf("bands array<long>, sketch binary, mass long, n_frames long")
     def marks(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
             bands: list = [[]] * len(texts)
+            sketches = [b""] * len(texts)
             mass, frames, held, weight = [0] * len(texts), [0] * len(texts), [], 0
 
-            def flush(held=held, bands=bands) -> None:
+            def flush(held=held, bands=bands, sketches=sketches) -> None:
                 if held:
                     sets = [x[1] for x in held]
-                    for (i, _), row in zip(held, band_hashes(signatures(sets, [np.ones(len(x)) for x in sets], slots, rules.seed), rules.bands, rules.rows), strict=True):
-                        bands[i] = row
+                    found = signatures(sets, [np.ones(len(x)) for x in sets], slots, rules.seed)
+                    for (i, _), row, winners in zip(held, band_hashes(found, rules.bands, rules.rows), found, strict=True):
+                        bands[i], sketches[i] = row, (winners * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.uint8).tobytes()
                     held.clear()
 
             for i, text in enumerate(texts):
@@ -180,14 +186,14 @@ def recording_classes(docs: DataFrame, rules: ChromaRules | None = None) -> Data
                 if len(own):
                     held.append((i, np.unique(own).astype(np.uint64)))
                     weight += len(own) + slots
-                if weight > 1_500_000:
+                if weight > 400_000:
                     flush()
                     weight = 0
             flush()
-            yield pd.DataFrame({"bands": bands, "mass": mass, "n_frames": frames})
+            yield pd.DataFrame({"bands": bands, "sketch": sketches, "mass": mass, "n_frames": frames})
 
     keyed = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.col("text").alias("payload"))
-    marked = cut(keyed.withColumn("m", marks("payload")).select("doc_id", "text_key", "m.bands", "m.mass", "m.n_frames"))
+    marked = cut(keyed.withColumn("m", marks("payload")).select("doc_id", "text_key", "m.bands", "m.sketch", "m.mass", "m.n_frames"))
 
     def links():
         def compare(texts: list, left: int) -> list[tuple[int, int]]:
@@ -204,6 +210,6 @@ def recording_classes(docs: DataFrame, rules: ChromaRules | None = None) -> Data
 
         return compare
 
-    found = classes(keyed, marked.select("doc_id", "text_key", "bands", "mass"), links, rules.block_codes)
+    found = classes(keyed, marked.select("doc_id", "text_key", "bands", "sketch", "mass"), links, rules.block_codes, rules.agreement)
     sizes = marked.groupBy("text_key").agg(F.max("n_frames").alias("n_frames"), F.max("mass").alias("n_codes")).withColumnRenamed("text_key", "size_key")
     return found.join(sizes, found["text_key"] == sizes["size_key"]).select("doc_id", "n_frames", "n_codes", "class_id")
