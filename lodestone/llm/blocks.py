@@ -80,17 +80,23 @@ def agreeing(star: DataFrame, marked: DataFrame, share: float) -> DataFrame:
     return both.where(agree("one", "two")).select("a", "b")
 
 
-def classes(keyed: DataFrame, marked: DataFrame, links: Callable[[], Callable[[list, int], list[tuple[int, int]]]], block_mass: int, agreement: float | None = None) -> DataFrame:
+def classes(keyed: DataFrame, marked: DataFrame, links: Callable[[], Callable[[list, int], list[tuple[int, int]]]], block_mass: int, agreement: float | None = None, many_bands: bool = False) -> DataFrame:
     """doc_id, text_key, class_key and class_id for every row of marked.
 
     keyed: doc_id, text_key and payload, what is compared. marked: doc_id, text_key, bands (hashes,
     array of long) and mass. links() gives a function of payloads and left (see postings_links).
     With agreement, marked has sketch too, and a document joins a bucket's least member only if
     their sketches agree in that share of slots: bands of few slots then do not chain strangers.
+    With many_bands the rows are made one a text before their bands are spread, which moves the
+    arrays once and the bands once instead of the bands twice.
     """
     # Half a key is enough here: two texts that share it share a cluster, where whole keys tell them apart.
     # Copies of a text are equal rows, so that the map-side sums already make them one.
     spread = marked.select(F.xxhash64("text_key").alias("text_id"), F.explode("bands").alias("band"))
+    if many_bands:
+        # One row a text first, then one shuffle that both the aggregate and the join below read.
+        single = marked.groupBy(F.xxhash64("text_key").alias("text_id")).agg(F.first("bands").alias("bands"))
+        spread = single.select("text_id", F.explode("bands").alias("band")).repartition("band")
     hubs = spread.groupBy("band").agg(F.min("text_id").alias("hub"), F.max("text_id").alias("other")).where("hub <> other").select(F.col("band").alias("hub_band"), "hub")
     star = spread.join(hubs, spread["band"] == hubs["hub_band"]).where("text_id <> hub").select(F.col("text_id").alias("a"), F.col("hub").alias("b")).distinct()
     clusters = components(star if agreement is None else agreeing(star, marked, agreement))

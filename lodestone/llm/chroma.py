@@ -210,6 +210,6 @@ def recording_classes(docs: DataFrame, rules: ChromaRules | None = None) -> Data
 
         return compare
 
-    found = classes(keyed, marked.select("doc_id", "text_key", "bands", "sketch", "mass"), links, rules.block_codes, rules.agreement)
+    found = classes(keyed, marked.select("doc_id", "text_key", "bands", "sketch", "mass"), links, rules.block_codes, rules.agreement, many_bands=True)
     sizes = marked.groupBy("text_key").agg(F.max("n_frames").alias("n_frames"), F.max("mass").alias("n_codes")).withColumnRenamed("text_key", "size_key")
     return found.join(sizes, found["text_key"] == sizes["size_key"]).select("doc_id", "n_frames", "n_codes", "class_id")
