@@ -22,6 +22,8 @@ from .graph import components
 
 #: Rows of cluster members that are broadcast at most.
 BROADCAST_ROWS = 250_000
+#: Texts in a block of a bucket, about; a task holds the sketches of two blocks.
+BUCKET_ROWS = 1 << 12
 
 
 def text_key(text: Column) -> Column:
@@ -68,16 +70,69 @@ def postings_links(sets: list[np.ndarray], left: int, enough: Callable[[np.ndarr
     return out
 
 
-def agreeing(star: DataFrame, marked: DataFrame, share: float) -> DataFrame:
-    """The links of star whose ends' sketches (a byte for each slot) agree in at least that share of slots."""
+def sketch_links(sketches: np.ndarray, joined: np.ndarray, block: np.ndarray | None, share: float) -> list[tuple[int, int]]:
+    """A spanning forest of the rows of sketches that agree in at least that share of slots.
+
+    Rows marked joined are connected from the start. With block (0 or 1 for each row) only rows of
+    different blocks are compared.
+    """
+    label = np.where(joined, -1, np.arange(len(sketches)))
+    out = []
+    for i in np.flatnonzero(~joined):
+        others = label != label[i]
+        if block is not None:
+            others &= block != block[i]
+        near = np.flatnonzero(others)
+        near = near[(sketches[near] == sketches[i]).mean(axis=1) >= share]
+        found, first = np.unique(label[near], return_index=True)
+        out += [(int(i), int(j)) for j in near[first]]
+        label[np.isin(label, found)] = label[i]
+    return out
+
+
+def agreeing(star: DataFrame, marked: DataFrame, share: float, block_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Links a, b that connect all texts of a bucket whose sketches (a byte for each slot) agree in at least that share of slots.
+
+    star: band, size, a and b, a row for each text a of a bucket of that size and the bucket's
+    least member b. Members that disagree with the least one are compared with all others of the
+    bucket, in blocks of bounded size, so that a stranger as least member parts no two that agree.
+    """
     own = marked.groupBy(F.xxhash64("text_key").alias("id")).agg(F.first("sketch").alias("sketch"))
 
     @F.pandas_udf("boolean")
     def agree(one: pd.Series, two: pd.Series) -> pd.Series:
         return pd.Series([bool(np.mean(np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)) >= share) for x, y in zip(one, two, strict=True)], dtype=bool)
 
-    both = star.join(own.select(F.col("id").alias("a"), F.col("sketch").alias("one")), "a").join(own.select(F.col("id").alias("b"), F.col("sketch").alias("two")), "b")
-    return both.where(agree("one", "two")).select("a", "b")
+    both = star.select("a", "b").distinct().join(own.select(F.col("id").alias("a"), F.col("sketch").alias("one")), "a").join(own.select(F.col("id").alias("b"), F.col("sketch").alias("two")), "b")
+    judged = cut(both.select("a", "b", agree("one", "two").alias("joined")))
+
+    # Only a bucket with a member that failed, and with another one besides the least, has pairs left.
+    open_ = cut(star.where("size > 2").join(judged, ["a", "b"]).select("band", "a", "joined"))
+    left = open_.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("joined").alias("whole")).where("not whole and n > 1")
+    left = left.select(F.col("band").alias("left_band"), F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
+    members = open_.join(left, open_["band"] == left["left_band"]).join(own, F.col("a") == F.col("id")).withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    units = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = units.select("band", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "block", "a", "joined", "sketch")
+
+    def compared(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def found(unit: list[tuple], one: int, two: int) -> pd.DataFrame:
+            sketches = np.frombuffer(b"".join(r[3] for r in unit), np.uint8).reshape(len(unit), -1)
+            pairs = sketch_links(sketches, np.array([r[2] for r in unit], bool), np.array([r[0] for r in unit]) if one != two else None, share)
+            return pd.DataFrame([(unit[i][1], unit[j][1]) for i, j in pairs], columns=["a", "b"], dtype="int64")
+
+        at, unit = None, []
+        for part in parts:
+            for band, one, two, *row in part.itertuples(index=False, name=None):
+                if at != (band, one, two):
+                    if len(unit) > 1:
+                        yield found(unit, *at[1:])
+                    at, unit = (band, one, two), []
+                unit.append(row)
+        if len(unit) > 1:
+            yield found(unit, *at[1:])
+
+    more = units.repartition("band", "one", "two").sortWithinPartitions("band", "one", "two").mapInPandas(compared, "a long, b long")
+    return judged.where("joined").select("a", "b").union(more)
 
 
 def classes(keyed: DataFrame, marked: DataFrame, links: Callable[[], Callable[[list, int], list[tuple[int, int]]]], block_mass: int, agreement: float | None = None, many_bands: bool = False) -> DataFrame:
@@ -85,8 +140,8 @@ def classes(keyed: DataFrame, marked: DataFrame, links: Callable[[], Callable[[l
 
     keyed: doc_id, text_key and payload, what is compared. marked: doc_id, text_key, bands (hashes,
     array of long) and mass. links() gives a function of payloads and left (see postings_links).
-    With agreement, marked has sketch too, and a document joins a bucket's least member only if
-    their sketches agree in that share of slots: bands of few slots then do not chain strangers.
+    With agreement, marked has sketch too, and documents of a bucket are linked only if their
+    sketches agree in that share of slots: bands of few slots then do not chain strangers.
     With many_bands the rows are made one a text before their bands are spread, which moves the
     arrays once and the bands once instead of the bands twice.
     """
@@ -97,9 +152,9 @@ def classes(keyed: DataFrame, marked: DataFrame, links: Callable[[], Callable[[l
         # One row a text first, then one shuffle that both the aggregate and the join below read.
         single = marked.groupBy(F.xxhash64("text_key").alias("text_id")).agg(F.first("bands").alias("bands"))
         spread = single.select("text_id", F.explode("bands").alias("band")).repartition("band")
-    hubs = spread.groupBy("band").agg(F.min("text_id").alias("hub"), F.max("text_id").alias("other")).where("hub <> other").select(F.col("band").alias("hub_band"), "hub")
-    star = spread.join(hubs, spread["band"] == hubs["hub_band"]).where("text_id <> hub").select(F.col("text_id").alias("a"), F.col("hub").alias("b")).distinct()
-    clusters = components(star if agreement is None else agreeing(star, marked, agreement))
+    hubs = spread.groupBy("band").agg(F.min("text_id").alias("hub"), F.max("text_id").alias("other"), F.count(F.lit(1)).alias("size")).where("hub <> other").select(F.col("band").alias("hub_band"), "hub", "size")
+    star = spread.join(hubs, spread["band"] == hubs["hub_band"]).where("text_id <> hub").select("band", "size", F.col("text_id").alias("a"), F.col("hub").alias("b"))
+    clusters = components(star.select("a", "b").distinct() if agreement is None else agreeing(cut(star), marked, agreement))
 
     # One row per text of a cluster, with the row of documents that stands for it.
     texts = marked.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.max("mass").alias("mass"))

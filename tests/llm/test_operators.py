@@ -10,7 +10,7 @@ import pytest
 import re
 from pyspark.sql import functions as F
 
-from lodestone.llm import chroma, licenses, linededup, mixing, packing, prefix_tokens, probminhash, quality, sharding, urlfilter
+from lodestone.llm import blocks, chroma, licenses, linededup, mixing, packing, prefix_tokens, probminhash, quality, sharding, urlfilter
 from lodestone.llm.graph import components
 from lodestone.llm.queries import LISTED_DOMAINS, ORACLES, QUERIES, URL_RULES, tokenizer
 
@@ -245,6 +245,33 @@ def test_recording_classes(edges, nothing, spark):
     assert chroma.recording_classes(nothing).count() == 0
 
 
+def test_a_strangers_bucket_parts_no_pair(spark):
+    # Keys in the order of the ids that buckets are led by: the first is the stranger.
+    keys = [bytes(r.key) for r in spark.range(8).select(F.md5(F.col("id").cast("string")).cast("binary").alias("key")).orderBy(F.xxhash64("key")).collect()]
+    stranger, other, half = bytes(100), bytes([1]) * 100, bytes(30) + bytes([2]) * 70
+    # The one that agrees with the leader too (a third of its slots) is compared with those that do not.
+    sketches, payloads = [stranger, other, other, bytes([5]) * 100, half, bytes([2]) * 100, stranger, bytes([6]) * 100], ["s", "x", "x", "t", "y", "y", "u", "v"]
+    keyed = spark.createDataFrame([(i, k, p) for i, (k, p) in enumerate(zip(keys, payloads, strict=True))], "doc_id long, text_key binary, payload string")
+    marked = spark.createDataFrame([(i, k, [7], x, 10) for i, (k, x) in enumerate(zip(keys, sketches, strict=True))], "doc_id long, text_key binary, bands array<long>, sketch binary, mass long")
+    equal = lambda: lambda texts, left: [(i, j) for i in range(left or len(texts)) for j in range(left or i + 1, len(texts)) if texts[i] == texts[j]]
+    for many in (False, True):
+        got = {r.doc_id: r.class_id for r in blocks.classes(keyed, marked, equal, 1000, 0.25, many_bands=many).collect()}
+        assert got == {0: 0, 1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6, 7: 7}
+    # Any size of block gives the components of all pairs that agree.
+    r = np.random.default_rng(3)
+    own = r.integers(0, 3, (60, 40), dtype=np.uint8)
+    ids = [x.a for x in spark.createDataFrame([(bytes([i]),) for i in range(60)], "k binary").select(F.xxhash64("k").alias("a")).collect()]
+    hub = min(ids)
+    star = spark.createDataFrame([(1, 60, i, hub) for i in ids if i != hub], "band long, size long, a long, b long")
+    mine = spark.createDataFrame([(bytes([i]), own[i].tobytes()) for i in range(60)], "text_key binary, sketch binary")
+    for share in (0.5, 0.55):
+        want = slow_classes([(i, str(i)) for i in range(60)], lambda i, j: (own[i] == own[j]).mean() >= share)
+        for rows in (7, 1000):
+            links = {(ids.index(x.a), ids.index(x.b)) for x in blocks.agreeing(star, mine, share, rows).collect()}
+            assert slow_classes([(i, str(i)) for i in range(60)], lambda i, j: (i, j) in links or (j, i) in links) == want
+        assert 1 < len(set(want)) < 60
+
+
 # 6 Line runs
 
 
