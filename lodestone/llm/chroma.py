@@ -32,11 +32,11 @@ class ChromaRules:
     hits: float = 0.6
     #: Differing bits at the best offset, as a share.
     errors: float = 0.15
-    #: Recordings that match share hits / (2 - hits) = 0.43 of their integers at least; a pair misses all bands with probability 0.005.
-    bands: int = 64
-    rows: int = 3
-    #: Share of slots in which a document and a bucket's least member must agree: 5 standard deviations under 0.43.
-    agreement: float = 0.25
+    #: Recordings that match share hits / (2 - hits) = 0.43 of their items (see items) at least; a pair misses all bands with probability 9.5e-6.
+    bands: int = 57
+    rows: int = 2
+    #: Share of slots in which two documents of a bucket must agree: 5 standard deviations under 0.43.
+    agreement: float = 0.2
     #: Integers in a block of a candidate cluster, about.
     block_codes: int = 1 << 14
     seed: int = 23
@@ -109,6 +109,14 @@ def codes(frames: np.ndarray, rules: ChromaRules) -> np.ndarray:
     return out
 
 
+def items(own: np.ndarray) -> np.ndarray:
+    """The integers as a sorted set of (occurrence, integer): n equal positions of two recordings are n common items, repeats included."""
+    ordered = np.sort(own)
+    starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(own) else np.empty(0, np.int64)
+    occurrence = np.arange(len(own)) - np.repeat(starts, np.diff(np.append(starts, len(own))))
+    return np.sort(occurrence.astype(np.uint64) << np.uint64(32) | ordered.astype(np.uint64))
+
+
 def offsets(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Histogram of equal integers by offset: entry k counts the pairs a[i] == b[j] with i - j = k - (len(b) - 1)."""
     total = np.zeros(len(a) + len(b) - 1, np.int64)
@@ -184,7 +192,7 @@ def recording_classes(docs: DataFrame, rules: ChromaRules | None = None) -> Data
                 own = codes(sound, rules)
                 frames[i], mass[i] = len(sound), len(own)
                 if len(own):
-                    held.append((i, np.unique(own).astype(np.uint64)))
+                    held.append((i, items(own)))
                     weight += len(own) + slots
                 if weight > 400_000:
                     flush()
@@ -198,13 +206,10 @@ def recording_classes(docs: DataFrame, rules: ChromaRules | None = None) -> Data
     def links():
         def compare(texts: list, left: int) -> list[tuple[int, int]]:
             own = [codes(word_frames(t), rules) for t in texts]
-            sets = [np.unique(x).astype(np.uint64) for x in own]
-            # Integers that match at one offset are common to both, each as often as it repeats.
-            most = np.array([int(np.unique(x, return_counts=True)[1].max(initial=1)) for x in own])
-            lengths = np.array([len(x) for x in own])
+            sets = [items(x) for x in own]
 
             def enough(common: np.ndarray, size: int, sizes: np.ndarray) -> np.ndarray:
-                return common * most >= rules.hits * lengths
+                return common >= rules.hits * np.maximum(size, sizes)
 
             return postings_links(sets, left, enough, lambda i, j: matches(own[i], own[j], rules))
 

@@ -245,6 +245,28 @@ def test_recording_classes(edges, nothing, spark):
     assert chroma.recording_classes(nothing).count() == 0
 
 
+def test_recordings_of_repeated_lines(spark):
+    # Six pairs and a trio share 70 refrains of 10 words and nothing else; two more share half of one text.
+    r = np.random.default_rng(6)
+    rows = []
+    for k in range(7):
+        line = prose(400 + k, 10, 10)
+        for _ in range(2 + (k == 6)):
+            rows.append((len(rows), "\n".join([line] * 70 + [" ".join("".join(r.choice(list("abcdefghijklmnop"), 7)) for _ in range(300))])))
+    rows += [(90, prose(410, 200) + "\n" + prose(411, 200)), (91, prose(410, 200) + "\n" + prose(412, 200))]
+    rules = chroma.ChromaRules()
+    own = [chroma.codes(chroma.word_frames(t), rules) for _, t in rows]
+    matched = [(i, j) for i in range(len(rows)) for j in range(i) if chroma.matches(own[i], own[j], rules)]
+    assert len(matched) >= 7 and all(len(np.intersect1d(own[i], own[j])) < 0.1 * len(np.union1d(own[i], own[j])) for i, j in matched)
+    for i, j in matched:
+        assert len(np.intersect1d(chroma.items(own[i]), chroma.items(own[j]))) >= rules.hits * max(len(own[i]), len(own[j]))
+    want = slow_classes(rows, lambda i, j: (i, j) in matched)
+    got = {x.doc_id: x.class_id for x in chroma.recording_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i, _ in rows] == [rows[w][0] for w in want]
+    # A pair at the least share of items misses all bands with a probability near 1e-5.
+    assert (1 - (rules.hits / (2 - rules.hits)) ** rules.rows) ** rules.bands < 1.1e-5
+
+
 def test_a_strangers_bucket_parts_no_pair(spark):
     # Keys in the order of the ids that buckets are led by: the first is the stranger.
     keys = [bytes(r.key) for r in spark.range(8).select(F.md5(F.col("id").cast("string")).cast("binary").alias("key")).orderBy(F.xxhash64("key")).collect()]
