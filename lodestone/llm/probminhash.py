@@ -2,7 +2,9 @@
 
 A document is a set of five-word shingles, each weighted 1 + ln(count). Every shingle is a Poisson
 process of that rate: its arrivals fall on slots of the signature, and a slot keeps the shingle
-that arrives first. Two documents agree in a slot with their probability Jaccard similarity. A
+that arrives first. Two documents agree in a slot with their probability Jaccard similarity,
+which falls below set Jaccard where a shingle repeats more often in one of them; so every document
+has the signature of equal weights too, whose slots agree with set Jaccard. A
 shingle's process ends once it is later than all slots, so that long documents cost little more
 than one arrival a shingle.
 
@@ -29,7 +31,7 @@ from .common import WORD, bounded_batches, cut, has_columns
 
 @dataclass(frozen=True)
 class NearRules:
-    """Shingles, signature and verification. At similarity 0.8 a pair misses all 32 bands of 5 slots with probability 3e-6."""
+    """Shingles, signature and verification. At set similarity 0.8 a pair misses all 32 bands of 5 slots of equal weights with probability 3e-6, whatever repeats."""
 
     width: int = 5
     similarity: float = 0.8
@@ -142,7 +144,7 @@ def near_classes(docs: DataFrame, rules: NearRules | None = None) -> DataFrame:
                 if held:
                     hashes = band_hashes(signatures([x[1] for x in held], [x[2] for x in held], slots, rules.seed), rules.bands, rules.rows)
                     for (i, _, _), row in zip(held, hashes, strict=True):
-                        bands[i] = row
+                        bands[i] = np.union1d(bands[i], row) if len(bands[i]) else row
                     held.clear()
 
             mass = 0
@@ -151,8 +153,11 @@ def near_classes(docs: DataFrame, rules: NearRules | None = None) -> DataFrame:
                 if len(every):
                     items, counts = np.unique(every, return_counts=True)
                     sizes[i] = len(items)
-                    held.append((i, items, 1.0 + np.log(counts)))
+                    held.append((i, items, np.ones(len(items))))
                     mass += len(items) + slots
+                    if counts.max() > 1:  # else both signatures are one
+                        held.append((i, items, 1.0 + np.log(counts)))
+                        mass += len(items) + slots
                     if mass > 400_000:
                         flush()
                         mass = 0

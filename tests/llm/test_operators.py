@@ -201,6 +201,21 @@ def test_probability_jaccard():
     assert (probminhash.signatures([one], [w1], 64, 3) == probminhash.signatures([one], [w1 * 7.5], 64, 3)).all()
 
 
+def test_near_copies_with_unequal_repeats(spark):
+    # Pairs of set similarity 0.82 to 0.83; in one text of each the middle is repeated 100 times.
+    rows = []
+    for k in range(40):
+        own = [prose(500 + 3 * k + i, n, n).replace(".", f"x{k}").split(" ") for i, n in enumerate((10, 110, 10))]
+        middle = [f"{w}{k}" for w in own[1]]
+        rows.append((2 * k, " ".join(own[0][:4] + middle + own[0][4:])))
+        rows.append((2 * k + 1, " ".join(middle + own[2][4:] + ["\n"] + middle[40:70] * 100)))
+    sets = [shingles(t) for _, t in rows]
+    similar = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, 80, 2)]
+    assert min(similar) >= 0.8 and max(similar) < 0.9
+    got = {r.doc_id: r.class_id for r in probminhash.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(80)}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 102), (7, 7)]
     got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
