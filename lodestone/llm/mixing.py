@@ -2,11 +2,12 @@
 
 Each source is a stream of words: its documents in a seeded hash order. The stream is cut into
 blocks of equally many words. The mix has a fixed number of seats (the house); a seat is one
-block taken once. Sources win seats by the highest quotients target / (2 * seats + 1). A source's
+block taken once. Sources win seats by the highest quotients target / (2 * seats + 1). Sources of
+few blocks have shorter blocks of their own, and as many seats as their target is worth. A source's
 seats go to its shards in the same way, and inside a shard a seeded order picks the blocks.
 
 Only sums leave the documents: one row per (source, bucket) cell, one per source, and the block
-table, whose size is bounded by house + number of sources however large the corpus is. Offsets
+table, whose size is bounded by house + 8 * number of sources, about, however large the corpus is. Offsets
 in a stream come from two levels (sums of cells, then a window inside a cell), so that no task
 ever holds a whole source.
 """
@@ -30,7 +31,9 @@ ROWS_PER_BUCKET = 4096
 MIN_BUCKETS = 256
 #: Sources whose sums the driver takes at most.
 MOST_SOURCES = 100_000
-BLOCKS = pa.schema([("source", pa.string()), ("source_size", pa.int64()), ("target", pa.float64()), ("block", pa.int64()), ("times", pa.int64()), ("before", pa.int64())])
+#: Blocks of a source: one that would have fewer than the first gets as many of its own length; where the house has no room, the second at least.
+OWN_BLOCKS, LEAST_OWN_BLOCKS = 64, 8
+BLOCKS = pa.schema([("source", pa.string()), ("source_size", pa.int64()), ("target", pa.float64()), ("length", pa.int64()), ("block", pa.int64()), ("times", pa.int64()), ("before", pa.int64())])
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], max_repeats: int) -> list[float]:
@@ -76,7 +79,7 @@ def _order(seed: int, source: str | None, block: int) -> bytes:
 
 
 def plan_blocks(sources: pd.DataFrame, weights: Sequence[float], house: int, shards: int, max_repeats: int, seed: int, min_block: int) -> pd.DataFrame:
-    """The block table: source, source_size, target, block, times, before (words taken in the source's blocks before it).
+    """The block table: source, source_size, target, length (words of the source's blocks), block, times, before (words taken in the source's blocks before it).
 
     sources has source and source_size, one row each. Every source has at least the row of block 0.
     """
@@ -85,10 +88,17 @@ def plan_blocks(sources: pd.DataFrame, weights: Sequence[float], house: int, sha
     total = sum(sizes)
     length = block_length(total, house, min_block)
     want = targets(sizes, [weights[i % len(weights)] for i in range(len(rows))], max_repeats)
-    blocks = [-(-n // length) for n in sizes]
-    seats = sainte_lague(want, round(total / length), [max_repeats * n for n in blocks])
+    fewest = max(LEAST_OWN_BLOCKS, min(OWN_BLOCKS, house // max(1, len(rows))))
+    lengths = [min(length, max(1, -(-n // fewest))) for n in sizes]
+    blocks = [-(-n // own) for n, own in zip(sizes, lengths, strict=True)]
+    # Sources with shorter blocks have their seats to themselves; a seat counts as the source's mean block, as its last one is short.
+    seats = [0 if own == length else min(max_repeats * n, round(w * n / size)) if size else 0 for w, n, size, own in zip(want, blocks, sizes, lengths, strict=True)]
+    shared = [i for i, own in enumerate(lengths) if own == length]
+    votes = [want[i] * blocks[i] / sizes[i] if sizes[i] else 0.0 for i in shared]
+    for i, q in zip(shared, sainte_lague(votes, round(sum(votes)), [max_repeats * blocks[i] for i in shared]), strict=True):
+        seats[i] = q
     out: list[tuple] = []
-    for (source, size), target, n, q in zip(rows, want, blocks, seats, strict=True):
+    for (source, size), target, own, n, q in zip(rows, want, lengths, blocks, seats, strict=True):
         parts = [len(range(j, n, shards)) for j in range(shards)]
         times = [0] * n
         for j, quota in enumerate(sainte_lague(parts, q, [max_repeats * p for p in parts])):
@@ -100,9 +110,9 @@ def plan_blocks(sources: pd.DataFrame, weights: Sequence[float], house: int, sha
         before = 0
         for b in range(max(n, 1)):
             k = times[b] if n else 0
-            out.append((source, int(size), target, b, k, before))
-            before += k * min(length, int(size) - b * length)
-    return pd.DataFrame(out, columns=["source", "source_size", "target", "block", "times", "before"])
+            out.append((source, int(size), target, own, b, k, before))
+            before += k * min(own, int(size) - b * own)
+    return pd.DataFrame(out, columns=["source", "source_size", "target", "length", "block", "times", "before"])
 
 
 def block_length(total: int, house: int, min_block: int = 1) -> int:
@@ -110,9 +120,9 @@ def block_length(total: int, house: int, min_block: int = 1) -> int:
     return max(min_block, math.ceil(total / house), 1)
 
 
-def _quotient(x: Column, by: int) -> Column:
+def _quotient(x: Column, by: int | Column) -> Column:
     """x div by in whole numbers."""
-    return F.call_function("div", x, F.lit(by).cast("long"))
+    return F.call_function("div", x, (by if isinstance(by, Column) else F.lit(by)).cast("long"))
 
 
 def mix_sources(
@@ -133,8 +143,9 @@ def mix_sources(
     word is taken, at most max_repeats: for callers that take whole documents). Columns of
     these names are replaced.
 
-    The block size is ceil(all words / house), at least min_block. A source's taken words differ
-    from its target by about one block.
+    The block size is ceil(all words / house), at least min_block; a source of fewer than 64 such
+    blocks is cut into 64 shorter ones (fewer, but 8 at least, beyond 1,024 sources). A source's
+    taken words differ from its target by about one of its blocks.
 
     Null or empty texts have size 0 and are taken 0 times; a source with no words has target 0.
     Rows that repeat each count for themselves. An empty table gives an empty table. The same
@@ -150,7 +161,6 @@ def mix_sources(
 
     cells = cut(keyed.groupBy("source", "mix_bucket").agg(F.sum("mix_size").alias("cell_size")))
     totals = cells.groupBy("source").agg(F.sum("cell_size").alias("source_size"))
-    length = block_length(totals.agg(F.sum("source_size")).first()[0] or 0, house, min_block)
 
     def planned(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = [p for p in parts if len(p)]
@@ -159,8 +169,8 @@ def mix_sources(
             whole["source"] = whole["source"].astype(object).where(whole["source"].notna(), None)
             yield plan_blocks(whole, weights, house, shards, max_repeats, seed, min_block)
 
-    # One row per source meets in one place, the driver or beyond MOST_SOURCES a task; the blocks are at most house + sources.
-    schema = "source string, source_size long, target double, block long, times long, before long"
+    # One row per source meets in one place, the driver or beyond MOST_SOURCES a task; the blocks are at most house + 8 * sources, about.
+    schema = "source string, source_size long, target double, length long, block long, times long, before long"
     few = totals.limit(MOST_SOURCES + 1).collect()
     if len(few) <= MOST_SOURCES:
         rows = list(planned(iter([pd.DataFrame(few, columns=["source", "source_size"])])))
@@ -171,7 +181,7 @@ def mix_sources(
     small = plan.count() <= 2 * house
     near = F.broadcast if small else (lambda x: x)
 
-    heads = plan.where("block = 0").select(F.col("source").alias("head_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
+    heads = plan.where("block = 0").select(F.col("source").alias("head_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("length").alias("mix_length"))
     along = Window.partitionBy("source").orderBy("mix_bucket")
     offsets = cells.select(
         F.col("source").alias("cell_source"), F.col("mix_bucket").alias("cell_bucket"),
@@ -189,7 +199,7 @@ def mix_sources(
     def at(df: DataFrame, name: str, word) -> DataFrame:
         """Joins the block of a word position; adds times and before under name, and the words of the block before the position."""
         own = near(plan.select(F.col("source").alias(f"{name}_source"), F.col("block").alias(f"{name}_block"), F.col("times").alias(f"{name}_times"), F.col("before").alias(f"{name}_before")))
-        df = df.withColumn(f"{name}_at", _quotient(word, length))
+        df = df.withColumn(f"{name}_at", _quotient(word, F.col("mix_length")))
         df = df.join(own, F.col("source").eqNullSafe(F.col(f"{name}_source")) & (F.col(f"{name}_at") == F.col(f"{name}_block")), "left")
         return df.drop(f"{name}_source", f"{name}_block")
 
@@ -197,7 +207,7 @@ def mix_sources(
     placed = at(placed, "mix_first", F.when(size > 0, start).otherwise(F.lit(0)))
     placed = at(placed, "mix_last", F.when(size > 0, end - 1).otherwise(F.lit(0)))
     placed = at(placed, "mix_mid", F.when(size > 0, start + _quotient(size, 2)).otherwise(F.lit(0)))
-    upto = lambda name, word: F.col(f"{name}_before") + (word - F.col(f"{name}_at") * length) * F.col(f"{name}_times")
+    upto = lambda name, word: F.col(f"{name}_before") + (word - F.col(f"{name}_at") * F.col("mix_length")) * F.col(f"{name}_times")
     placed = placed.withColumns({
         "mix_taken": F.when(size > 0, upto("mix_last", end) - upto("mix_first", start)).otherwise(F.lit(0)).cast("long"),
         "mix_copies": F.when(size > 0, F.col("mix_mid_times")).otherwise(F.lit(0)).cast("int"),

@@ -66,6 +66,28 @@ def test_mix(edges, nothing):
     assert mixing.mix_sources(nothing).count() == 0
 
 
+def test_a_long_tail_of_small_sources(spark):
+    import pandas as pd
+
+    # Three large sources (0, 1, 2) and a tail, at about 5e9 words.
+    sizes = [2_500_000_000, 1_500_000_000, 996_500_000] + [10_000] * 200 + [30_000] * 50 + [7, 1, 0]
+    sources = pd.DataFrame({"source": [f"s{i:04}" for i in range(len(sizes))], "source_size": sizes})
+    plan = mixing.plan_blocks(sources, (5.0, 2.0, 1.0), 65_536, 64, 3, 1, 1)
+    taken = (plan["times"] * (plan["source_size"] - plan["block"] * plan["length"]).clip(upper=plan["length"]).clip(lower=0)).groupby(plan["source"]).sum()
+    for source, rows in plan.groupby("source"):
+        size, target = rows["source_size"].iloc[0], rows["target"].iloc[0]
+        assert abs(taken[source] - target) <= max(0.02 * target, 1), (source, size, target, taken[source])
+    # More sources than seats.
+    many = pd.DataFrame({"source": [f"s{i:03}" for i in range(300)], "source_size": [100_000] * 2 + [40] * 298})
+    plan = mixing.plan_blocks(many, (5.0, 2.0, 1.0), 64, 4, 3, 1, 1)
+    taken = (plan["times"] * (plan["source_size"] - plan["block"] * plan["length"]).clip(upper=plan["length"])).groupby(plan["source"]).sum()
+    assert all(taken[s] == 120 for s in many["source"][2:])
+    # By rows: documents of a tiny source are there, each as often as its target says.
+    docs = spark.createDataFrame([(0, "a", prose(700, 60_000))] + [(i, f"t{i}", prose(700 + i, 20)) for i in range(1, 9)], "doc_id long, source string, text string")
+    for r in mixing.mix_sources(docs, house=100, min_block=1024).where("doc_id > 0").collect():
+        assert r.mix_taken == r.mix_target == 60 and r.mix_copies == 3
+
+
 def test_whole_documents_are_taken(edges):
     rows = mixing.mix_sources(edges, min_block=8).collect()
     taken = mixing.take_documents(mixing.mix_sources(edges, min_block=8))
