@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import binary
-from .functions.instructions import complexity_level, split_text
+from .functions.instructions import category, complexity_level, split_text
 from .operators import callgraph, cfg, detect, disasm, entropy, export, patterns, security, strings
 from .operators import instructions as instr
 from .operators import sections as sec
 from .operators import symbols as sym
 from .plans import bindings as b
 from .sources import parse as parsing
+from .sources.artifacts import spread
 from .streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -318,9 +319,10 @@ def cfg_dot(spark, sf):
 @query
 def decoded_instructions(spark, sf):
     """Texts read as x86-64 code."""
-    docs = b.documents(spark, sf)
+    docs = spread(b.documents(spark, sf))
     code = docs.select("artifact_id", F.lit(0).cast("long").alias("function_addr"), F.lit("X86_64").alias("architecture"), F.lit(0).cast("long").alias("address"), F.col("content").alias("data"))
-    return disasm.disassemble(code, most=1 << 30).groupBy("mnemonic", "category", "flow_kind").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    found = disasm.disassemble(code, most=1 << 30, columns=["mnemonic", "flow_kind", "size"]).groupBy("mnemonic", "flow_kind").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    return found.select("mnemonic", category("mnemonic").alias("category"), "flow_kind", "n", "bytes")
 
 
 # Sections, symbols, comparisons
@@ -414,8 +416,7 @@ def instruction_calls(spark, sf):
 
 @query
 def call_cycles(spark, sf):
-    nodes, edges, _ = _calls(spark, sf)
-    return callgraph.cycles(nodes, edges)
+    return callgraph.cycles(*b.program_calls(spark, sf))
 
 
 @query

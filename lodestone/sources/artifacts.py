@@ -25,6 +25,12 @@ def from_column(df: DataFrame, key: str, column: str) -> DataFrame:
     return df.select(F.col(key).cast("string").alias("artifact_id"), content.alias("content"), F.length(content).cast("long").alias("length"))
 
 
+def spread(artifacts: DataFrame) -> DataFrame:
+    """The same rows dealt over all cores where a scan has fewer partitions than that (one small file); for work that costs far more than moving the bytes."""
+    cores = artifacts.sparkSession.sparkContext.defaultParallelism
+    return artifacts.repartition(cores) if artifacts.rdd.getNumPartitions() < cores else artifacts
+
+
 def decompressed(content: Column | str) -> Column:
     """Struct (data, error): gzip by 1f 8b, zlib by 78 9c, 78 01 or 78 da; anything else is an error."""
 
