@@ -8,8 +8,9 @@ executor costs one round.
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,40 +130,58 @@ def statistics(annotated_nodes: DataFrame, edges: DataFrame, entries: DataFrame)
 
 def cycle_paths(successors: dict[int, list[int]], order: list[int]) -> list[list[int]]:
     """Cycles that one depth-first search closes: each node is entered once, in the given order."""
-    state: dict[int, int] = {}
+    place: dict[int, int] = {}  # on the path; -1 when done
     out = []
     for root in order:
-        if root in state:
+        if root in place:
             continue
-        state[root], path, rest = 1, [root], [iter(successors.get(root, ()))]
+        place[root], path, rest = 0, [root], [iter(successors.get(root, ()))]
         while path:
             for s in rest[-1]:
-                if s not in state:
-                    state[s] = 1
+                if (at := place.get(s)) is None:
+                    place[s] = len(path)
                     path.append(s)
                     rest.append(iter(successors.get(s, ())))
                     break
-                if state[s] == 1:
-                    out.append(path[path.index(s) :])
+                if at >= 0:
+                    out.append(path[at:])
             else:
-                state[path.pop()] = 2
+                place[path.pop()] = -1
                 rest.pop()
     return out
 
 
 def cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """artifact_id, cycle (number) and path; the search is one Python call an artifact, whose graph is bounded by its code."""
-    rows = nodes.select("artifact_id", "address", F.lit(None).cast("long").alias("callee"), F.lit(0).alias("ord"))
-    rows = rows.unionByName(edges.select("artifact_id", F.col("caller").alias("address"), "callee", F.lit(1).alias("ord")))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = sorted(pdf.loc[pdf["ord"] == 0, "address"].unique())
-        calls = pdf[pdf["ord"] == 1].drop_duplicates(["address", "callee"]).sort_values(["address", "callee"])
-        out = {k: [int(x) for x in g] for k, g in calls.groupby("address")["callee"]}
-        found = cycle_paths(out, [int(x) for x in order])
-        return pd.DataFrame([(pdf["artifact_id"].iloc[0], i, p) for i, p in enumerate(found)], columns=["artifact_id", "cycle", "path"])
-
-    return rows.groupBy("artifact_id").applyInPandas(one, "artifact_id string, cycle int, path array<long>")
+    """artifact_id, cycle (number) and path; a call that leads back to the search's path closes a cycle.
+
+    The search is sequential in an artifact and its paths are as long as the artifact's call
+    chains, so an artifact should be one program. Edges are made distinct before they meet, and
+    artifacts are searched many to a Python call.
+    """
+    hops = edges.select("artifact_id", F.col("caller").alias("address"), "callee").distinct()
+    rows = hops.unionByName(nodes.select("artifact_id", "address", F.lit(None).cast("long").alias("callee")).distinct())
+    dealt = rows.repartition("artifact_id").sortWithinPartitions("artifact_id", "address", F.col("callee").asc_nulls_first())
+
+    def searched(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(artifact: str, graph: dict[int, list[int]]) -> pa.RecordBatch:
+            # Nodes come in order of address, each before its calls; one that is only called is entered on the way.
+            paths = cycle_paths(graph, list(graph))
+            return pa.RecordBatch.from_arrays([pa.array([artifact] * len(paths), pa.string()), pa.array(range(len(paths)), pa.int32()), pa.array(paths, pa.list_(pa.int64()))], names=["artifact_id", "cycle", "path"])
+
+        now, graph = None, {}
+        for part in parts:
+            for artifact, address, callee in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if artifact != now:
+                    if graph:
+                        yield found(now, graph)
+                    now, graph = artifact, {}
+                out = graph.setdefault(address, [])
+                if callee is not None:
+                    out.append(callee)
+        if graph:
+            yield found(now, graph)
+
+    return dealt.mapInArrow(searched, "artifact_id string, cycle int, path array<long>")
 
 
 def kept_nodes(nodes: DataFrame, most: int) -> DataFrame:

@@ -94,3 +94,10 @@ def call_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def call_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").agg(F.min("user_id").alias("address")).select(F.lit("a").alias("artifact_id"), "address")
+
+
+def program_calls(spark: SparkSession, sf_dir: str, events: int = 4000) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of many programs: the calls of every run of so many events are one artifact; its functions are the users that call or are called there."""
+    edges = call_edges(spark, sf_dir).withColumn("artifact_id", F.call_function("div", F.col("site"), F.lit(events)).cast("string"))
+    ends = edges.select("artifact_id", F.explode(F.array("caller", "callee")).alias("address")).distinct()
+    return ends, edges

@@ -201,3 +201,38 @@ def test_event_stream(spark, tmp_path):
     q.awaitTermination()
     whole = {(r.window.start, r.event_type): r.n for r in streams.windowed_counts(events).collect()}
     assert got and all(whole[r.window.start, r.event_type] == r.n for r in got)
+
+
+def test_cycles_against_recursion(spark):
+    import random
+
+    rng = random.Random(3)
+    graphs = {f"g{g}": [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randrange(3 * n))] for g in range(12) for n in [rng.randrange(2, 9)]}
+    want = []
+    for key, pairs in graphs.items():
+        out, state, found = {a: sorted({y for x, y in pairs if x == a}) for a, _ in pairs}, {}, []
+
+        def visit(node, path, out=out, state=state, found=found):
+            state[node] = 1
+            for s in out.get(node, []):
+                if s not in state:
+                    visit(s, [*path, s])
+                elif state[s] == 1:
+                    found.append(path[path.index(s) :])
+            state[node] = 2
+
+        for root in sorted({x for pair in pairs for x in pair}):
+            if root not in state:
+                visit(root, [root])
+        want += [(key, i, p) for i, p in enumerate(found)]
+    edges = spark.createDataFrame([(k, a, b) for k, pairs in graphs.items() for a, b in pairs], "artifact_id string, caller long, callee long")
+    nodes = edges.select("artifact_id", F.explode(F.array("caller", "callee")).alias("address"))
+    assert sorted(tuple(r) for r in callgraph.cycles(nodes, edges).collect()) == sorted(want)
+
+
+def test_cycles_of_a_long_chain(spark):
+    n = 50_000
+    edges = spark.range(n).select(F.lit("a").alias("artifact_id"), F.col("id").alias("caller"), (F.col("id") + 1).alias("callee"))
+    closing = spark.createDataFrame([("a", n, n - 2)], edges.schema)
+    nodes = spark.range(n + 1).select(F.lit("a").alias("artifact_id"), F.col("id").alias("address"))
+    assert [r.path for r in callgraph.cycles(nodes, edges.union(closing)).collect()] == [[n - 2, n - 1, n]]
