@@ -35,7 +35,7 @@ def with_blocks(instructions: DataFrame) -> DataFrame:
 
 def blocks(blocked: DataFrame) -> DataFrame:
     """One row a block: start, end, n, its last flow and mnemonic, its first mnemonic."""
-    last = F.struct("flow_kind", "flow_target", "mnemonic", (F.col("address") + F.col("size")).alias("end"))
+    last = F.struct("flow_kind", "flow_target", "mnemonic", F.coalesce(F.try_add("address", "size"), F.col("address") - F.lit((1 << 63) - 1) + F.col("size") + F.lit(-(1 << 63)) - 1).alias("end"))
     rows = blocked.groupBy(*KEY, "block").agg(
         F.min("address").alias("start"), F.max_by(last, "idx").alias("last"), F.min_by("mnemonic", "idx").alias("first_mnemonic"), F.count(F.lit(1)).alias("n"),
     )

@@ -125,8 +125,9 @@ def section_entropy(artifacts: DataFrame, sections: DataFrame) -> DataFrame:
     Sections: artifact_id, ordinal, name, offset, size.
     """
     inside = sections.alias("s").join(artifacts.select("artifact_id", "content"), "artifact_id")
-    end = F.col("offset") + F.col("size")
-    inside = inside.where((F.col("offset") < F.length("content")) & (end <= F.length("content")) & (F.col("offset") < end))
+    # Header fields can be anything: no sum that may overflow. Offsets and sizes from 2^63 on are negative.
+    rest = F.try_subtract(F.length("content").cast("long"), F.col("offset"))
+    inside = inside.where((F.col("offset") >= 0) & (F.col("size") > 0) & (F.col("size") <= rest))
     part = F.substring(F.col("content"), (F.col("offset") + 1).cast("int"), F.col("size").cast("int"))
     bits = inside.select("artifact_id", "name", "ordinal", content_entropy(part).alias("entropy"))
     return bits.groupBy("artifact_id", "name").agg(F.max_by("entropy", "ordinal").alias("entropy"))

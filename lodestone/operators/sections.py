@@ -12,26 +12,29 @@ def locate(points: DataFrame, sections: DataFrame, point: str) -> DataFrame:
     Sections: artifact_id, ordinal, name, address, size. Points in no section are left out. The
     join is an equi-join on bins: a section lies in at most two bins of the least power of two
     that is no smaller than it, and a point in one bin of each such width that occurs (64 at most).
+    Addresses are longs, so those from 2^63 on are negative, and a section that begins before 2^63
+    holds nothing from there on. Sizes below 1 (from 2^63 on, too) hold nothing.
     """
-    level = F.ceil(F.log2("size")).cast("int")
+    level = F.when(F.col("size") > 1, F.length(F.bin(F.col("size") - 1))).otherwise(0)
     s = sections.where("size > 0").select(F.col("artifact_id").alias("s_id"), "ordinal", F.col("name").alias("section"), "address", F.col("size").alias("section_size"), level.alias("s_level"))
     levels = sorted(r[0] for r in s.select("s_level").distinct().collect())
     shifted = lambda at, by: F.call_function("shiftright", at, by)
-    last = F.col("address") + F.col("section_size") - 1
-    s = s.withColumn("s_bin", F.explode(F.array_distinct(F.array(shifted(F.col("address"), F.col("s_level")), shifted(last, F.col("s_level"))))))
+    last = F.coalesce(F.try_add("address", F.col("section_size") - 1), F.lit((1 << 63) - 1))
+    s = s.withColumn("s_last", last)
+    s = s.withColumn("s_bin", F.explode(F.array_distinct(F.array(shifted(F.col("address"), F.col("s_level")), shifted(F.col("s_last"), F.col("s_level"))))))
     p = points.withColumn("p_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("p_bin", shifted(F.col(point), F.col("p_level")))
     held = p.join(s, (F.col("artifact_id") == F.col("s_id")) & (F.col("p_level") == F.col("s_level")) & (F.col("p_bin") == F.col("s_bin")))
-    held = held.where((F.col(point) >= F.col("address")) & (F.col(point) < F.col("address") + F.col("section_size")))
+    held = held.where((F.col(point) >= F.col("address")) & (F.col(point) <= F.col("s_last")))
     first = Window.partitionBy("artifact_id", point).orderBy("ordinal")
-    return held.withColumn("_k", F.rank().over(first)).where("_k = 1").drop("_k", "s_id", "p_level", "p_bin", "s_level", "s_bin")
+    return held.withColumn("_k", F.rank().over(first)).where("_k = 1").drop("_k", "s_id", "p_level", "p_bin", "s_level", "s_bin", "s_last")
 
 
 def file_offsets(points: DataFrame, sections: DataFrame, point: str) -> DataFrame:
-    """Points with the file offset of their address."""
+    """Points with the file offset of their address; null beyond 2^63 - 1."""
     offsets = sections.select(F.col("artifact_id").alias("o_id"), F.col("ordinal").alias("o_ordinal"), F.col("offset").alias("section_offset"))
     held = locate(points, sections, point)
     held = held.join(offsets, (held["artifact_id"] == offsets["o_id"]) & (held["ordinal"] == offsets["o_ordinal"]))
-    return held.withColumn("file_offset", F.col("section_offset") + F.col(point) - F.col("address")).drop("o_id", "o_ordinal", "section_offset")
+    return held.withColumn("file_offset", F.try_add("section_offset", F.col(point) - F.col("address"))).drop("o_id", "o_ordinal", "section_offset")
 
 
 def section_named(sections: DataFrame, name: str) -> DataFrame:

@@ -236,3 +236,23 @@ def test_cycles_of_a_long_chain(spark):
     closing = spark.createDataFrame([("a", n, n - 2)], edges.schema)
     nodes = spark.range(n + 1).select(F.lit("a").alias("artifact_id"), F.col("id").alias("address"))
     assert [r.path for r in callgraph.cycles(nodes, edges.union(closing)).collect()] == [[n - 2, n - 1, n]]
+
+
+def test_header_fields_that_overflow(spark):
+    top = (1 << 63) - 1
+    rows = [("a", 0, "far", top - 3, 100, top, 5), ("a", 1, "huge", -5, top, 2, top), ("a", 2, "wide", (1 << 50) + 7, (1 << 50) + 1, 1, 3), ("a", 3, "negative", 0, -1, -1, 4), ("a", 4, "low", -(1 << 63), 10, 0, -4)]
+    s = spark.createDataFrame(rows, "artifact_id string, ordinal int, name string, address long, size long, offset long, data_size long")
+    points = [top - 3, top, -5, 0, (1 << 50) + 7, (1 << 51) + 7, (1 << 51) + 8, -(1 << 63), -(1 << 63) + 9, -(1 << 63) + 10, top - 4]
+    p = spark.createDataFrame([("a", x) for x in points], "artifact_id string, point long")
+    got = {r.point: r.section for r in sections.locate(p, s, "point").collect()}
+    want = {}
+    for x in points:
+        held = [n for _, _, n, a, size, *_ in rows if size > 0 and a <= x <= min(top, a + size - 1)]
+        if held:
+            want[x] = held[0]
+    assert got == want and sections.file_offsets(p, s, "point").count() == len(want)
+    content = spark.createDataFrame([("a", bytearray(b"abcdefgh"))], "artifact_id string, content binary")
+    found = entropy.section_entropy(content, s.drop("size").withColumnRenamed("data_size", "size"))
+    assert [r.name for r in found.collect()] == ["wide"]
+    code = spark.createDataFrame([("a", top - 1, 0, top - 1, "nop", "", 4, "Sequential", None), ("a", 4, 0, 4, "nop", "", 4, "Sequential", None)], "artifact_id string, function_addr long, idx int, address long, mnemonic string, operands string, size int, flow_kind string, flow_target long")
+    assert sorted(r.end for r in cfg.blocks(cfg.with_blocks(code)).collect()) == [-(1 << 63) + 2, 8]
