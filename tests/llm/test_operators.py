@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import random
 import re
 from pyspark.sql import functions as F
 
@@ -356,7 +357,7 @@ def slow_runs(rows, least=50):
 
 def test_line_runs(spark, edges, nothing):
     shared = prose(20, 90, 15)
-    rows = [r for r in edge_rows() if r[1] is None or len(r[1]) < 50_000] + [(300, prose(21, 30) + "\n" + shared, "", "", 1), (301, shared + "\n" + prose(22, 20) + "\n\n" + shared, "", "", 1), (302, "x y.\n" * 80, "", "", 1)]
+    rows = edge_rows() + [(300, prose(21, 30) + "\n" + shared, "", "", 1), (301, shared + "\n" + prose(22, 20) + "\n\n" + shared, "", "", 1), (302, "x y.\n" * 80, "", "", 1)]
     rows = [r for r in rows if not (r[0] is None or r[0] == 8)]  # their order among each other is by hash
     got = linededup.dedup_lines(spark.createDataFrame(rows, edges.schema)).collect()
     want = slow_runs(rows)
@@ -370,6 +371,32 @@ def test_line_runs(spark, edges, nothing):
     assert whole.count() == len(edge_rows()) and linededup.drop_emptied(whole).columns == edges.columns and linededup.dedup_lines(nothing).count() == 0
 
 
+def test_line_runs_of_very_long_texts(spark):
+    import time
+
+    shared = "\n".join(f"shared line {k} has some more words in it" for k in range(40))
+    body = [f"line {k} of a long text, with words {k * 7919 % 10007}" for k in range(160_000)]
+    text = "\n".join(body[:80_000] + shared.split("\n") + body[80_000:] + shared.split("\n"))
+    docs = spark.createDataFrame([(1, shared), (2, text)], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in linededup.dedup_lines(docs).collect()}
+    assert time.time() - began < 60
+    assert got[1].gone_lines == [] and got[2].gone_lines == [*range(80_000, 80_040), *range(160_040, 160_080)]
+    assert got[2].text == "\n".join(body)
+
+
+def test_fingerprints_are_few_and_shared(spark):
+    rows = [(1, prose(30, 600, 9)), (2, prose(31, 300, 9) + "\n" + prose(32, 108, 9) + "\n" + prose(33, 90, 9)), (3, prose(34, 45, 9) + "\n" + prose(32, 108, 9))]
+    documents = linededup._documents(spark.createDataFrame(rows, "doc_id long, text string"), 50).cache()
+    for r in documents.collect():
+        assert len({p for p in r.least if p}) < sum(x is not None for x in r.ahead)  # winnowed: neighbours select the same line
+    shared = linededup.shared_positions(documents)
+    # Only texts that share a passage are followed, and only around it: it begins with line 35 and with line 6.
+    places = {r.run_doc: r.places for r in shared.collect()}
+    assert set(places) == {2, 3} and all(34 < p <= 46 for p in places[2]) and [p - 34 for p in places[2]] == [p - 5 for p in places[3]]
+    assert linededup.windows(documents, shared, 50).count() < linededup.windows(documents, documents.selectExpr("run_doc", "run_row", "filter(array_distinct(least), p -> p is not null) places"), 50).count() / 2
+
+
 # 7 URLs
 
 
@@ -420,6 +447,43 @@ def test_packing(edges, nothing):
     assert packing.pack_documents(nothing).count() == 0
 
 
+def test_packing_keeps_ids(spark):
+    # Long ids beside a null, where a float column would round them, and ids of another type.
+    ids = [2**60 + 1, 2**60 + 3, None, -(2**62) - 1]
+    docs = spark.createDataFrame([(i, "some words here") for i in ids], "doc_id long, text string")
+    assert {r.doc_id for r in packing.pack_documents(docs).collect()} == set(ids)
+    named = docs.selectExpr("'d' || doc_id as doc_id", "text")
+    got = packing.pack_documents(named)
+    assert dict(got.dtypes)["doc_id"] == "string" and {r.doc_id for r in got.collect()} == {None if i is None else f"d{i}" for i in ids}
+
+
+def test_best_fit_against_every_plan():
+    def best(pieces, rules):
+        permitted, least = sorted(rules.lengths), [float("inf")]
+
+        def go(i, bins):
+            if i == len(pieces):
+                least[0] = min(least[0], sum(rules.cost(next(n for n in permitted if n >= used)) for used in bins))
+                return
+            for j in range(len(bins)):
+                if bins[j] + pieces[i] <= permitted[-1]:
+                    go(i + 1, [n + pieces[i] * (k == j) for k, n in enumerate(bins)])
+            go(i + 1, [*bins, pieces[i]])
+
+        go(0, [])
+        return least[0]
+
+    rng, ratios, opened = random.Random(4), [], Counter()
+    for _ in range(200):
+        rules = packing.PackRules(lengths=(8, 16, 32, 64), fixed=rng.choice([1, 4, 16]), square=rng.choice([64, 256, 1024]))
+        pieces = [rng.randint(1, rng.choice([8, 64])) for _ in range(rng.randint(1, 7))]
+        lengths = {b: n for b, _, n in packing.best_fit(pieces, rules)}
+        opened.update(lengths.values())
+        ratios.append(sum(map(rules.cost, lengths.values())) / best(pieces, rules))
+    assert max(ratios) < 1.35 and sum(ratios) / len(ratios) < 1.01
+    assert set(opened) == {8, 16, 32, 64}
+
+
 def test_best_fit_opens_and_downsizes():
     rules = packing.PackRules(lengths=(10, 20), fixed=100.0, square=1e9)
     assert packing.best_fit([12, 8, 5], rules) == [(0, 0, 20), (0, 12, 20), (1, 0, 10)]
