@@ -1,13 +1,14 @@
 """Finding license notices: MinHash bands retrieve templates for text windows, exact containment verifies them.
 
 Words are lower-cased without punctuation, and shingles are five words (all of a shorter
-template). Templates of like length share windows: a window is as long as the longest of them
-and a stride more, and windows begin every stride, so that any occurrence lies wholly in one. For
-every hash function the least shingle hash of a window is looked up among the templates' least
-hashes; a band is one row, so that a window that holds a template of like length meets it in one
-of the bands but for a chance of 1e-5 or less. What meets is compared exactly: the share of
-the template's shingles that stand in the window. One pass reads each text once, and nothing is
-shuffled; templates travel with the function.
+template). Templates of like length (between powers of two) share windows: windows begin every
+stride, a quarter of the longest template at most, and are so long that an occurrence lies wholly
+in one. Every window of a text has a least shingle hash for each hash function, and every template
+too; a band is one such hash, and a template is retrieved for a window that agrees with it in a
+band. A window that holds 0.8 of a template is like it at 0.28 or more, so that all 32 bands miss
+it with a chance of 3e-5 at most. What is retrieved is compared exactly: the share of the
+template's shingles that stand in the window, within the template's length. One pass reads each
+text once, and nothing is shuffled; templates travel with the function.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -23,19 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, bounded_batches, has_columns
+from .license_texts import TEMPLATES
 
-#: Public license notices as projects print them.
-TEMPLATES: tuple[tuple[str, str], ...] = (
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("proprietary", "All rights reserved."),
-)
 _words = re.compile(WORD).findall
 _STRIP = ".,;:!?()[]{}\"'“”‘’«»"
 _GOLD = 0x9E3779B97F4A7C15
@@ -46,6 +37,29 @@ def _member(values: np.ndarray, of: np.ndarray) -> np.ndarray:
     return of[np.minimum(np.searchsorted(of, values), len(of) - 1)] == values
 
 
+#: Shingles whose least hashes are held at a time, so that memory does not grow with a text; a multiple of every stride.
+SEGMENT = 1 << 14
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+class Group(NamedTuple):
+    """Templates of like length: windows begin every stride shingles and are so many strides long; (number, shingles, words) of each template, and its least hashes."""
+
+    stride: int
+    strides: int
+    templates: list[tuple[int, np.ndarray, int]]
+    least: np.ndarray
+
+
+def _previous(values: np.ndarray) -> np.ndarray:
+    """Where each value stood before, -1 for its first place."""
+    order = np.argsort(values, kind="stable")
+    out = np.full(len(values), -1)
+    again = values[order[1:]] == values[order[:-1]]
+    out[order[1:][again]] = order[:-1][again]
+    return out
+
+
 @dataclass(frozen=True)
 class ScanRules:
     """Width of shingles, hash functions (bands of one row), share of a template's shingles that counts as a match."""
@@ -64,19 +78,20 @@ class WindowScanner:
         one = np.arange(1, rules.hashes + 1, dtype=np.uint64) * np.uint64(_GOLD) + np.uint64(rules.seed)
         one = (one ^ (one >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         self.factors = (one ^ (one >> np.uint64(32))) | np.uint64(1)
-        groups: dict[tuple[int, int], list[tuple[int, np.ndarray, int]]] = {}
+        members: dict[tuple[int, int], list[tuple[int, np.ndarray, int]]] = {}
         for t, (_, text) in enumerate(templates):
             codes = self.codes(text)[0]
             if not len(codes):
                 raise ValueError(f"template {t} has no words")
             width = min(rules.width, len(codes))
-            groups.setdefault((width, len(codes).bit_length()), []).append((t, np.unique(self.shingles(codes, width)), len(codes)))
-        self.groups = []
-        for (width, _), own in sorted(groups.items(), key=lambda g: g[0]):
-            longest = max(n for *_, n in own)
+            members.setdefault((width, len(codes).bit_length()), []).append((t, np.unique(self.shingles(codes, width)), len(codes)))
+        #: Groups by shingle width.
+        self.groups: dict[int, list[Group]] = {}
+        for (width, _), own in sorted(members.items(), key=lambda g: g[0]):
+            longest = max(n for *_, n in own) - width + 1
+            stride = 1 << max(0, (longest // 4).bit_length() - 1)
             least = np.stack([(s[:, None] * self.factors).min(axis=0) for _, s, _ in own])
-            self.groups.append((width, longest, max(1, longest // 4), own, least, np.unique(np.concatenate([x for _, x, _ in own]))))
-        self.wanted = {w: np.unique(np.concatenate([g[5] for g in self.groups if g[0] == w])) for w in {g[0] for g in self.groups}}
+            self.groups.setdefault(width, []).append(Group(stride, -(-(longest + stride - 1) // stride), own, least))
 
     def codes(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the plain words, and the places of these among all words of the text."""
@@ -103,51 +118,88 @@ class WindowScanner:
         total = (total ^ (total >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         return total ^ (total >> np.uint64(27))
 
-    def scan(self, text: str | None) -> list[tuple[int, int, int, float]]:
-        """(template, first word, words, containment) of every match; matches of a template do not overlap."""
-        codes, places = self.codes(text)
-        found: list[tuple[int, int, int, float]] = []
-        seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for width, longest, stride, own, least, wanted in self.groups:
-            if width not in seen:
-                every = self.shingles(codes, width)
-                seen[width] = every, np.flatnonzero(_member(every, self.wanted[width]))
-            every, shared = seen[width]
-            if not len(shared):
-                continue
-            # A window that shares no shingle with a template shares no least one either: only those around shared ones are hashed.
-            spans = (longest - width) // stride + 2
-            shared = shared[_member(every[shared], wanted)]
-            if not len(shared):
-                continue
-            near = np.unique(np.maximum(shared[:, None] // stride - np.arange(spans), 0))
-            starts = near * stride
-            window_least = np.empty((len(starts), self.rules.hashes), np.uint64)
-            for lo in range(0, len(starts), 4096):  # bounds the memory for very long texts
-                at = starts[lo : lo + 4096, None] + np.arange(spans * stride)
-                inside = every[np.minimum(at, len(every) - 1)]
-                for k, factor in enumerate(self.factors):
-                    window_least[lo : lo + 4096, k] = (inside * factor).min(axis=1)
-            for (t, own_shingles, n), own_least in zip(own, least, strict=True):
-                hit = np.flatnonzero((window_least == own_least).any(axis=1))
-                last = -1
-                for w in hit:
-                    a = int(starts[w])
-                    b = min(len(every), a + spans * stride)
-                    inside = np.flatnonzero(_member(every[a:b], own_shingles)) + a
-                    inside = inside[inside > last]
-                    # The densest stretch of the template's length.
-                    if not len(inside):
-                        continue
-                    ends = np.searchsorted(inside, inside + n - width, side="right")
-                    k = int(np.argmax(ends - np.arange(len(inside))))
-                    stretch = inside[k : ends[k]]
-                    share = len(np.unique(every[stretch])) / len(own_shingles)
-                    if share >= self.rules.containment:
-                        first, end = int(stretch[0]), int(stretch[-1]) + width - 1
-                        found.append((t, int(places[first]), int(places[end] - places[first]) + 1, share))
-                        last = end
-        return sorted(found, key=lambda x: (x[1], x[0]))
+    def _retrieved(self, every: np.ndarray, valid: np.ndarray, groups: list[Group]) -> Iterator[tuple[Group, int, int]]:
+        """(group, number of a template in it, first shingle of the window) for every window that agrees with the template in a band, by template and window.
+
+        Least hashes of blocks are taken once for all groups; a window is a run of blocks.
+        """
+        block, widest = min(g.stride for g in groups), max(g.stride for g in groups)
+        reach = max(g.stride * g.strides for g in groups)
+        found: dict[tuple[int, int], list[int]] = {}
+        for lo in range(0, len(every), SEGMENT):
+            part = every[lo : lo + SEGMENT + reach]
+            apart = np.flatnonzero(~valid[lo : lo + SEGMENT + reach])
+            edges = np.arange(0, len(part), block)
+            # Beyond the end there is nothing, up to a multiple of the widest stride.
+            least = np.full((len(self.factors), -(-(len(part) + reach) // widest) * (widest // block)), _NONE)
+            for k, factor in enumerate(self.factors):
+                hashed = part * factor
+                hashed[apart] = _NONE
+                least[k, : len(edges)] = hashed if block == 1 else np.minimum.reduceat(hashed, edges)
+            stride = block
+            for g, group in enumerate(groups):
+                while stride < group.stride:
+                    least, stride = np.minimum(least[:, ::2], least[:, 1::2]), stride * 2
+                n = min(-(-len(part) // stride), SEGMENT // stride)
+                window = least[:, :n].copy()
+                for k in range(1, group.strides):
+                    np.minimum(window, least[:, k : k + n], out=window)
+                for t, own in enumerate(group.least):
+                    hits = np.flatnonzero(window == own[:, None])
+                    if len(hits):
+                        found.setdefault((g, t), []).extend((np.unique(hits % n) * stride + lo).tolist())
+        for (g, t), starts in found.items():
+            for a in starts:
+                yield groups[g], t, a
+
+    def _layout(self, words: list[tuple[np.ndarray, np.ndarray]], width: int, groups: list[Group]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Shingles of all texts end to end, which of them lie in a text, and where each text begins.
+
+        Texts begin at a multiple of the widest stride and no window reaches from one into the
+        next, so that each is searched as if it were alone.
+        """
+        gap, step = max(g.stride * g.strides for g in groups), max(g.stride for g in groups)
+        starts, at = [], 0
+        for codes, _ in words:
+            starts.append(at)
+            at = -(-(at + len(codes) + gap) // step) * step
+        whole = np.zeros(at, np.uint64)
+        valid = np.zeros(at, bool)
+        for start, (codes, _) in zip(starts, words, strict=True):
+            whole[start : start + len(codes)] = codes
+            valid[start : start + max(0, len(codes) - width + 1)] = True
+        return self.shingles(whole, width), valid[: max(0, at - width + 1)], np.array(starts, np.int64)
+
+    def scan(self, texts: Sequence[str | None]) -> list[list[tuple[int, int, int, float]]]:
+        """(template, first word, words, containment) of every match in each text; matches of a template do not overlap."""
+        words = [self.codes(t) for t in texts]
+        found: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
+        for width, groups in self.groups.items():
+            every, valid, starts = self._layout(words, width, groups)
+            last: dict[int, int] = {}
+            for group, k, a in self._retrieved(every, valid, groups):
+                t, own, n = group.templates[k]
+                d = int(np.searchsorted(starts, a, side="right")) - 1
+                start, (codes, places) = int(starts[d]), words[d]
+                lo, hi = max(a, last.get(t, -1) + 1), min(a + group.stride * group.strides, start + len(codes) - width + 1)
+                inside = np.flatnonzero(_member(every[lo:hi], own)) + lo if lo < hi else ()
+                if not len(inside):
+                    continue
+                # The stretch of the template's length that holds most of its shingles, repeats not counted.
+                after = np.searchsorted(inside, inside + n - width, side="right")
+                rich = np.flatnonzero(after - np.arange(len(inside)) >= self.rules.containment * len(own))
+                if not len(rich):
+                    continue
+                before = _previous(every[inside])
+                distinct = [int((before[i : after[i]] < i).sum()) for i in rich]
+                best = int(np.argmax(distinct))
+                stretch = inside[rich[best] : after[rich[best]]]
+                share = distinct[best] / len(own)
+                if share >= self.rules.containment:
+                    first, end = int(stretch[0]) - start, int(stretch[-1]) + width - 1 - start
+                    found[d].append((t, int(places[first]), int(places[end] - places[first]) + 1, share))
+                    last[t] = end + start
+        return [sorted(x, key=lambda m: (m[1], m[0])) for x in found]
 
 
 def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, rules: ScanRules | None = None) -> DataFrame:
@@ -168,6 +220,6 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
     def hits(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scanner = WindowScanner(templates, rules)
         for texts in parts:
-            yield pd.Series([[{"template": t, "license": templates[t][0], "first_word": a, "n_words": n, "containment": c} for t, a, n, c in scanner.scan(x)] for x in texts], dtype=object)
+            yield pd.Series([[{"template": t, "license": templates[t][0], "first_word": a, "n_words": n, "containment": c} for t, a, n, c in x] for x in scanner.scan(list(texts))], dtype=object)
 
     return docs.withColumn("license_hits", hits(F.col("text")))

@@ -493,35 +493,79 @@ def test_best_fit_opens_and_downsizes():
 # 9 Licenses
 
 
+def plain_words(text):
+    return [p for w in WORD.findall(text) if (p := w.strip(licenses._STRIP).lower())]
+
+
+def grams(words, width):
+    return [tuple(words[i : i + width]) for i in range(len(words) - width + 1)]
+
+
+def slow_containment(words, template):
+    """The greatest share of the template's shingles in a stretch of its length."""
+    own = plain_words(template)
+    width = min(5, len(own))
+    want, every = set(grams(own, width)), grams(words, width)
+    # A best stretch begins with a shingle of the template.
+    return max((len(set(every[a : a + len(own) - width + 1]) & want) / len(want) for a, g in enumerate(every) if g in want), default=0.0)
+
+
 def test_licenses(spark, edges, nothing):
     notices = [t for _, t in licenses.TEMPLATES]
     r = np.random.default_rng(4)
     rows = []
     for i in range(60):
         body = prose(i, 300).split(" ")
-        put = [int(k) for k in r.choice(len(notices), size=i % 3, replace=False)]
-        for k in put:
+        for k in r.choice(len(notices), size=i % 3, replace=False):
+            notice = notices[int(k)].split(" ")
+            if i % 2:
+                notice[int(r.integers(0, len(notice)))] = "edited"
             at = int(r.integers(0, len(body)))
-            body[at:at] = notices[k].split(" ")
+            body[at:at] = notice
         rows.append((i, " ".join(body), None, None, 1))
     got = licenses.scan_licenses(spark.createDataFrame(rows, edges.schema)).collect()
-    plain = lambda t: [p for w in WORD.findall(t) if (p := w.strip(licenses._STRIP).lower())]
+    hits = 0
     for row in got:
-        words = plain(row.text)
+        words = plain_words(row.text)
         for k, t in enumerate(notices):
-            own = plain(t)
-            width = min(5, len(own))
-            grams = {tuple(own[i : i + width]) for i in range(len(own) - width + 1)}
-            # Brute force: windows of the template's length at every place.
-            there = any(len({tuple(words[i : i + width]) for i in range(a, min(a + len(own), len(words)) - width + 1)} & grams) >= 0.8 * len(grams) for a in range(len(words)))
-            assert there == any(h.template == k for h in row.license_hits), (row.doc_id, k)
+            assert (slow_containment(words, t) >= 0.8) == any(h.template == k for h in row.license_hits), (row.doc_id, k)
         for h in row.license_hits:
-            stretch = " ".join(WORD.findall(row.text)[h.first_word : h.first_word + h.n_words])
-            assert plain(notices[h.template])[0] in plain(stretch)
+            hits += 1
+            stretch = plain_words(" ".join(WORD.findall(row.text)[h.first_word : h.first_word + h.n_words]))
+            assert abs(slow_containment(stretch, notices[h.template]) - h.containment) < 1e-9 and len(stretch) <= len(plain_words(notices[h.template]))
+    assert hits > 40
     assert licenses.scan_licenses(edges.withColumn("license_hits", F.lit(0))).where("size(license_hits) > 0").count() == 0
     assert licenses.scan_licenses(nothing).count() == 0
 
 
+def test_retrieval_of_licenses():
+    assert len({name for name, _ in licenses.TEMPLATES}) >= 15
+    scanner, rng = licenses.WindowScanner(licenses.TEMPLATES, licenses.ScanRules()), random.Random(6)
+    texts, want = [], []
+    for i in range(12 * len(licenses.TEMPLATES)):
+        k = i % len(licenses.TEMPLATES)
+        notice, body = licenses.TEMPLATES[k][1].split(" "), prose(i, rng.choice([0, 40, 300])).split()
+        for _ in range(len(notice) // 60):
+            notice[rng.randrange(len(notice))] = "edited"
+        at = rng.randint(0, len(body))
+        text = " ".join(body[:at] + notice + body[at:])
+        texts.append(text)
+        want.append(k if slow_containment(plain_words(text), licenses.TEMPLATES[k][1]) >= 0.8 else None)
+    found = [{m[0] for m in x} for x in scanner.scan(texts)]
+    planted = [k in f for k, f in zip(want, found, strict=True) if k is not None]
+    assert len(planted) > 300 and sum(planted) >= 0.99 * len(planted)
+    # In batches or one by one, with texts that have no words, and beyond one segment.
+    assert [scanner.scan([t])[0] for t in texts[:40]] == scanner.scan([None, "", *texts[:40]])[2:]
+    long = prose(77, 60_000) + " " + licenses.TEMPLATES[1][1] + " " + prose(78, 20_000)
+    assert {m[0] for m in scanner.scan([long])[0]} >= {1, 2} and scanner.scan([]) == []
+    # What decides is the retrieval: without bands in common there is no match.
+    blind = licenses.WindowScanner(licenses.TEMPLATES, licenses.ScanRules())
+    for groups in blind.groups.values():
+        for group in groups:
+            group.least[:] = 1
+    assert not any(blind.scan(texts))
+
+
 # 10 Tokens
 
 
