@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word: a run of characters other than the six ASCII blanks. Java and Python read it alike.
@@ -26,12 +27,15 @@ def n_words(text: Column) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints and written stages that driver and executors share.
 
-    It is the one that the cluster names in spark.checkpoint.dir; only where that is unset (tests,
-    one machine) a temporary folder stands in.
+    It is the one that the cluster names in spark.checkpoint.dir; only where that is unset and the
+    master is local (tests, one machine) a temporary folder stands in.
     """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return str(context._jsc.sc().getCheckpointDir().get())
 
 
@@ -56,6 +60,24 @@ def bounded_batches(df: DataFrame) -> None:
         conf.set(key, str(BATCH_BYTES))
 
 
+def number_copies(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df with name: 0, 1, ... among the rows that are equal in key, in no particular order; 0 for rows that have no equal.
+
+    Where there are equal rows they are numbered by input partition first and partitions are put
+    one after another, so that a key that a third of all rows have is in no single task.
+    """
+    again = df.groupBy(F.col(key)).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if again.isEmpty():
+        return df.withColumn(name, F.lit(0).cast("long"))
+    parts = cut(df).withColumn("copy_part", F.spark_partition_id())
+    counts = parts.groupBy(key, "copy_part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy(key).orderBy("copy_part")) - F.col("n")
+    offsets = counts.select(F.col(key).alias("copy_key"), F.col("copy_part").alias("copy_at"), before.alias("copy_before"))
+    numbered = parts.withColumn(name, F.row_number().over(Window.partitionBy(key, "copy_part").orderBy(key)).cast("long") - 1)
+    both = numbered.join(offsets, F.col(key).eqNullSafe(F.col("copy_key")) & (F.col("copy_part") == F.col("copy_at")))
+    return both.select(*df.columns, (F.col(name) + F.col("copy_before")).alias(name))
+
+
 def has_columns(df: DataFrame, *names: str) -> None:
     """Raises ValueError where a column that the operator reads is missing."""
     if missing := [x for x in names if x not in df.columns]:

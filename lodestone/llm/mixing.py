@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, has_columns, n_words
+from .common import cut, has_columns, n_words, number_copies
 
 #: Rows of a bucket on average; a cell (one source in one bucket) has fewer.
 ROWS_PER_BUCKET = 4096
@@ -134,8 +134,9 @@ def mix_sources(
     max_repeats: int = 3,
     seed: int = 20_260_101,
     min_block: int = 1,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """All rows and columns of docs, with what the mix takes of each.
+    """All rows of docs with all columns, or those named, and with what the mix takes of each.
 
     Needs doc_id, source and text. Sources in code point order (null last) get the weights in
     turn. Adds mix_size (words), mix_source_size, mix_target (double, its source's), mix_taken
@@ -150,17 +151,26 @@ def mix_sources(
     Null or empty texts have size 0 and are taken 0 times; a source with no words has target 0.
     Rows that repeat each count for themselves. An empty table gives an empty table. The same
     rows, seed and parameters give the same result however the rows are dealt out; rows equal in
-    doc_id, source and text may swap their parts among themselves.
+    doc_id, source and text may swap their parts among themselves. Such rows are numbered before
+    they are dealt, so that a third of all rows may be equal.
+
+    With columns the texts are read once, and what is left of the rows is written down first.
     """
     has_columns(docs, "doc_id", "source", "text")
-    buckets = max(MIN_BUCKETS, math.ceil(docs.count() / ROWS_PER_BUCKET))
-    keyed = docs.withColumns({
-        "mix_size": n_words(F.col("text")),
-        "mix_hash": F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")),
-    }).withColumn("mix_bucket", F.pmod(F.col("mix_hash"), F.lit(buckets)).cast("int"))
+    own = ["mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_copies"]
+    kept = [c for c in (docs.columns if columns is None else columns) if c not in own]
+    keyed = docs.select(
+        *kept, F.col("source").alias("mix_source"), F.col("doc_id").alias("mix_id"), n_words(F.col("text")).alias("mix_size"),
+        F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"), F.col("source")).alias("mix_row"),
+    )
+    if columns is not None:
+        keyed = cut(keyed)
+    buckets = max(MIN_BUCKETS, math.ceil((docs if columns is None else keyed).count() / ROWS_PER_BUCKET))
+    keyed = number_copies(keyed, "mix_row", "mix_copy").withColumn("mix_hash", F.xxhash64("mix_row", "mix_copy"))
+    keyed = keyed.withColumn("mix_bucket", F.pmod(F.col("mix_hash"), F.lit(buckets)).cast("int"))
 
-    cells = cut(keyed.groupBy("source", "mix_bucket").agg(F.sum("mix_size").alias("cell_size")))
-    totals = cells.groupBy("source").agg(F.sum("cell_size").alias("source_size"))
+    cells = cut(keyed.groupBy("mix_source", "mix_bucket").agg(F.sum("mix_size").alias("cell_size")))
+    totals = cells.groupBy(F.col("mix_source").alias("source")).agg(F.sum("cell_size").alias("source_size"))
 
     def planned(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = [p for p in parts if len(p)]
@@ -182,16 +192,16 @@ def mix_sources(
     near = F.broadcast if small else (lambda x: x)
 
     heads = plan.where("block = 0").select(F.col("source").alias("head_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("length").alias("mix_length"))
-    along = Window.partitionBy("source").orderBy("mix_bucket")
+    along = Window.partitionBy("mix_source").orderBy("mix_bucket")
     offsets = cells.select(
-        F.col("source").alias("cell_source"), F.col("mix_bucket").alias("cell_bucket"),
+        F.col("mix_source").alias("cell_source"), F.col("mix_bucket").alias("cell_bucket"),
         (F.sum("cell_size").over(along) - F.col("cell_size")).alias("cell_start"),
     )
     offsets = offsets.join(near(heads), F.col("cell_source").eqNullSafe(F.col("head_source"))).drop("head_source")
 
-    inside = Window.partitionBy("source", "mix_bucket").orderBy("mix_hash", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("mix_source", "mix_bucket").orderBy("mix_hash", "mix_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = keyed.withColumn("mix_end", F.sum("mix_size").over(inside))
-    placed = placed.join(offsets, placed["source"].eqNullSafe(offsets["cell_source"]) & (placed["mix_bucket"] == offsets["cell_bucket"]))
+    placed = placed.join(offsets, placed["mix_source"].eqNullSafe(offsets["cell_source"]) & (placed["mix_bucket"] == offsets["cell_bucket"]))
     placed = placed.withColumn("mix_end", F.col("mix_end") + F.col("cell_start")).drop("cell_source", "cell_bucket", "cell_start")
     size, end = F.col("mix_size"), F.col("mix_end")
     start = end - size
@@ -200,7 +210,7 @@ def mix_sources(
         """Joins the block of a word position; adds times and before under name, and the words of the block before the position."""
         own = near(plan.select(F.col("source").alias(f"{name}_source"), F.col("block").alias(f"{name}_block"), F.col("times").alias(f"{name}_times"), F.col("before").alias(f"{name}_before")))
         df = df.withColumn(f"{name}_at", _quotient(word, F.col("mix_length")))
-        df = df.join(own, F.col("source").eqNullSafe(F.col(f"{name}_source")) & (F.col(f"{name}_at") == F.col(f"{name}_block")), "left")
+        df = df.join(own, F.col("mix_source").eqNullSafe(F.col(f"{name}_source")) & (F.col(f"{name}_at") == F.col(f"{name}_block")), "left")
         return df.drop(f"{name}_source", f"{name}_block")
 
     # An empty document takes nothing, so its place does not matter: word 0 always has a block.
@@ -212,8 +222,7 @@ def mix_sources(
         "mix_taken": F.when(size > 0, upto("mix_last", end) - upto("mix_first", start)).otherwise(F.lit(0)).cast("long"),
         "mix_copies": F.when(size > 0, F.col("mix_mid_times")).otherwise(F.lit(0)).cast("int"),
     })
-    own = ["mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_copies"]
-    return placed.select(*[c for c in docs.columns if c not in own], *own)
+    return placed.select(*kept, *own)
 
 
 def take_documents(mixed: DataFrame) -> DataFrame:

@@ -193,6 +193,16 @@ class PrefixTokens:
         return max(0, done - 1)
 
 
+_COUNTERS: dict[str, PrefixTokens] = {}
+
+
+def counter_of(model_file: str) -> PrefixTokens:
+    """The counter of that vocabulary, one in a process, so that tasks share what it remembers."""
+    if model_file not in _COUNTERS:
+        _COUNTERS[model_file] = PrefixTokens(model_file)
+    return _COUNTERS[model_file]
+
+
 def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096, prefixes: bool = False) -> DataFrame:
     """All rows and columns of docs with n_bytes, n_tokens, over_limit and fit_chars.
 
@@ -211,7 +221,7 @@ def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096, prefixes:
 
     @F.pandas_udf(schema)
     def counted(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        counter = PrefixTokens(model_file)
+        counter = counter_of(model_file)
         for texts in parts:
             rows = []
             for text in texts:

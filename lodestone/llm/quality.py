@@ -24,10 +24,13 @@ BLANK = " \t\n\x0b\x0c\r"
 ENDS = re.compile("[.!?…。！？:;][\"'”’»)\\]]*$")
 #: Separators of menus and bread crumbs.
 MENU = ("|", "»", "›", "•", "·", "→")
-#: What lines of page furniture say; matched in lower case.
+#: What lines of page furniture say in English, German, French and Spanish; matched in lower case.
 PHRASES = (
     "all rights reserved", "click here", "cookie policy", "enable javascript", "log in", "lorem ipsum", "privacy policy",
     "read more", "share this", "sign in", "sign up", "skip to content", "subscribe to", "terms of service", "terms of use",
+    "alle rechte vorbehalten", "allgemeine geschäftsbedingungen", "cookie-einstellungen", "datenschutzerklärung", "hier klicken", "jetzt anmelden", "mehr lesen", "newsletter abonnieren", "nutzungsbedingungen", "zum inhalt springen",
+    "aller au contenu", "cliquez ici", "conditions d’utilisation", "conditions générales", "en savoir plus", "lire la suite", "politique de confidentialité", "s’abonner à", "se connecter", "tous droits réservés",
+    "aviso legal", "haga clic aquí", "iniciar sesión", "leer más", "política de cookies", "política de privacidad", "saltar al contenido", "suscríbete", "términos de uso", "todos los derechos reservados",
 )
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_lines long, n_bad_lines long, bad_words long, kept boolean, clean_text string"
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +33,7 @@ LISTED_DOMAINS = tuple(f"{name}.example.{top}" for name in ("ads-track", "adult-
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix by weights 5, 2, 1 takes of every document."""
-    mixed = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    mixed = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), columns=["doc_id"])
     return mixed.select(
         "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
         F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"),
@@ -98,10 +97,7 @@ def op10_prefix_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokenizer(name: str) -> str:
-    """Place of a public vocabulary file: LODESTONE_TOKENIZERS names another folder."""
-    folder = os.environ.get("LODESTONE_TOKENIZERS", "/opt/tokenizers")
-    if os.path.exists(path := os.path.join(folder, name)):
-        return path
+    """Place of a public vocabulary file."""
     import public_tokenizers
 
     return str(public_tokenizers.path(name))

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, has_columns
+from .common import cut, has_columns, number_copies
 
 
 def _hash(*parts: object) -> int:
@@ -99,17 +99,19 @@ def shard_documents(
     With epsilon 0 the shards' counts differ by one row at most; otherwise none holds more than
     (1 + epsilon) times the mean. The key is doc_id with the text's CRC and size, so that rows
     without doc_id spread too. A null text counts as an empty one: size 1, CRC 0. Rows equal in
-    all of these may swap places among themselves. An empty table gives an empty table.
+    all of these may swap places among themselves; they are numbered first and the number is part
+    of their key, so that a third of all rows may be equal. An empty table gives an empty table.
     """
     has_columns(docs, "doc_id", "text")
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     own = ["size", "text_crc32", "shard", "slot"]
     kept = [c for c in (docs.columns if columns is None else columns) if c not in own]
     keyed = docs.select(*kept, F.col("doc_id").alias("ring_id"), (F.length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
-    keyed = keyed.withColumn("ring_hash", F.xxhash64(F.lit(seed), "ring_id", "text_crc32", "size"))
-    keyed = keyed.withColumn("ring_slot", F.shiftrightunsigned("ring_hash", 64 - slots_log2).cast("int"))
+    keyed = keyed.withColumn("ring_row", F.xxhash64(F.lit(seed), "ring_id", "text_crc32", "size"))
     if columns is not None:
         keyed = cut(keyed)  # narrow rows, so that the texts are read once
+    keyed = number_copies(keyed, "ring_row", "ring_copy").withColumn("ring_hash", F.when(F.col("ring_copy") == 0, F.col("ring_row")).otherwise(F.xxhash64("ring_row", "ring_copy")))
+    keyed = keyed.withColumn("ring_slot", F.shiftrightunsigned("ring_hash", 64 - slots_log2).cast("int"))
 
     counts = [0] * (1 << slots_log2)
     for r in keyed.groupBy("ring_slot").count().collect():  # a row for each slot of the ring at most

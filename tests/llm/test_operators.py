@@ -11,7 +11,7 @@ import random
 import re
 from pyspark.sql import functions as F
 
-from lodestone.llm import blocks, chroma, licenses, linededup, mixing, packing, prefix_tokens, probminhash, quality, sharding, urlfilter
+from lodestone.llm import blocks, chroma, common, licenses, linededup, mixing, packing, prefix_tokens, probminhash, quality, sharding, urlfilter
 from lodestone.llm.graph import components
 from lodestone.llm.queries import LISTED_DOMAINS, ORACLES, QUERIES, URL_RULES, tokenizer
 
@@ -170,6 +170,68 @@ def test_a_new_shard_moves_few_keys():
     assert set(Counter(shard for *_, shard, _ in [(lo, hi, shard, b) for _, lo, hi, shard, b in tight for _ in range(hi - lo)]).values()) == {rows // 8}
 
 
+def test_ring_against_brute_force():
+    rng, shards, vnodes, slots, seed = random.Random(8), 5, 6, 64, 3
+    nodes = sorted((sharding._hash(seed, "node", s, v), s) for s in range(shards) for v in range(vnodes))
+    orders = sharding.ring_orders(shards, vnodes, slots, seed)
+    for slot in range(slots):
+        # Clockwise: nodes of the slot itself first, then those of the next ones, round the ring.
+        met = sorted(nodes, key=lambda n: ((n[0] % slots - slot) % slots, n[0]))
+        assert orders[slot] == list(dict.fromkeys(s for _, s in met))
+    for epsilon in (0, 0.1, 0.5):
+        counts = [rng.choice([0, 1, 5, 40]) for _ in range(slots)]
+        capacity = sharding.capacities(sum(counts), shards, epsilon)
+        # Key by key: in each turn the slots in seeded order, a key at a time.
+        left, load, home = {s: list(range(n)) for s, n in enumerate(counts)}, [0] * shards, {}
+        for turn in range(shards):
+            for s in sorted(left, key=lambda s: sharding._hash(seed, "slot", s)):
+                for key in list(left[s]):
+                    shard = orders[s][turn]
+                    if load[shard] < capacity[shard]:
+                        home[s, key] = (shard, load[shard])
+                        load[shard] += 1
+                        left[s].remove(key)
+        got = {(s, k): (shard, base + k - lo) for s, lo, hi, shard, base in sharding.place(counts, orders, capacity, seed) for k in range(lo, hi)}
+        assert got == home and len(got) == sum(counts)
+
+
+@pytest.mark.parametrize(("epsilon", "all_moves", "between_old"), [(0.0, 0.16, 0.02), (0.25, 0.13, 0.02)])
+def test_moves_to_a_ninth_shard(epsilon, all_moves, between_old):
+    rng = random.Random(1)
+    counts = [sum(rng.random() < 0.5 for _ in range(40)) for _ in range(8192)]
+    rows = sum(counts)
+
+    def homes(n):
+        parts = sharding.place(counts, sharding.ring_orders(n, 64, 8192, 7), sharding.capacities(rows, n, epsilon), 7)
+        return {(s, k): shard for s, lo, hi, shard, _ in parts for k in range(lo, hi)}
+
+    one, two = homes(8), homes(9)
+    assert sum(one[k] != two[k] for k in one) < all_moves * rows
+    assert sum(one[k] != two[k] != 8 for k in one) < between_old * rows
+
+
+def test_repeated_rows_are_numbered(spark, edges):
+    rows = [(None, None, None, None, None)] * 120 + [(5, prose(1, 40), "en", "a", 1)] * 120 + [(100 + i, prose(i, 30), "en", "b", 1) for i in range(60)]
+    docs = spark.createDataFrame(rows, edges.schema).repartition(5)
+    keyed = docs.withColumn("key", F.xxhash64("doc_id", "text"))
+    got = defaultdict(list)
+    for r in common.number_copies(keyed, "key", "copy").collect():
+        got[r.key].append(r.copy)
+    assert sorted(map(len, got.values()))[-2:] == [120, 120] and all(sorted(v) == list(range(len(v))) for v in got.values())
+    placed = sharding.shard_documents(docs, columns=["doc_id"]).collect()
+    counts = Counter(r.shard for r in placed)
+    assert len(placed) == 300 and max(counts.values()) - min(counts.values()) <= 1 and len({(r.shard, r.slot) for r in placed}) == 300
+    check_mix(rows, mixing.mix_sources(docs).collect())
+    narrow = mixing.mix_sources(docs, columns=["doc_id"])
+    assert narrow.columns[0] == "doc_id" and narrow.count() == 300
+
+
+def test_many_sources_are_planned_in_a_task(edges, monkeypatch):
+    rows = sorted((str(r.doc_id), str(r.text), r.mix_taken) for r in mixing.mix_sources(edges).collect())
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 2)
+    assert sorted((str(r.doc_id), str(r.text), r.mix_taken) for r in mixing.mix_sources(edges, house=65_536).collect()) == rows
+
+
 # 4 Near copies
 
 
