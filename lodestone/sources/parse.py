@@ -30,10 +30,12 @@ PARSED = (
 )
 
 
-def parse(artifacts: DataFrame, inline_limit: int = 1024) -> DataFrame:
+def parse(artifacts: DataFrame, inline_limit: int = 1024, fallback: str | None = None) -> DataFrame:
     """One row of PARSED for each artifact; what cannot be parsed has an error and nulls.
 
     Sections of at most inline_limit bytes carry their data. Addresses from 2^63 on are negative.
+    With fallback (Raw, say) that parser takes what is empty, null, or refused by the parser of
+    its format; sizes of null content stay null.
     """
     detected = artifacts.withColumn("format", format_column()).select("artifact_id", "format", "content")
     names = [x.split()[0] for x in f"artifact_id string, error string, {METADATA}, {FLAGS}".split(", ")] + ["sections", "symbols", "imports", "exports"]
@@ -47,7 +49,12 @@ def parse(artifacts: DataFrame, inline_limit: int = 1024) -> DataFrame:
                         raise ParseError("empty data")
                     row = {"artifact_id": key, "error": None, **PARSERS[form](bytes(content), inline_limit)}
                 except (ParseError, OverflowError, RecursionError) as e:
-                    row = {"artifact_id": key, "error": str(e), "format": form, "size": len(content or b"")}
+                    if fallback is None:
+                        row = {"artifact_id": key, "error": str(e), "format": form, "size": len(content or b"")}
+                    else:
+                        row = {"artifact_id": key, "error": None, **PARSERS[fallback](bytes(content or b""), inline_limit)}
+                        if content is None:
+                            row |= {"size": None, "sections": [{**s, "size": None, "data": None} for s in row["sections"]]}
                 out.append([row.get(n) for n in names])
             frame = pd.DataFrame(out, columns=names, dtype=object)
             for c in ("size", "entry_point", "base_address", "timestamp"):
