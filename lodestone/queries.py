@@ -28,6 +28,11 @@ def query(f: Query) -> Query:
     return f
 
 
+def with_bytes(artifacts: DataFrame) -> DataFrame:
+    """Artifacts that have content: bytes are described for these only."""
+    return artifacts.where(F.col("length") > 0)
+
+
 def r6(c: str, name: str | None = None):
     return F.round(c, 6).alias(name or c)
 
@@ -37,18 +42,18 @@ def r6(c: str, name: str | None = None):
 
 @query
 def entropy_packing_levels(spark, sf):
-    p = entropy.packing(b.documents(spark, sf))
+    p = entropy.packing(with_bytes(b.documents(spark, sf)))
     return p.groupBy("obfuscation_level").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("entropy"), 4).alias("entropy"), F.count_if("is_packed").alias("packed"))
 
 
 @query
 def artifact_entropy(spark, sf):
-    return entropy.artifact_entropy(b.documents(spark, sf)).select("artifact_id", r6("entropy"))
+    return entropy.artifact_entropy(with_bytes(b.documents(spark, sf))).select("artifact_id", r6("entropy"))
 
 
 @query
 def page_entropy(spark, sf):
-    return entropy.artifact_entropy(b.pages(spark, sf)).select("artifact_id", r6("entropy"))
+    return entropy.artifact_entropy(with_bytes(b.pages(spark, sf))).select("artifact_id", r6("entropy"))
 
 
 @query
@@ -58,7 +63,7 @@ def byte_frequencies(spark, sf):
 
 @query
 def byte_chi_square(spark, sf):
-    return b.documents(spark, sf).select("artifact_id", F.round(entropy.content_chi_square("content"), 4).alias("chi_square"))
+    return with_bytes(b.documents(spark, sf)).select("artifact_id", F.round(entropy.content_chi_square("content"), 4).alias("chi_square"))
 
 
 @query
@@ -73,7 +78,7 @@ def dense_regions(spark, sf):
 
 @query
 def packing_indicators(spark, sf):
-    return entropy.packing(b.documents(spark, sf)).select("artifact_id", r6("entropy"), "is_packed", "packer_name", "compression_ratio", "obfuscation_level")
+    return entropy.packing(with_bytes(b.documents(spark, sf))).select("artifact_id", r6("entropy"), "is_packed", "packer_name", "compression_ratio", "obfuscation_level")
 
 
 @query
@@ -108,18 +113,18 @@ def byte_views(spark, sf):
 
 @query
 def hexdumps(spark, sf):
-    return b.documents(spark, sf).select("artifact_id", binary.hexdump("content").alias("dump"))
+    return with_bytes(b.documents(spark, sf)).select("artifact_id", binary.hexdump("content").alias("dump"))
 
 
 @query
 def parsed_metadata(spark, sf):
-    p = parsing.parse(b.documents(spark, sf))
+    p = parsing.parse(b.documents(spark, sf), fallback="Raw")
     return parsing.metadata(p).select("artifact_id", "error", "size", "format", "architecture", "entry_point", "base_address", "compiler_info", "endian", "nx_bit", "pie")
 
 
 @query
 def parsed_sections(spark, sf):
-    s = parsing.children(parsing.parse(b.documents(spark, sf)), "sections")
+    s = parsing.children(parsing.parse(b.documents(spark, sf), fallback="Raw"), "sections")
     return s.select("artifact_id", "ordinal", "name", "address", "size", "offset", "perm_read", "perm_write", "perm_execute", "section_type", F.length("data").alias("inline"))
 
 
@@ -168,7 +173,8 @@ def top_pattern_categories(spark, sf):
 @query
 def overlapping_counts(spark, sf):
     c = "content"
-    return b.documents(spark, sf).select("artifact_id", binary.count_overlapping(c, binary.regex_of(b"the")).alias("the"), binary.count_overlapping(c, "\\x74\\x68.\\x20").alias("wild"))
+    counts = {"the": binary.count_overlapping(c, binary.regex_of(b"the")), "wild": binary.count_overlapping(c, "\\x74\\x68.\\x20")}
+    return b.documents(spark, sf).select("artifact_id", *[F.coalesce(n, F.lit(0)).alias(k) for k, n in counts.items()])
 
 
 @query
@@ -457,4 +463,4 @@ def user_sessions(spark, sf):
 
 @query
 def artifact_triage(spark, sf):
-    return streams.triage(b.pages(spark, sf)).select("artifact_id", "format", "length", r6("entropy"), "level", "packer_name")
+    return streams.triage(with_bytes(b.pages(spark, sf))).select("artifact_id", "format", "length", r6("entropy"), "level", "packer_name")
