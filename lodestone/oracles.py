@@ -139,7 +139,129 @@ CLOSURE = """hops as (select distinct caller, callee from edges),
 _library = "(" + " or ".join([f"starts_with(name, '{p}')" for p in LIBRARY_PREFIXES] + [f"contains(name, '{p}')" for p in LIBRARY_NAMES]) + ")"
 _order = "[" + ", ".join(f"'{s}'" for s in SEVERITIES) + "]"
 
+# What parsing the samples must give, said from the numbers they are made of (see plans.samples).
+KS = "ks as (select p_partkey as k, p_partkey // 7 as n, p_partkey % 7 as f, p_partkey::varchar as artifact_id from part)"
+
+
+def _rows(*structs: str) -> str:
+    return f"unnest([{', '.join('{' + x + '}' for x in structs)}], recursive := true)"
+
+
+def _section(ordinal: int, name: str, kind: str, address: str = "0", size: str = "0", w: bool = False, x: bool = False, offset: str = "0", inline: str = "null") -> str:
+    name = name if name.startswith("[") else f"'{name}'"
+    return f"'ordinal': {ordinal}, 'name': {name}, 'section_type': '{kind}', 'address': ({address})::bigint, 'size': ({size})::bigint, 'w': {w}, 'x': {x}, 'offset': ({offset})::bigint, 'inline': ({inline})::int"
+
+
+_ELF_ROWS = [
+    (".text", "Code", "4198400 + 16 * k", "14 + k % 32", False, True), (".data", "Data", "5242880", "8", True, False), (".rodata", "ReadOnlyData", "5308416", "k % 3", False, False),
+    (".debug_info", "Debug", "0", "1", False, False), (".bss", "Bss", "5373952", "k % 2000", True, False), (".note", "Note", "0", "1", False, False), (".rela", "Relocation", "0", "0", False, False),
+    (".dynamic", "Dynamic", "0", "0", True, False), (".odd", "Other:SHT_99", "0", "0", False, False), (".big", "ReadOnlyData", "5439488", "2000", False, False),
+    (".symtab", "Symbol", "0", "6 * (24 - 8 * f)", False, False), (".strtab", "String", "0", "32", False, False), (".dynsym", "Other:SHT_11", "0", "4 * (24 - 8 * f)", False, False),
+    (".dynstr", "String", "0", "18", False, False), ("['.comment', '.go.buildinfo', '.rustc', '.plain'][n % 4 + 1]", "ReadOnlyData", "0", "[17, 1, 1, 1][n % 4 + 1]", False, False),
+    (".shstrtab", "String", "0", "[120, 125, 118, 118][n % 4 + 1]", False, False),
+]
+_ELF = ", ".join([
+    "elf as (select * from ks where f in (0, 1))",
+    f"elf_rows as (select artifact_id, k, f, {_rows(_section(0, '', 'Other:SHT_0', inline='0'), *[_section(i + 1, *row) for i, row in enumerate(_ELF_ROWS)])} from elf)",
+    """elf_sections as (
+        select * replace (
+            case when ordinal > 0 then 64 - 12 * f + (56 - 24 * f) * ((k % 5 <> 0)::int + (k % 3 = 0)::int) + coalesce(sum(case when section_type = 'Bss' then 0 else size end) over (partition by artifact_id order by ordinal rows between unbounded preceding and 1 preceding), 0) else 0 end::bigint as "offset",
+            case when section_type <> 'Bss' and size <= 1024 then size end::int as inline) from elf_rows)""",
+])
+_SECTION_COLUMNS = 'artifact_id, ordinal, name, address, size, "offset", true as perm_read, w as perm_write, x as perm_execute, section_type, inline'
+_PE_ROWS = _rows(
+    _section(0, ".text", "Code", "4096", "14", False, True, "1024", "512"), _section(1, ".data", "Data", "8192", "1024", True, False, "1536", "1024"), _section(2, ".rdata", "ReadOnlyData", "12288", "k % 64", False, False, "2560"),
+    _section(3, ".bss", "Bss", "16384", "99", True), _section(4, ".odd", "Other:PE_SECTION", "20480", "1"),
+)
+_MACHO_ROWS = _rows(*[
+    _section(i, name, kind, str(4096 + 64 * i), "14" if i == 0 else f"{8 * i} + k % 8", False, False, "0" if i == 3 else str(1024 + 64 * i), "null" if i == 3 else "14" if i == 0 else f"{8 * i} + k % 8")
+    for i, (name, kind) in enumerate((("__text", "Code"), ("__data", "Data"), ("__const", "ReadOnlyData"), ("__bss", "Bss"), ("__debug_line", "Debug"), ("__other", "Other:MACHO_SECTION")))
+])
+_WASM_ROWS = _rows(
+    _section(0, "note", "Other:note", "0", "k % 50", False, False, "16"), _section(1, "import", "Other:Import", "0", "24", False, False, "29 + k % 50"), _section(2, "export", "Other:Export", "0", "12", False, False, "61 + k % 50"),
+    _section(3, "code", "Code", "0", "9", False, True, "76 + 4 * (k % 3 > 0)::int + k % 50"), _section(4, "data", "Data", "0", "2 + k % 7", True, False, "88 + 4 * (k % 3 > 0)::int + k % 50"),
+)
+_SYMBOL = "'ordinal': {}, 'name': '{}', 'demangled_name': {}, 'address': ({})::bigint, 'size': ({})::bigint, 'symbol_type': '{}', 'binding': '{}', 'visibility': '{}', 'section_index': {}::bigint"
+_ELF_SYMBOLS = _rows(
+    _SYMBOL.format(0, "main", "null::varchar", "4198400 + 16 * k", "14", "Function", "Global", "Default", "1"), _SYMBOL.format(1, "_Z3foov", "'demangled__Z3foov'", "4198404 + 16 * k", "k % 9", "Function", "Weak", "Hidden", "1"),
+    _SYMBOL.format(2, "local", "null", "8", "4", "Object", "Local", "Internal", "2"), _SYMBOL.format(3, "file.c", "null", "0", "0", "File", "Local", "Protected", "null"), _SYMBOL.format(4, "odd", "null", "0", "0", "Other:STT_15", "Other:STB_3", "Default", "null"),
+)
+_JAR_SYMBOLS = _rows(*[_SYMBOL.format(i, name, "null::varchar", "0", size, "Object", "Global", "Default", "null") for i, (name, size) in enumerate((("a/B.class", "k % 100"), ("C.class", "7")))])
+_BINARY_SYMBOLS = f"symbols as (select artifact_id, {_ELF_SYMBOLS} from ks where f in (0, 1) union all select artifact_id, {_JAR_SYMBOLS} from ks where f = 5 and n % 3 = 1)"
+_FALSE = ", ".join("false" for _ in range(8))
+#: (offset, bytes, mnemonic, operands, flow, offset of the target, category) of the samples' code, for 64 and 32 bits.
+_CODE = {
+    64: [(0, "55", "push", "rbp", "Sequential", None, "Memory"), (1, "4889E5", "mov", "rbp, rsp", "Sequential", None, "Memory")],
+    32: [(0, "55", "push", "ebp", "Sequential", None, "Memory"), (1, "48", "dec", "eax", "Sequential", None, "Arithmetic"), (2, "89E5", "mov", "ebp, esp", "Sequential", None, "Memory")],
+}
+_CODE_END = [(4, "7501", "jne", None, "ConditionalJump", 7, "Control"), (6, "CC", "int3", "", "Interrupt", None, "System"), (7, "E801000000", "call", None, "Call", 13, "Control"), (12, "90", "nop", "", "Sequential", None, "Unknown"), (13, "C3", "ret", "", "Return", None, "Control")]
+_quoted = lambda x: "null" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
+_CODE_ROWS = ", ".join(f"({bits}, {i}, {', '.join(map(_quoted, row))})" for bits, rows in _CODE.items() for i, row in enumerate(rows + _CODE_END))
+BINARY_CODE = f"""with {KS},
+    machine as (
+        select artifact_id, k, case when f < 2 then ['X86', 'X86_64', '', '', '', '', '', '', ''][n % 9 + 1] when f < 4 then ['X86', 'X86_64', '', '', ''][n % 5 + 1] when f = 4 and k % 2 = 1 then ['X86', 'X86_64', '', '', '', '', ''][n % 7 + 1] end as a,
+            case when f < 2 then 4198400 + 16 * k else 4096 end::bigint as function_addr, case when f < 2 then k % 32 when f < 4 then 498 else 0 end as zeros from ks where f < 5),
+    x86 as (select *, case a when 'X86' then 32 else 64 end as bits from machine where a in ('X86', 'X86_64')),
+    code(bits, idx, place, bytes, mnemonic, operands, flow_kind, goal, category) as (values {_CODE_ROWS}),
+    body as (
+        select artifact_id, function_addr, idx, function_addr + place as address, bytes, mnemonic, coalesce(operands, '0x' || lower(to_hex(function_addr + goal))) as operands, flow_kind, function_addr + goal as flow_target, strlen(bytes) // 2 as size, category
+        from x86 join code using (bits)
+        union all
+        select artifact_id, function_addr, j + case bits when 64 then 7 else 8 end, function_addr + 14 + 2 * j, '0000', 'add', case bits when 64 then 'byte [rax], al' else 'byte [eax], al' end, 'Sequential', null, 2, 'Arithmetic'
+        from (select *, unnest(range(zeros // 2)) as j from x86)
+        union all
+        select artifact_id, 4096 + 64 * i, j, 4096 + 64 * i + 2 * j, '0000', 'add', case bits when 64 then 'byte [rax], al' else 'byte [eax], al' end, 'Sequential', null, 2, 'Arithmetic'
+        from (select *, unnest(range((8 * i + k % 8) // 2)) as j from (select *, unnest([1, 2, 4, 5]) as i from x86 where k % 7 = 4)))
+    select artifact_id, function_addr::bigint as function_addr, idx::int as idx, address::bigint as address, bytes, mnemonic, operands, flow_kind, flow_target::bigint as flow_target, size::int as size, category from body"""
+
 ORACLES: dict[str, str] = {
+    "binary_formats": f"""with {KS} select case when f < 2 then 'Elf' when f < 4 then 'Pe' when f = 4 then 'MachO' when f = 5 then 'Java' else ['Wasm', 'Raw', 'Raw', 'Elf', null][n % 5 + 1] end as format,
+        count(*) as n, count(*) filter (f = 6 and n % 5 = 4) as errors from ks group by 1""",
+    "binary_predicates": f"""with {KS} select artifact_id, f < 2 or (f = 6 and n % 5 = 3) as is_elf, f in (2, 3) as is_pe, f = 4 or (f = 5 and n % 3 <> 1) as is_macho, f = 5 or (f = 6 and n % 5 = 1) as is_java,
+        f = 6 and n % 5 = 0 as is_wasm, true as is_raw from ks""",
+    "binary_metadata": f"""with {KS},
+        own(artifact_id, failed, format, architecture, entry_point, base_address, "timestamp", compiler_info, endian, nx_bit, aslr, stack_canary, cfi, fortify, pie, relro, signed) as (
+            select artifact_id, false, 'Elf', ['X86', 'X86_64', 'Arm', 'Arm64', 'Mips', 'PowerPC', 'PowerPC64', 'RiscV', 'Unknown'][n % 9 + 1], case when k % 3 > 0 then 4198400 + 16 * k end, null, null,
+                ['GCC: (sample) 13', 'Go compiler', 'Rust compiler', null][n % 4 + 1], ['Little', 'Big'][f + 1], k % 5 > 0 and k % 2 = 0, n % 2 = 0, false, false, false, n % 2 = 0, k % 3 = 0, false from ks where f < 2
+            union all select artifact_id, false, 'Pe', ['X86', 'X86_64', 'Arm', 'Arm64', 'Unknown'][n % 5 + 1], [5368709120, 4194304][f - 1] + 4096 + k % 256, [5368709120, 4194304][f - 1], 1600000000 + k,
+                case when k % 4 > 0 then 'MSVC (detected from symbols)' end, 'Little', k % 2 = 1, k % 3 = 0, false, k % 5 = 0, false, k % 3 = 0, false, k % 4 = 1 from ks where f in (2, 3)
+            union all select artifact_id, false, 'MachO', ['X86', 'X86_64', 'Arm', 'Arm64', 'PowerPC', 'PowerPC64', 'Unknown'][n % 7 + 1], null, null, null, 'Unknown Apple toolchain', case when n % 4 < 2 then 'Little' else 'Big' end,
+                true, k % 2 = 1, false, false, false, k % 2 = 1, false, false from ks where f = 4
+            union all select artifact_id, false, 'Java', 'Jvm', null, null, null, case n % 3 when 0 then 'Java class version ' || (45 + k % 20) || '.' || (k % 4) when 1 then 'Java archive' else 'Java class version 0.0' end, 'Big', {_FALSE} from ks where f = 5
+            union all select artifact_id, false, 'Wasm', 'Wasm', case when k % 3 > 0 then k % 3 end, null, null, null, 'Little', {_FALSE} from ks where f = 6 and n % 5 = 0
+            union all select artifact_id, false, 'Raw', 'Unknown', null, 0, null, null, 'Little', {_FALSE} from ks where f = 6 and n % 5 in (1, 2)
+            union all select artifact_id, true, ['Elf', null][n % 5 - 2], null, null, null, null, null, null, {_FALSE.replace('false', 'null')} from ks where f = 6 and n % 5 > 2)
+        select * replace (entry_point::bigint as entry_point, base_address::bigint as base_address, "timestamp"::bigint as "timestamp") from own""",
+    "binary_sections": f"""with {KS}, {_ELF},
+        others as (
+            select artifact_id, {_PE_ROWS} from ks where f in (2, 3)
+            union all select * exclude (k) replace (k % 2 = 0 as w, k % 2 = 1 as x) from (select artifact_id, k, {_MACHO_ROWS} from ks where f = 4)
+            union all select artifact_id, {_rows(_section(0, "['class', 'jar', 'class'][n % 3 + 1]", 'Data', '0', '[8 + k % 9, 312 + k % 100, 4][n % 3 + 1]'))} from ks where f = 5
+            union all select artifact_id, {_WASM_ROWS} from ks where f = 6 and n % 5 = 0
+            union all select artifact_id, {_rows(_section(0, '.data', 'Data', '0', 'case n % 5 when 1 then 118 + k % 100 else 1 + k % 2000 end', False, False, '0', 'case when n % 5 = 1 then 118 + k % 100 when k % 2000 < 1024 then 1 + k % 2000 end'))}
+                from ks where f = 6 and n % 5 in (1, 2))
+        select {_SECTION_COLUMNS} from elf_sections union all select {_SECTION_COLUMNS} from others""",
+    "binary_symbols": f"with {KS}, {_BINARY_SYMBOLS} select * from symbols",
+    "binary_demangled": f"with {KS}, {_BINARY_SYMBOLS} select name, case name when '_Z3foov' then 'foo()' end as demangled_name, count(*) as n from symbols group by 1, 2",
+    "binary_imports": f"""with {KS}, own(artifact_id, ordinal, name, library, address, import_ordinal) as (
+            select artifact_id, 0, 'printf', null, null, null from ks where f < 2
+            union all select artifact_id, 0, 'VirtualAllocEx', 'KERNEL32.dll', 9472, 7 from ks where f in (2, 3)
+            union all select artifact_id, 1, 'ORDINAL ' || (k % 1000), 'KERNEL32.dll', 9472 + [8, 4][f - 1], k % 1000 from ks where f in (2, 3)
+            union all select artifact_id, 2, 'VirtualAllocEx', 'user32.dll', 8576, 7 from ks where f in (2, 3)
+            union all select artifact_id, 0, '_printf', '/usr/lib/libSystem.dylib', 4096 + k % 100, null from ks where f = 4
+            union all select artifact_id, 1, '_puts', '/usr/lib/libSystem.dylib', 4096 + k % 100 + [8, 4][n % 2 + 1], null from ks where f = 4
+            union all select artifact_id, 0, 'f' || (k % 10), 'env', null, null from ks where f = 6 and n % 5 = 0
+            union all select artifact_id, 1, 'memory', 'env', null, null from ks where f = 6 and n % 5 = 0)
+        select * replace (address::bigint as address, import_ordinal::int as import_ordinal) from own""",
+    "binary_exports": f"""with {KS}, own(artifact_id, ordinal, name, address, forwarded_name) as (
+            select artifact_id, 0, 'api', 4198408 + 16 * k, null from ks where f < 2
+            union all select artifact_id, 0, 'run', 4096 + k % 256, null from ks where f in (2, 3)
+            union all select artifact_id, 1, 'fwd', 8816, 'lib.func' from ks where f in (2, 3)
+            union all select artifact_id, 0, '_main', 128 + k % 128, null from ks where f = 4
+            union all select artifact_id, 0, 'add', 0, null from ks where f = 6 and n % 5 = 0
+            union all select artifact_id, 1, 'g' || (k % 5), 0, null from ks where f = 6 and n % 5 = 0)
+        select * replace (address::bigint as address) from own""",
+    "binary_code": BINARY_CODE,
     "entropy_packing_levels": f"with {DOCS}, {BYTES}, {WHOLE} select {LEVEL} as obfuscation_level, count(*) as n, round(sum(entropy), 4) as entropy, count(*) filter (entropy > 7.5) as packed from whole group by 1",
     "artifact_entropy": f"with {DOCS}, {BYTES}, {WHOLE} select artifact_id, round(entropy, 6) as entropy from whole",
     "page_entropy": f"with {PAGE_BYTES}, {WHOLE} select artifact_id, round(entropy, 6) as entropy from whole",

@@ -15,6 +15,7 @@ from .operators import instructions as instr
 from .operators import sections as sec
 from .operators import symbols as sym
 from .plans import bindings as b
+from .plans import samples
 from .sources import parse as parsing
 from .sources.artifacts import spread
 from .streaming import streams
@@ -136,6 +137,65 @@ def section_entropy(spark, sf):
     return entropy.section_entropy(docs, sections).select("artifact_id", "name", r6("entropy"))
 
 
+# Binaries of every format (plans.samples)
+
+
+def _binaries(spark, sf):
+    return parsing.parse(spread(samples.binaries(spark, sf)))
+
+
+@query
+def binary_formats(spark, sf):
+    return detect.detect(samples.binaries(spark, sf)).groupBy("format").agg(F.count(F.lit(1)).alias("n"), F.count("error").alias("errors"))
+
+
+@query
+def binary_predicates(spark, sf):
+    return samples.binaries(spark, sf).select("artifact_id", *[c.alias(f"is_{k.lower()}") for k, c in detect.can_parse().items()])
+
+
+@query
+def binary_metadata(spark, sf):
+    m = parsing.metadata(_binaries(spark, sf))
+    own = ("format", "architecture", "entry_point", "base_address", "timestamp", "compiler_info", "endian", *parsing.FEATURES)
+    return m.select("artifact_id", F.col("error").isNotNull().alias("failed"), *own)
+
+
+@query
+def binary_sections(spark, sf):
+    s = parsing.children(_binaries(spark, sf), "sections")
+    return s.select("artifact_id", "ordinal", "name", "address", "size", "offset", "perm_read", "perm_write", "perm_execute", "section_type", F.length("data").alias("inline"))
+
+
+@query
+def binary_symbols(spark, sf):
+    return parsing.children(_binaries(spark, sf), "symbols")
+
+
+@query
+def binary_imports(spark, sf):
+    return parsing.children(_binaries(spark, sf), "imports")
+
+
+@query
+def binary_exports(spark, sf):
+    return parsing.children(_binaries(spark, sf), "exports").select("artifact_id", "ordinal", "name", "address", "forwarded_name")
+
+
+@query
+def binary_code(spark, sf):
+    """Instructions of the executable sections whose architecture is x86."""
+    p = _binaries(spark, sf)
+    code = disasm.section_code(parsing.metadata(p), parsing.children(p, "sections")).where(F.col("architecture").isin("X86", "X86_64"))
+    return disasm.disassemble(code).select("artifact_id", "function_addr", "idx", "address", F.hex("bytes").alias("bytes"), "mnemonic", "operands", "flow_kind", "flow_target", "size", "category")
+
+
+@query
+def binary_demangled(spark, sf):
+    s = sym.demangle_symbols(parsing.children(_binaries(spark, sf), "symbols"), placeholders=False)
+    return s.groupBy("name", "demangled_name").agg(F.count(F.lit(1)).alias("n"))
+
+
 # Patterns and strings
 
 PATTERNS = (
