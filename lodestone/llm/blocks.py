@@ -1,10 +1,13 @@
 """Verified classes of documents from banded signatures, in blocks of bounded size.
 
 Documents that share a band's bucket are linked to its least member; connected components of
-these links are the candidate clusters. A cluster is dealt by hash into blocks of bounded mass,
-and every pair of blocks is one unit of work, so that a cluster of any size spreads over tasks
-and each pair of its members is compared in exactly one place. A unit returns a spanning forest of
-its links, never all pairs. Components of the verified links are the classes.
+these links are the candidate clusters. A cluster is dealt by hash into blocks of bounded mass, and
+the members of a block are compared with each other. That is all for a cluster of one block. In a
+larger one the parts found so far are compared by one representative a part and block, and only
+members that are still in different parts meet again: a large part fills blocks of its own, and
+blocks of the same part do not meet. A large group of near copies so costs what it holds, and no
+link between different parts is lost. A unit of work returns a spanning forest of its links, never
+all pairs. Components of the verified links are the classes.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, written
 from .graph import components
 
 
@@ -32,14 +35,18 @@ def text_key(text: Column) -> Column:
     return F.when(text.isNull(), F.unhex(F.md5(F.lit("null").cast("binary")))).otherwise(key)
 
 
-def postings_links(sets: list[np.ndarray], left: int, enough: Callable[[np.ndarray, int, np.ndarray], np.ndarray], same: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+def postings_links(
+    sets: list[np.ndarray], left: int, enough: Callable[[np.ndarray, int, np.ndarray], np.ndarray], same: Callable[[int, int], bool] | None = None, parts: list | None = None
+) -> list[tuple[int, int]]:
     """A spanning forest of the links between sets (sorted, without repeats).
 
     Sets before index left are compared with those from left on; with left 0 all are compared with
     all. enough(common, size, sizes) says which sets share enough with one of the given size;
-    same(i, j), if given, is asked of those that are not connected yet.
+    same(i, j), if given, is asked of those that are not connected yet. Sets of equal parts, if
+    given, are connected from the start.
     """
-    parent = list(range(len(sets)))
+    first: dict = {}
+    parent = list(range(len(sets))) if parts is None else [first.setdefault(x, i) for i, x in enumerate(parts)]
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -135,11 +142,78 @@ def agreeing(star: DataFrame, marked: DataFrame, share: float, block_rows: int =
     return judged.where("joined").select("a", "b").union(more)
 
 
-def classes(keyed: DataFrame, marked: DataFrame, links: Callable[[], Callable[[list, int], list[tuple[int, int]]]], block_mass: int, agreement: float | None = None, many_bands: bool = False) -> DataFrame:
+def _parts(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """members with part, the class of the links so far."""
+    found = labels.select(F.col("node").alias("labelled"), "label")
+    return written(members.join(found, members["node"] == found["labelled"], "left").select(*members.columns, F.coalesce("label", "node").alias("part")))
+
+
+def _blocks(members: DataFrame, block_mass: int) -> DataFrame:
+    """members (node, first_id, cluster, mass, part) with block and, for blocks that hold one large part alone, pure (that part).
+
+    A part of more than block_mass fills blocks of its own; the others share blocks, each wholly
+    in one, so that they meet there at once.
+    """
+    # Written down step by step: see written().
+    members = written(members)
+    sums = written(members.groupBy("cluster", "part").agg(F.sum("mass").alias("part_mass")))
+    wide = F.col("part_mass") > block_mass
+    small = sums.groupBy("cluster").agg(F.ceil(F.coalesce(F.sum(F.when(~wide, F.col("part_mass"))), F.lit(0)) / block_mass).alias("shared")).select(F.col("cluster").alias("s_cluster"), F.greatest("shared", F.lit(1)).alias("shared"))
+    sums = sums.select(F.col("cluster").alias("p_cluster"), F.col("part").alias("p_part"), wide.alias("wide"), F.ceil(F.col("part_mass") / block_mass).alias("own"))
+    both = members.join(sums, (members["cluster"] == sums["p_cluster"]) & (members["part"] == sums["p_part"])).join(small, members["cluster"] == F.col("s_cluster"))
+    # Numbers of blocks are hashes, so that nothing has to be counted through: two that meet in one only make it fuller.
+    own = F.xxhash64("part", F.pmod(F.xxhash64("node"), F.col("own")))
+    block = F.when(F.col("wide"), own).otherwise(F.pmod(F.xxhash64("part"), F.col("shared")))
+    return written(both.select("node", "first_id", "cluster", "part", block.alias("block"), F.when(F.col("wide"), F.col("part")).alias("pure")))
+
+
+def _units(dealt: DataFrame) -> DataFrame:
+    """A row for each member and each unit (cluster, one, two) that its block is in: all pairs of a cluster's blocks but those of one part."""
+    kinds = written(dealt.groupBy("cluster", "block").agg(F.when(F.count("pure") == F.count(F.lit(1)), F.max("pure")).alias("pure")))
+    left, right = kinds.select("cluster", F.col("block").alias("x"), F.col("pure").alias("x_pure")), kinds.select(F.col("cluster").alias("y_cluster"), F.col("block").alias("y"), F.col("pure").alias("y_pure"))
+    met = left.join(right, left["cluster"] == right["y_cluster"]).where("x_pure is null or y_pure is null or x_pure <> y_pure")
+    pairs = met.select(F.col("cluster").alias("u_cluster"), F.col("x").alias("u_block"), F.least("x", "y").alias("one"), F.greatest("x", "y").alias("two"))
+    both = dealt.join(pairs, (dealt["cluster"] == pairs["u_cluster"]) & (dealt["block"] == pairs["u_block"]))
+    return both.select("node", "first_id", "cluster", "one", "two", "block", "part")
+
+
+def _compared(keyed: DataFrame, units: DataFrame, links: Callable) -> DataFrame:
+    """Links a, b found in units: node, first_id (the row of keyed that has the payload), cluster, one, two, block and part (null: none yet)."""
+    units = written(units)
+    if units.count() <= BROADCAST_ROWS:  # rows of about 100 bytes; beyond that the payloads are shuffled to them
+        units = F.broadcast(units)
+    whole = keyed.join(units, (keyed["text_key"] == units["node"]) & keyed["doc_id"].eqNullSafe(units["first_id"])).select("cluster", "one", "two", "block", "node", "part", "payload")
+
+    def verified(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        compare = links()
+
+        def found(unit: dict, one: int, two: int) -> pd.DataFrame:
+            nodes = sorted(unit, key=lambda k: (unit[k][0] != one, k))
+            left = sum(unit[k][0] == one for k in nodes) if one != two else 0
+            parts = [k if unit[k][1] is None else unit[k][1] for k in nodes]
+            few = len(set(parts)) < 2 or (one != two and not 0 < left < len(nodes))
+            pairs = [] if few else compare([unit[k][2] for k in nodes], left, parts)
+            return pd.DataFrame([(nodes[i], nodes[j]) for i, j in pairs], columns=["a", "b"])
+
+        at, unit = None, {}
+        for part in rows:
+            for cluster, one, two, block, node, label, payload in part.itertuples(index=False, name=None):
+                if at != (cluster, one, two):
+                    if len(unit) > 1:
+                        yield found(unit, *at[1:])
+                    at, unit = (cluster, one, two), {}
+                unit[node] = (block, label, payload)
+        if len(unit) > 1:
+            yield found(unit, *at[1:])
+
+    return whole.repartition("cluster", "one", "two").sortWithinPartitions("cluster", "one", "two").mapInPandas(verified, "a binary, b binary")
+
+
+def classes(keyed: DataFrame, marked: DataFrame, links: Callable[[], Callable[[list, int, list], list[tuple[int, int]]]], block_mass: int, agreement: float | None = None, many_bands: bool = False) -> DataFrame:
     """doc_id, text_key, class_key and class_id for every row of marked.
 
     keyed: doc_id, text_key and payload, what is compared. marked: doc_id, text_key, bands (hashes,
-    array of long) and mass. links() gives a function of payloads and left (see postings_links).
+    array of long) and mass. links() gives a function of payloads, left and parts (see postings_links).
     With agreement, marked has sketch too, and documents of a bucket are linked only if their
     sketches agree in that share of slots: bands of few slots then do not chain strangers.
     With many_bands the rows are made one a text before their bands are spread, which moves the
@@ -160,36 +234,25 @@ def classes(keyed: DataFrame, marked: DataFrame, links: Callable[[], Callable[[l
     texts = marked.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.max("mass").alias("mass"))
     members = cut(clusters.join(texts, clusters["node"] == F.xxhash64(texts["text_key"])).select(F.col("text_key").alias("node"), F.col("label").alias("cluster"), "first_id", "mass"))
     mass = members.groupBy("cluster").agg(F.greatest(F.lit(1), F.ceil(F.sum("mass") / block_mass)).cast("int").alias("blocks")).withColumnRenamed("cluster", "mass_cluster")
-    dealt = members.join(mass, members["cluster"] == mass["mass_cluster"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("node", "first_id", "cluster", "block", "blocks")
-    if members.count() <= BROADCAST_ROWS:  # rows of about 60 bytes; beyond that the payloads are shuffled to them
-        dealt = F.broadcast(dealt)
-    whole = keyed.join(dealt, (keyed["text_key"] == dealt["node"]) & keyed["doc_id"].eqNullSafe(dealt["first_id"])).select("node", "payload", "cluster", "block", "blocks")
-    units = whole.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.select("cluster", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "block", "node", "payload")
-
-    def verified(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compare = links()
-
-        def found(unit: dict, one: int, two: int) -> pd.DataFrame:
-            nodes = sorted(unit, key=lambda k: (unit[k][0] != one, k))
-            left = sum(unit[k][0] == one for k in nodes) if one != two else 0
-            pairs = compare([unit[k][1] for k in nodes], left) if one == two or 0 < left < len(nodes) else []
-            return pd.DataFrame([(nodes[i], nodes[j]) for i, j in pairs], columns=["a", "b"])
-
-        at, unit = None, {}
-        for part in parts:
-            for cluster, one, two, block, node, payload in part.itertuples(index=False, name=None):
-                if at != (cluster, one, two):
-                    if len(unit) > 1:
-                        yield found(unit, *at[1:])
-                    at, unit = (cluster, one, two), {}
-                unit[node] = (block, payload)
-        if len(unit) > 1:
-            yield found(unit, *at[1:])
-
-    pairs = units.repartition("cluster", "one", "two").sortWithinPartitions("cluster", "one", "two").mapInPandas(verified, "a binary, b binary")
-    labels = components(cut(pairs))
+    dealt = written(members.join(mass, members["cluster"] == mass["mass_cluster"]).drop("mass_cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("long")))
+    inside = dealt.select("node", "first_id", "cluster", F.col("block").alias("one"), F.col("block").alias("two"), "block", F.lit(None).cast("binary").alias("part"))
+    pairs = cut(_compared(keyed, inside, links))
+    labels = components(pairs)
+
+    large = dealt.where("blocks > 1")
+    if not large.isEmpty():
+        # Parts of the large clusters so far; a text that has no link yet is a part of its own.
+        parts = _parts(large, labels)
+        first = parts.groupBy("cluster", "part", "block").agg(F.min("node").alias("rep"))
+        reps = parts.join(first.select("rep"), parts["node"] == F.col("rep"), "left_semi")
+        pairs = pairs.unionByName(cut(_compared(keyed, _units(_blocks(reps, block_mass)), links)))
+        labels = components(pairs)
+        parts = _parts(large, labels)
+        open_ = parts.groupBy("cluster").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select(F.col("cluster").alias("open_cluster"))
+        rest = parts.join(open_, parts["cluster"] == open_["open_cluster"], "left_semi")
+        more = cut(_compared(keyed, _units(_blocks(rest, block_mass)), links))
+        if not more.isEmpty():
+            labels = components(pairs.unionByName(more))
 
     # Class ids come from one row a text; both sides of the last join are exchanges, so that Spark can split a large class.
     by_text = texts.select("text_key", "first_id").join(labels, F.col("text_key") == F.col("node"), "left")

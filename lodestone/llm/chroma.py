@@ -204,14 +204,14 @@ def recording_classes(docs: DataFrame, rules: ChromaRules | None = None) -> Data
     marked = cut(keyed.withColumn("m", marks("payload")).select("doc_id", "text_key", "m.bands", "m.sketch", "m.mass", "m.n_frames"))
 
     def links():
-        def compare(texts: list, left: int) -> list[tuple[int, int]]:
+        def compare(texts: list, left: int, parts: list) -> list[tuple[int, int]]:
             own = [codes(word_frames(t), rules) for t in texts]
             sets = [items(x) for x in own]
 
             def enough(common: np.ndarray, size: int, sizes: np.ndarray) -> np.ndarray:
                 return common >= rules.hits * np.maximum(size, sizes)
 
-            return postings_links(sets, left, enough, lambda i, j: matches(own[i], own[j], rules))
+            return postings_links(sets, left, enough, lambda i, j: matches(own[i], own[j], rules), parts)
 
         return compare
 

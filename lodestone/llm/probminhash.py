@@ -172,7 +172,7 @@ def near_classes(docs: DataFrame, rules: NearRules | None = None) -> DataFrame:
     def links():
         shingler = Shingler(rules.width)
         # common / (a + b - common) >= num / den
-        return lambda texts, left: postings_links([np.unique(shingler.all(t)) for t in texts], left, lambda common, size, sizes: (den + num) * common >= num * (size + sizes))
+        return lambda texts, left, parts: postings_links([np.unique(shingler.all(t)) for t in texts], left, lambda common, size, sizes: (den + num) * common >= num * (size + sizes), parts=parts)
 
     return classes(keyed, marked, links, rules.block_shingles)
 

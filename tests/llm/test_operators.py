@@ -301,6 +301,33 @@ def test_near_copies_with_unequal_repeats(spark):
     assert got == {i: i - i % 2 for i in range(80)}
 
 
+@pytest.mark.parametrize("block_mass", [40])
+def test_large_clusters_lose_no_link(spark, block_mass):
+    # One candidate cluster of a large group, small groups, a chain that only neighbours link, and strangers.
+    token_sets = [{f"big{k}" for k in range(9)} | {f"own{i}"} for i in range(60)]
+    token_sets += [{f"g{i % 7}_{k}" for k in range(3)} | {f"x{i}"} for i in range(35)]
+    token_sets += [{f"c{i + k}" for k in range(4)} for i in range(40)] + [{f"s{i}"} for i in range(20)] + [{f"big{k}" for k in range(9)} | {"own0", "late"}]
+    rng = random.Random(2)
+    rng.shuffle(token_sets)
+    rows = [(i, " ".join(sorted(t))) for i, t in enumerate(token_sets)]
+    docs = spark.createDataFrame(rows + rows[:5], "doc_id long, text string")
+    keyed = docs.select("doc_id", blocks.text_key(F.col("text")).alias("text_key"), F.col("text").alias("payload"))
+    marked = keyed.select("doc_id", "text_key", F.array(F.lit(1).cast("long")).alias("bands"), F.lit(10).cast("long").alias("mass"))
+
+    def links():
+        def compare(texts, left, parts):
+            # No pair of a unit is already connected as a whole.
+            assert len(set(parts)) > 1
+            sets = [np.unique(np.array([zlib.crc32(w.encode()) for w in t.split()], np.uint64)) for t in texts]
+            return blocks.postings_links(sets, left, lambda common, size, sizes: 2 * common >= size + sizes - common, parts=parts)
+
+        return compare
+
+    got = {r.doc_id: r.class_id for r in blocks.classes(keyed, marked, links, block_mass).collect()}
+    label = slow_classes(rows, lambda a, b: 2 * len(token_sets[a] & token_sets[b]) >= len(token_sets[a] | token_sets[b]))
+    assert got == {i: label[i] for i in range(len(rows))}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 102), (7, 7)]
     got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
