@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Categories in the order of the test; first the prefixes, then the parts of a mnemonic.
@@ -31,16 +31,17 @@ def category(mnemonic: Column | str) -> Column:
     return out
 
 
+#: The greatest number of 64 bits, as text of 20 digits.
+_MOST = "18446744073709551615"
+
+
 def operand_address(operands: Column | str) -> Column:
     """The address of operands that are nothing but one, in 0x digits or decimal; else null. From 2^63 on it is negative."""
     text = _col(operands)
-    digits = F.regexp_extract(text, "^0x([0-9a-fA-F]+)$", 1)
-    fits = F.length(F.regexp_replace(digits, "^0+", "")) <= 16
-    value = F.conv(F.when((digits != "") & fits, digits), 16, 10).cast("decimal(20,0)")
-    plain = F.when(text.rlike("^\\+?[0-9]{1,20}$"), F.regexp_replace(text, "\\+", "").cast("decimal(20,0)"))
-    whole = F.coalesce(value, F.when(plain <= F.lit("18446744073709551615").cast("decimal(20,0)"), plain))
-    wrapped = F.when(whole >= F.lit("9223372036854775808").cast("decimal(20,0)"), whole - F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(whole)
-    return wrapped.cast("long")
+    digits = F.regexp_extract(text, "^0x0*([0-9a-fA-F]{1,16})$", 1)
+    plain = F.regexp_extract(text, "^\\+?([0-9]{1,20})$", 1)
+    # conv to base -10 gives the signed number with the same bits.
+    return F.when(digits != "", F.conv(digits, 16, -10).cast("long")).when((plain != "") & (F.lpad(plain, 20, "0") <= _MOST), F.conv(plain, 10, -10).cast("long"))
 
 
 def flow(mnemonic: Column | str, operands: Column | str) -> Column:
@@ -58,6 +59,16 @@ def flow(mnemonic: Column | str, operands: Column | str) -> Column:
     return F.struct(kind.alias("kind"), F.when(kind.isin("Jump", "ConditionalJump", "Call"), target).alias("target"))
 
 
+def with_flow(instructions: DataFrame) -> DataFrame:
+    """instructions with flow_kind and flow_target from mnemonic and operands.
+
+    The struct goes through a generator, so that it is computed once: as columns of a projection it
+    would be copied into every later expression that uses it.
+    """
+    kept = [c for c in instructions.columns if c not in ("flow_kind", "flow_target")]
+    return instructions.select(*kept, F.inline(F.array(flow("mnemonic", "operands"))).alias("flow_kind", "flow_target"))
+
+
 def split_text(text: Column | str) -> Column:
     """Struct (mnemonic, operands) of a formatted instruction, split at the first blank."""
     t = F.trim(_col(text))

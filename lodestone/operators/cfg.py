@@ -20,17 +20,27 @@ LOOPS = ("loop", "loope", "loopne", "loopz", "loopnz")
 TRAPS = ("int", "syscall", "sysenter")
 
 
+def by_function(df: DataFrame) -> DataFrame:
+    """df with a function's rows in one partition; windows and aggregates by KEY and more need no other shuffle."""
+    return df.repartition(*KEY)
+
+
 def with_blocks(instructions: DataFrame) -> DataFrame:
     """Instructions with block, from 0 in address order: a block begins at the first instruction, after a terminator, or at a target.
 
     Jumps, conditional jumps, calls, returns and interrupts are terminators; indirect ones are not.
+    A target meets the instruction at its address as one more row there, in the partition of the
+    function, so that one shuffle is enough.
     """
-    order = Window.partitionBy(*KEY).orderBy("idx")
-    targets = instructions.where(F.col("flow_kind").isin("Jump", "ConditionalJump", "Call")).select(*KEY, F.col("flow_target").alias("address")).distinct().withColumn("is_target", F.lit(True))
-    marked = instructions.join(targets, [*KEY, "address"], "left")
+    order, same = Window.partitionBy(*KEY).orderBy("idx"), Window.partitionBy(*KEY, "_at")
+    goes = F.col("flow_kind").isin("Jump", "ConditionalJump", "Call") & F.col("flow_target").isNotNull()
+    spread = by_function(instructions).withColumn("_goal", F.explode(F.when(goes, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    met = spread.withColumn("_at", F.when(F.col("_goal"), F.col("flow_target")).otherwise(F.col("address")))
+    marked = met.withColumn("_target", F.max("_goal").over(same)).where(~F.col("_goal"))
     after = F.lag(F.col("flow_kind").isin("Jump", "ConditionalJump", "Call", "Return", "Interrupt")).over(order)
-    leader = F.coalesce("is_target", F.lit(False)) | F.coalesce(after, F.lit(False)) | (F.row_number().over(order) == 1)
-    return marked.withColumn("leader", leader.cast("int")).withColumn("block", (F.sum("leader").over(order) - 1).cast("int")).drop("is_target", "leader")
+    leader = F.col("_target") | F.coalesce(after, F.lit(False)) | (F.row_number().over(order) == 1)
+    numbered = marked.withColumn("_leader", leader.cast("int")).withColumn("block", (F.sum("_leader").over(order) - 1).cast("int"))
+    return numbered.select(*instructions.columns, "block")
 
 
 def blocks(blocked: DataFrame) -> DataFrame:
@@ -47,30 +57,34 @@ def blocks(blocked: DataFrame) -> DataFrame:
 
 def edges(block_rows: DataFrame) -> DataFrame:
     """Edges (src, dst, ord): a jump goes to its target's block, a condition there and then on, returns and interrupts nowhere, all else on."""
-    order = Window.partitionBy(*KEY).orderBy("block")
-    b = block_rows.withColumn("next", F.lead("block").over(order))
-    on = b.where(F.col("next").isNotNull() & ~F.col("flow_kind").isin("Jump", "Return", "Interrupt")).select(*KEY, F.col("block").alias("src"), F.col("next").alias("dst"), F.lit(1).alias("ord"))
-    starts = block_rows.select(*KEY, F.col("start").alias("flow_target"), F.col("block").alias("dst"))
-    to = block_rows.where(F.col("flow_kind").isin("Jump", "ConditionalJump")).select(*KEY, "flow_target", F.col("block").alias("src"))
-    jumps = to.join(starts, [*KEY, "flow_target"]).select(*KEY, "src", "dst", F.lit(0).alias("ord"))
-    return jumps.unionByName(on)
+    order, same = Window.partitionBy(*KEY).orderBy("block"), Window.partitionBy(*KEY, "_at")
+    kind = F.col("flow_kind")
+    follow = F.lead("block").over(order)
+    b = block_rows.select(*KEY, "block", "start", "flow_kind", "flow_target", F.when(~kind.isin("Jump", "Return", "Interrupt"), follow).alias("_next"))
+    # A jump meets the block at its target as one more row there.
+    jumps = kind.isin("Jump", "ConditionalJump") & F.col("flow_target").isNotNull()
+    spread = b.withColumn("_goal", F.explode(F.when(jumps, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    met = spread.withColumn("_at", F.when(F.col("_goal"), F.col("flow_target")).otherwise(F.col("start")))
+    met = met.withColumn("_dst", F.when(F.col("_goal"), F.max(F.when(~F.col("_goal"), F.col("block"))).over(same)).otherwise(F.col("_next")))
+    return met.where("_dst is not null").select(*KEY, F.col("block").alias("src"), F.col("_dst").alias("dst"), F.when(F.col("_goal"), 0).otherwise(1).alias("ord"))
 
 
 def graph(block_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
     """Blocks with successors (in order), predecessors (sorted) and block_type."""
+    own = [c for c in block_rows.columns if c not in (*KEY, "block")]
     nobody = F.lit(None).cast("int")
 
     def end(block: str, to: Column, origin: Column) -> Column:
         return F.struct(F.col(block).alias("block"), to.alias("to"), origin.alias("from"))
 
-    # Both ends of an edge meet in one aggregate, so that there is one shuffle and one join.
-    ends = edge_rows.select(*KEY, F.explode(F.array(end("src", F.col("dst"), nobody), end("dst", nobody, F.col("src")))).alias("e"), "ord")
-    ends = ends.select(*KEY, "e.*", "ord")
+    # Blocks and both ends of edges meet in one aggregate, so that nothing is joined.
+    ends = edge_rows.select(*KEY, F.explode(F.array(end("src", F.col("dst"), nobody), end("dst", nobody, F.col("src")))).alias("e"), "ord").select(*KEY, "e.*", "ord")
+    both = by_function(block_rows.select(*KEY, "block", F.struct(*own).alias("own")).unionByName(ends, allowMissingColumns=True))
     step = F.when(F.col("to").isNotNull(), F.struct("ord", "to"))
-    met = ends.groupBy(*KEY, "block").agg(F.transform(F.array_sort(F.collect_list(step)), lambda x: x["to"]).alias("successors"), F.array_sort(F.collect_list("from")).alias("predecessors"))
-    none = F.array().cast("array<int>")
-    g = block_rows.join(met, [*KEY, "block"], "left")
-    g = g.withColumns({"successors": F.coalesce("successors", none), "predecessors": F.coalesce("predecessors", none)})
+    met = both.groupBy(*KEY, "block").agg(
+        F.max("own").alias("own"), F.transform(F.array_sort(F.collect_list(step)), lambda x: x["to"]).alias("successors"), F.array_sort(F.collect_list("from")).alias("predecessors")
+    )
+    g = met.where("own is not null").select(*KEY, "block", *[F.col(f"own.{c}").alias(c) for c in own], "successors", "predecessors")
     return g.withColumn("block_type", block_type())
 
 
@@ -88,11 +102,14 @@ def cyclomatic(edge_count: Column, block_count: Column) -> Column:
 
 def cognitive(blocked: DataFrame, graph_rows: DataFrame) -> DataFrame:
     """cognitive by function: a running fold whose nesting is a window sum over what came before."""
-    wide = graph_rows.select(*KEY, "block", (F.size("successors") > 1).alias("splits"))
-    m, rows = F.col("mnemonic"), blocked.join(wide, [*KEY, "block"])
-    in_block, before = Window.partitionBy(*KEY, "block").orderBy(F.desc("idx")), Window.partitionBy(*KEY).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    deeper = m.isin(*LOOPS).cast("int") + (F.col("splits") & (F.row_number().over(in_block) == 1)).cast("int")
-    rows = rows.withColumn("deeper", deeper).withColumn("nest", F.coalesce(F.sum("deeper").over(before), F.lit(0)))
+    # Whether a block splits comes to its instructions as one more row of the block.
+    wide = graph_rows.select(*KEY, "block", (F.size("successors") > 1).alias("_split"))
+    both = by_function(blocked.select(*KEY, "block", "idx", "mnemonic", "flow_kind").unionByName(wide, allowMissingColumns=True))
+    splits, m = F.max("_split").over(Window.partitionBy(*KEY, "block")), F.col("mnemonic")
+    rows = both.withColumn("splits", splits).where(F.col("idx").isNotNull())
+    last, before = Window.partitionBy(*KEY).orderBy("idx"), Window.partitionBy(*KEY).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    ends = F.coalesce(F.lead("block").over(last) != F.col("block"), F.lit(True))
+    rows = rows.withColumn("deeper", m.isin(*LOOPS).cast("int") + (F.col("splits") & ends).cast("int")).withColumn("nest", F.coalesce(F.sum("deeper").over(before), F.lit(0)))
     points = (F.col("flow_kind") == "ConditionalJump").cast("int") + m.isin(*CONDITIONS, *LOOPS).cast("int")
     return rows.groupBy(*KEY).agg(F.sum(points * (1 + F.col("nest")) + m.isin(*TRAPS).cast("int")).alias("cognitive"))
 

@@ -37,14 +37,14 @@ def cfg_dot(blocks: DataFrame, edges: DataFrame) -> DataFrame:
     return body.select(*key, F.concat(F.lit("digraph CFG {\n"), "body", F.lit("\n}\n")).alias("dot"))
 
 
-def call_graph_dot(nodes: DataFrame, edges: DataFrame, most: int = 1000, counts: bool = False, addresses: bool = True) -> DataFrame:
-    """artifact_id and dot: the first nodes by address, coloured by type, and the edges between them, styled by call type.
+def call_graph_dot(nodes: DataFrame, edges: DataFrame, most: int = 1000, counts: bool = False, addresses: bool = True, colours: bool = True) -> DataFrame:
+    """artifact_id and dot: the first nodes by address, coloured by type (all alike without colours), and the edges between them, styled by call type.
 
     nodes: artifact_id, address, name, node_type. edges: artifact_id, caller, callee, call_type.
     Attribute lists are always closed.
     """
     colour, style = F.lit("lightgray"), F.lit("")
-    for k, v in COLOURS.items():
+    for k, v in COLOURS.items() if colours else ():
         colour = F.when(F.col("node_type") == k, v).otherwise(colour)
     for k, v in STYLES.items():
         style = F.when(F.col("call_type") == k, v).otherwise(style)

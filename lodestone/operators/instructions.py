@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.instructions import category, flow
+from ..functions.instructions import category, with_flow
 
 
 def classified(instructions: DataFrame) -> DataFrame:
     """With category, flow_kind and flow_target from mnemonic and operands."""
-    f = flow("mnemonic", "operands")
-    return instructions.withColumns({"category": category("mnemonic"), "flow_kind": f["kind"], "flow_target": f["target"]})
+    return with_flow(instructions).withColumn("category", category("mnemonic"))
 
 
 def shares(instructions: DataFrame, column: str) -> DataFrame:

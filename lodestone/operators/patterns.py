@@ -25,7 +25,8 @@ class Pattern:
 @dataclass(frozen=True)
 class MatchConfig:
     case_sensitive: bool = True
-    max_matches: int = 1000
+    #: Matches of an artifact; None for all.
+    max_matches: int | None = 1000
     min_length: int = 3
     #: Strings match in content that is not UTF-8 too.
     latin1: bool = False
@@ -35,16 +36,16 @@ class MatchConfig:
 
 #: The built-in signatures.
 BUILTIN = (
-    Pattern("PE_MZ", "magic", b"MZ", "FileFormat", "DOS/PE executable signature"),
-    Pattern("ELF", "magic", b"\x7fELF", "FileFormat", "ELF executable signature"),
-    Pattern("Mach_O_32", "magic", b"\xfe\xed\xfa\xce", "FileFormat", "Mach-O 32-bit signature"),
-    Pattern("Mach_O_64", "magic", b"\xfe\xed\xfa\xcf", "FileFormat", "Mach-O 64-bit signature"),
-    Pattern("GCC", "string", "GCC:", "Compiler", "GCC compiler signature"),
-    Pattern("MSVC", "string", "Microsoft C/C++", "Compiler", "Microsoft Visual C++ signature"),
-    Pattern("UPX", "string", "UPX!", "Packer", "UPX packer signature"),
-    Pattern("MD5_Init", "bytes", b"\x01\x23\x45\x67", "Crypto", "MD5 initialization constants"),
-    Pattern("Suspicious_API", "string", "VirtualAllocEx", "Malware", "Suspicious Windows API call"),
-    Pattern("CreateProcess", "string", "CreateProcessA", "Api", "Windows CreateProcess API"),
+    Pattern("PE_MZ", "magic", b"MZ", "FileFormat", "begins like a DOS or PE file"),
+    Pattern("ELF", "magic", b"\x7fELF", "FileFormat", "begins like an ELF file"),
+    Pattern("Mach_O_32", "magic", b"\xfe\xed\xfa\xce", "FileFormat", "begins like a Mach-O file of 32 bits"),
+    Pattern("Mach_O_64", "magic", b"\xfe\xed\xfa\xcf", "FileFormat", "begins like a Mach-O file of 64 bits"),
+    Pattern("GCC", "string", "GCC:", "Compiler", "GCC's comment"),
+    Pattern("MSVC", "string", "Microsoft C/C++", "Compiler", "names Microsoft's compiler"),
+    Pattern("UPX", "string", "UPX!", "Packer", "UPX's mark"),
+    Pattern("MD5_Init", "bytes", b"\x01\x23\x45\x67", "Crypto", "a constant of MD5's start"),
+    Pattern("Suspicious_API", "string", "VirtualAllocEx", "Malware", "a call that takes memory in another process"),
+    Pattern("CreateProcess", "string", "CreateProcessA", "Api", "a call that starts a process"),
 )
 
 
@@ -62,54 +63,60 @@ def hex_regex(pattern: str) -> bytes:
     return b"".join(b"." if c == "??" else re.escape(bytes([int(c, 16)])) for c in cells)
 
 
-def _compile(p: Pattern, config: MatchConfig) -> tuple[re.Pattern | None, bool, int]:
-    """(regex with the match in group 1, whether the content must be UTF-8, length or 0 if it varies)."""
+def _compile(p: Pattern, config: MatchConfig) -> tuple[re.Pattern | None, bool, bool]:
+    """(regex with the match in group 1, whether the content must be UTF-8, whether its lower case is searched)."""
     raw = p.data.encode() if isinstance(p.data, str) else p.data
     if p.kind == "magic":
-        return re.compile(rb"\A(?=(" + re.escape(raw) + rb"))", re.S), False, len(raw)
+        return re.compile(rb"\A(?=(" + re.escape(raw) + rb"))", re.S), False, False
     if p.kind == "hex":
         body = hex_regex(p.data if isinstance(p.data, str) else p.data.decode())
-        return re.compile(rb"(?=(" + body + rb"))", re.S), False, 0
+        return re.compile(rb"(?=(" + body + rb"))", re.S), False, False
     if p.kind == "regex" and config.regex:
-        return re.compile(rb"(?=(" + raw + rb"))", re.S), False, 0
+        return re.compile(rb"(?=(" + raw + rb"))", re.S), False, False
     if p.kind not in ("bytes", "string") or not raw or len(raw) < config.min_length:
-        return None, False, 0
+        return None, False, False
     if p.kind == "string" and not config.case_sensitive:
-        return re.compile(rb"(?=(" + re.escape(raw) + rb"))", re.S | re.I), not config.latin1, len(raw)
-    return re.compile(rb"(?=(" + re.escape(raw) + rb"))", re.S), p.kind == "string" and not config.latin1, len(raw)
+        if config.latin1:
+            return re.compile(rb"(?=(" + re.escape(raw) + rb"))", re.S | re.I), False, False
+        return re.compile(rb"(?=(" + re.escape(raw.decode().lower().encode()) + rb"))", re.S), True, True
+    return re.compile(rb"(?=(" + re.escape(raw) + rb"))", re.S), p.kind == "string" and not config.latin1, False
 
 
 def search(artifacts: DataFrame, patterns: Sequence[Pattern] | None = None, config: MatchConfig | None = None) -> DataFrame:
     """artifact_id, pattern_idx, name, category, offset, length, data and confidence of every match.
 
     Matches overlap. An artifact has at most config.max_matches, in the order (pattern, offset).
-    Strings match only where the whole content is UTF-8 (unless config.latin1); without case
-    sensitivity ASCII letters are folded. Empty patterns match nothing.
+    Strings match only where the whole content is UTF-8 (unless config.latin1). Without case
+    sensitivity the lower case of content and pattern is compared (of ASCII letters alone with
+    config.latin1); offset counts bytes of the lowered content and data are the content's own bytes
+    there. Empty patterns match nothing.
     """
     config, patterns = config or MatchConfig(), list(BUILTIN if patterns is None else patterns)
     compiled = [_compile(p, config) for p in patterns]
+    most = float("inf") if config.max_matches is None else config.max_matches
 
     @F.pandas_udf("array<struct<pattern_idx int, offset long, data binary>>")
     def found(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
             out = []
             for content in part:
-                data, rows, utf8 = bytes(content or b""), [], None
-                for i, (regex, needs_text, _) in enumerate(compiled):
-                    if regex is None or len(rows) >= config.max_matches:
+                data, rows, text, low = bytes(content or b""), [], None, b""
+                for i, (regex, needs_text, folded) in enumerate(compiled):
+                    if regex is None or len(rows) >= most:
                         continue
                     if needs_text:
-                        if utf8 is None:
+                        if text is None:
                             try:
-                                data.decode()
-                                utf8 = True
+                                text = data.decode()
                             except UnicodeDecodeError:
-                                utf8 = False
-                        if not utf8:
+                                text = False
+                        if text is False:
                             continue
-                    for m in regex.finditer(data):
-                        rows.append({"pattern_idx": i, "offset": m.start(), "data": m[1]})
-                        if len(rows) >= config.max_matches:
+                    if folded and not low and text:
+                        low = text.lower().encode()
+                    for m in regex.finditer(low if folded else data):
+                        rows.append({"pattern_idx": i, "offset": m.start(), "data": data[m.start() : m.end(1)] if folded else m[1]})
+                        if len(rows) >= most:
                             break
                 out.append(rows)
             yield pd.Series(out, dtype=object)

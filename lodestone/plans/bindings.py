@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.instructions import flow
+from ..functions.instructions import with_flow
 from ..operators.security import API_LISTS
 from ..sources.artifacts import from_column
 
@@ -74,8 +74,7 @@ def instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.coalesce(F.get_json_object("props", "$.k"), F.lit("0"))
     operands = F.when(m.isin("jne", "je", "jmp", "call", "loop"), (F.pmod(F.col("event_id") * 7, F.lit(61)) * 4).cast("string")).when(m.isin("ret", "nop", "syscall"), F.lit("")).otherwise(F.concat(F.lit("r"), k, F.lit(", "), F.col("event_type")))
     rows = e.select(F.pmod("user_id", F.lit(50)).cast("string").alias("artifact_id"), F.col("user_id").alias("function_addr"), idx.alias("idx"), (idx * 4).cast("long").alias("address"), m.alias("mnemonic"), operands.alias("operands"), F.lit(4).alias("size"))
-    f = flow("mnemonic", "operands")
-    return rows.withColumns({"flow_kind": f["kind"], "flow_target": f["target"]})
+    return with_flow(rows)
 
 
 def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

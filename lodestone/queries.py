@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -324,8 +323,8 @@ def cfg_edges(spark, sf):
 
 
 def _graph(spark, sf):
-    blocked = cfg.with_blocks(b.instructions(spark, sf)).persist(StorageLevel.MEMORY_AND_DISK)
-    rows = cfg.blocks(blocked).persist(StorageLevel.MEMORY_AND_DISK)
+    blocked = cfg.with_blocks(b.instructions(spark, sf))
+    rows = cfg.blocks(blocked)
     return blocked, cfg.graph(rows, cfg.edges(rows))
 
 
