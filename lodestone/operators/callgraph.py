@@ -2,31 +2,26 @@
 
 nodes: artifact_id, address, name. edges: artifact_id, caller, callee, call_type; one row for each
 call site. Depth and recursion grow a frontier by joins; each round is checkpointed, so a lost
-executor costs one round.
+executor costs one round. What is not settled after ROUNDS rounds (long call chains) is settled
+artifact by artifact in one Python pass that is linear in the artifact's calls.
 """
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut
+
 #: What makes a name a library function's, and the names of entry points.
 LIBRARY_PREFIXES = ("libc_", "libm_", "__", "_GLOBAL_", "std::", "_ZN", "_Z")
 LIBRARY_NAMES = ("printf", "scanf", "malloc", "free", "strlen", "strcpy", "strcat", "memcpy", "memset", "fopen", "fclose", "fread", "fwrite", "msvcrt", "kernel32", "ntdll")
 ENTRY_NAMES = ("_start", "main", "DllMain")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
-
-
 def is_library(name: Column | str) -> Column:
     """A prefix, or one of the names anywhere inside."""
     n, out = (F.col(name) if isinstance(name, str) else name), F.lit(False)
@@ -76,32 +71,104 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return both.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("in_degree", "out_degree")})
 
 
+#: Rounds of joins before the rest is settled by artifact.
+ROUNDS = 24
+
+
+def _by_artifact(rows: DataFrame, solve: Callable[[list[tuple]], list[tuple[int, int]]]) -> DataFrame:
+    """artifact_id, address and value of solve(rows of an artifact: (a, b) pairs, sorted); rows: artifact_id, a and b."""
+    dealt = rows.select("artifact_id", "a", "b").repartition("artifact_id").sortWithinPartitions("artifact_id", "a", "b")
+    names = ["artifact_id", "address", "value"]
+
+    def solved(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(artifact: str, pairs: list[tuple]) -> pa.RecordBatch:
+            found = solve(pairs)
+            return pa.RecordBatch.from_arrays([pa.array([artifact] * len(found), pa.string()), pa.array([x for x, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int32())], names=names)
+
+        now, pairs = None, []
+        for part in parts:
+            for artifact, a, b in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if artifact != now:
+                    if pairs:
+                        yield batch(now, pairs)
+                    now, pairs = artifact, []
+                pairs.append((a, b))
+        if pairs:
+            yield batch(now, pairs)
+
+    return dealt.mapInArrow(solved, "artifact_id string, address long, value int")
+
+
+def farther(pairs: list[tuple], step: int, most: int | None) -> list[tuple[int, int]]:
+    """(address, depth) of what a breadth-first search still reaches: a pair (address, null) is on the front at depth step, (caller, callee) a call to a node not seen before."""
+    calls: dict[int, list[int]] = {}
+    front = []
+    for a, b in pairs:
+        if b is None:
+            front.append(a)
+        else:
+            calls.setdefault(a, []).append(b)
+    seen, out = set(front), []
+    while front and (most is None or step < most):
+        step += 1
+        front = [b for a in front for b in calls.get(a, ()) if not (b in seen or seen.add(b))]
+        out += [(b, step) for b in front]
+    return out
+
+
 def depths(edges: DataFrame, entries: DataFrame, most: int | None = None) -> DataFrame:
     """artifact_id, address and depth, the least number of calls from an entry point, of all that can be reached."""
     hops = edges.select("artifact_id", F.col("caller").alias("address"), "callee").distinct()
-    front = seen = _cut(entries.select("artifact_id", "address", F.lit(0).alias("depth")).distinct())
+    front = seen = cut(entries.select("artifact_id", "address", F.lit(0).alias("depth")).distinct())
     step = 0
-    while most is None or step < most:
+    while (most is None or step < most) and step < ROUNDS:
         step += 1
         reached = front.join(hops, ["artifact_id", "address"]).select("artifact_id", F.col("callee").alias("address")).distinct()
-        front = _cut(reached.join(seen, ["artifact_id", "address"], "left_anti").withColumn("depth", F.lit(step)))
+        front = cut(reached.join(seen, ["artifact_id", "address"], "left_anti").withColumn("depth", F.lit(step)))
         if front.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(front)
+    if most is None or step < most:
+        # Calls to nodes that are not reached yet, and the front that they are searched from.
+        known = seen.select("artifact_id", F.col("address").alias("callee"))
+        left = hops.join(known, ["artifact_id", "callee"], "left_anti").select("artifact_id", F.col("address").alias("a"), F.col("callee").alias("b"))
+        rows = left.unionByName(front.select("artifact_id", F.col("address").alias("a"), F.lit(None).cast("long").alias("b")))
+        seen = seen.unionByName(_by_artifact(rows, lambda pairs: farther(pairs, step, most)).withColumnRenamed("value", "depth"))
     return seen
 
 
+def lasting(pairs: list[tuple]) -> list[tuple[int, int]]:
+    """(caller, 1) for callers from which a cycle of the calls can be reached."""
+    into: dict[int, list[int]] = {}
+    out: dict[int, int] = {}
+    for a, b in pairs:
+        into.setdefault(b, []).append(a)
+        out[a] = out.get(a, 0) + 1
+    idle = [b for b in into if b not in out]
+    while idle:
+        for a in into.get(idle.pop(), ()):
+            out[a] -= 1
+            if not out[a]:
+                idle.append(a)
+    return [(a, 1) for a, n in out.items() if n]
+
+
 def recursive(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """artifact_id and address of nodes from which a cycle can be reached: what is left once nodes without calls to others left are taken away."""
-    left = _cut(edges.select("artifact_id", "caller", "callee").distinct())
-    n = left.count()
+    left = cut(edges.select("artifact_id", "caller", "callee").distinct())
+    n, step = left.count(), 0
+    alive = None
     while n:
         callers = left.select("artifact_id", F.col("caller").alias("callee")).distinct()
-        left = _cut(left.join(callers, ["artifact_id", "callee"], "left_semi"))
+        left = cut(left.join(callers, ["artifact_id", "callee"], "left_semi"))
         if (now := left.count()) == n:
             break
-        n = now
-    alive = left.select("artifact_id", F.col("caller").alias("address")).distinct()
+        n, step = now, step + 1
+        if step == ROUNDS:
+            alive = _by_artifact(left.select("artifact_id", F.col("caller").alias("a"), F.col("callee").alias("b")), lasting).select("artifact_id", "address")
+            break
+    if alive is None:
+        alive = left.select("artifact_id", F.col("caller").alias("address")).distinct()
     return nodes.select("artifact_id", "address").distinct().join(alive, ["artifact_id", "address"], "left_semi")
 
 

@@ -63,6 +63,8 @@ MATCHES = f"""{DOCS}, {BYTES},
         union all select artifact_id, 2, 'wild', 'Malware', pos, 4, h || h2 || h3 || h4 from runs where h = '74' and h2 = '68' and h4 = '20'
         union all select artifact_id, 3, 'head', 'FileFormat', pos, 2, h || h2 from runs where pos = 0 and h || h2 = '5468'),
     matches as (select * from (select *, row_number() over (partition by artifact_id order by pattern_idx, "offset") as k from found) where k <= 1000)"""
+#: Without the limit: counts of a corpus are counts of all matches.
+ALL_MATCHES = MATCHES.replace(" where k <= 1000)", ")")
 
 EVENTS = "ev as (select *, (user_id % 50)::varchar as artifact_id from events)"
 IMPORTS = f"imports as (select artifact_id, event_id as ordinal, {_list(APIS)}[(event_id % {len(APIS)} + 1)::int] as name, event_type as library from ev)"
@@ -262,6 +264,25 @@ ORACLES: dict[str, str] = {
             union all select artifact_id, 1, 'g' || (k % 5), 0, null from ks where f = 6 and n % 5 = 0)
         select * replace (address::bigint as address) from own""",
     "binary_code": BINARY_CODE,
+    "builtin_binary_patterns": f"""with {KS}, m as (
+            select artifact_id, 'PE_MZ' as name, 'FileFormat' as category from ks where f in (2, 3)
+            union all select artifact_id, 'ELF', 'FileFormat' from ks where f < 2 or (f = 6 and n % 5 = 3)
+            union all select artifact_id, 'Suspicious_API', 'Malware' from ks where false
+            union all select artifact_id, ['Mach_O_32', 'Mach_O_64'][(n % 2 = 0)::int + 1], 'FileFormat' from ks where f = 4 and n % 4 > 1)
+        select name, category, count(*) as n, count(distinct artifact_id) as artifacts from m group by 1, 2""",
+    "matches_by_category": f"""with {KS} select artifact_id, 'FileFormat' as category, case when f in (2, 3) then 'PE_MZ' when f = 4 then ['Mach_O_32', 'Mach_O_64'][(n % 2 = 0)::int + 1] else 'ELF' end as names
+        from ks where f in (2, 3) or f < 2 or (f = 6 and n % 5 = 3) or (f = 4 and n % 4 > 1)""",
+    "described_regions": f"""with {KS} select artifact_id, 0::bigint as start, case k % 4 when 0 then 1024 else 964 end::bigint as "end",
+        ['Likely encrypted or compressed data', 'Possible cryptographic constants', 'Possible compressed data', 'High entropy region - possible obfuscation'][k % 4 + 1] as description from ks""",
+    "inflated_samples": f"with {KS} select artifact_id, case when k % 4 < 2 then k % 300 end::int as length, k % 4 > 1 as failed from ks",
+    "folded_matches": """with t as (select doc_id::varchar as artifact_id, lower(text) as low from documents),
+            w(name, word) as (values ('é', 'é'), ('ung', 'ung '))
+        select artifact_id, name, ((length(low) - length(replace(low, word, ''))) // length(word))::bigint as n from t, w where contains(low, word)""",
+    "kept_call_nodes": f"with {CALLS} select artifact_id, address, name from nodes qualify row_number() over (partition by artifact_id order by address) <= 20",
+    "program_unreachable": """with recursive calls as (select distinct (e.event_id // 4000)::varchar as artifact_id, e.user_id as caller, f.user_id as callee from events e join events f on f.event_id = e.event_id + 1 where e.event_type = 'click'),
+            nodes as (select artifact_id, caller as address from calls union select artifact_id, callee from calls),
+            reached(artifact_id, address) as (select artifact_id, min(address) from nodes group by 1 union select r.artifact_id, callee from reached r join calls c on c.artifact_id = r.artifact_id and c.caller = r.address)
+        select artifact_id, address from nodes except select artifact_id, address from reached""",
     "entropy_packing_levels": f"with {DOCS}, {BYTES}, {WHOLE} select {LEVEL} as obfuscation_level, count(*) as n, round(sum(entropy), 4) as entropy, count(*) filter (entropy > 7.5) as packed from whole group by 1",
     "artifact_entropy": f"with {DOCS}, {BYTES}, {WHOLE} select artifact_id, round(entropy, 6) as entropy from whole",
     "page_entropy": f"with {PAGE_BYTES}, {WHOLE} select artifact_id, round(entropy, 6) as entropy from whole",
@@ -294,12 +315,12 @@ ORACLES: dict[str, str] = {
             union all select artifact_id, 'head', h from bytes join n using (artifact_id) where n >= 200 and n < 250 and pos < 200),
         e as ({_entropy('artifact_id, name', 'parts')}) select artifact_id, name, round(entropy, 6) as entropy from e""",
     "pattern_matches": f'with {MATCHES} select artifact_id, pattern_idx, name, category, "offset", length, data from matches',
-    "pattern_categories": f'with {MATCHES} select category, name, count(*) as n, count(distinct artifact_id) as artifacts, sum("offset")::bigint as offsets from matches group by 1, 2',
+    "pattern_categories": f'with {ALL_MATCHES} select category, name, count(*) as n, count(distinct artifact_id) as artifacts, sum("offset")::bigint as offsets from matches group by 1, 2',
     "builtin_patterns": """with t as (select html from pages), p(name, category, s, magic) as (values ('PE_MZ', 'FileFormat', 'MZ', true), ('GCC', 'Compiler', 'GCC:', false), ('MSVC', 'Compiler', 'Microsoft C/C++', false),
             ('UPX', 'Packer', 'UPX!', false), ('Suspicious_API', 'Malware', 'VirtualAllocEx', false), ('CreateProcess', 'Api', 'CreateProcessA', false))
         select name, category, sum(case when magic then starts_with(html, s)::bigint else (length(html) - length(replace(html, s, ''))) // length(s) end)::bigint as n from t, p
         where (magic and starts_with(html, s)) or (not magic and contains(html, s)) group by 1, 2""",
-    "top_pattern_categories": f"""with {MATCHES}, totals as (select category, count(*) as n from matches group by 1),
+    "top_pattern_categories": f"""with {ALL_MATCHES}, totals as (select category, count(*) as n from matches group by 1),
         ranked as (select *, row_number() over (partition by category order by artifact_id, pattern_idx, "offset")::int as rank from matches)
         select category, n, rank, artifact_id, name, "offset" from ranked join totals using (category) where rank <= 5""",
     "overlapping_counts": f"""with {DOCS}, {BYTES}, runs as (select artifact_id, h, lead(h) over o as h2, lead(h, 2) over o as h3, lead(h, 3) over o as h4 from bytes window o as (partition by artifact_id order by pos)),

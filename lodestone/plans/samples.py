@@ -6,9 +6,11 @@ function of k and of n = k // 7.
 
 from __future__ import annotations
 
+import gzip
 import io
 import struct
 import zipfile
+import zlib
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -174,3 +176,31 @@ def binaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = spark.read.parquet(f"{sf_dir}/part.parquet")
     rows = parts.select(F.col("p_partkey").cast("string").alias("artifact_id"), made("p_partkey").alias("content"))
     return rows.withColumn("length", F.length("content").cast("long"))
+
+
+def dense_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An artifact of one chunk for each row of part: every byte alike often, or 64 bytes alike often behind a cipher's constant, a gzip mark or nothing."""
+    few = F.repeat(F.unhex(F.lit(bytes(range(64, 128)).hex())).cast("string"), 15)
+    every = F.unhex(F.lit(bytes(range(256)).hex() * 4))
+    kind = F.pmod("p_partkey", F.lit(4))
+    content = F.when(kind == 0, every)
+    for k, mark in ((1, b"\x67\x45\x23\x01"), (2, b"\x1f\x8b\x08\x00"), (3, b"none")):
+        content = content.when(kind == k, F.concat(F.unhex(F.lit(mark.hex())), few.cast("binary")))
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return parts.select(F.col("p_partkey").cast("string").alias("artifact_id"), content.alias("content"))
+
+
+def compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An artifact for each row of part: p_partkey modulo 300 bytes by gzip or zlib, cut off or not packed at all, in turn."""
+
+    @F.pandas_udf("binary")
+    def made(keys: pd.Series) -> pd.Series:
+        def one(k: int) -> bytes:
+            data = b"x" * (k % 300)
+            packed = gzip.compress(data, mtime=0) if k % 4 in (0, 2) else zlib.compress(data)
+            return (packed, packed, packed[:12], data)[k % 4]
+
+        return keys.map(one)
+
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return parts.select(F.col("p_partkey").cast("string").alias("artifact_id"), made("p_partkey").alias("content"))

@@ -15,6 +15,7 @@ from .operators import sections as sec
 from .operators import symbols as sym
 from .plans import bindings as b
 from .plans import samples
+from .sources import artifacts as artifacts_of
 from .sources import parse as parsing
 from .sources.artifacts import spread
 from .streaming import streams
@@ -214,7 +215,7 @@ def pattern_matches(spark, sf):
 
 @query
 def pattern_categories(spark, sf):
-    m = patterns.search(b.documents(spark, sf), PATTERNS)
+    m = patterns.search(b.documents(spark, sf), PATTERNS, patterns.MatchConfig(max_matches=None))
     return m.groupBy("category", "name").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("artifact_id").alias("artifacts"), F.sum("offset").alias("offsets"))
 
 
@@ -226,7 +227,38 @@ def builtin_patterns(spark, sf):
 
 @query
 def top_pattern_categories(spark, sf):
-    return patterns.top_categories(patterns.search(b.documents(spark, sf), PATTERNS))
+    return patterns.top_categories(patterns.search(b.documents(spark, sf), PATTERNS, patterns.MatchConfig(max_matches=None)))
+
+
+@query
+def folded_matches(spark, sf):
+    """Strings without regard to case, letters beyond ASCII too."""
+    words = (patterns.Pattern("é", "string", "É", "Api"), patterns.Pattern("ung", "string", "UNG ", "Api"))
+    m = patterns.search(b.documents(spark, sf), words, patterns.MatchConfig(case_sensitive=False, max_matches=None, min_length=1))
+    return m.groupBy("artifact_id", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def builtin_binary_patterns(spark, sf):
+    m = patterns.search(samples.binaries(spark, sf), patterns.builtin())
+    return m.groupBy("name", "category").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("artifact_id").alias("artifacts"))
+
+
+@query
+def matches_by_category(spark, sf):
+    m = patterns.by_category(patterns.search(samples.binaries(spark, sf), patterns.builtin()))
+    return m.select("artifact_id", "category", F.array_join(F.transform("matches", lambda x: x["name"]), ",").alias("names"))
+
+
+@query
+def described_regions(spark, sf):
+    return entropy.high_entropy_regions(samples.dense_chunks(spark, sf), threshold=5.0).select("artifact_id", "start", "end", "description")
+
+
+@query
+def inflated_samples(spark, sf):
+    s = samples.compressed(spark, sf).select("artifact_id", artifacts_of.decompressed("content").alias("x"))
+    return s.select("artifact_id", F.length("x.data").alias("length"), F.col("x.error").isNotNull().alias("failed"))
 
 
 @query
@@ -465,6 +497,20 @@ def unreachable_functions(spark, sf):
     return callgraph.unreachable(nodes, callgraph.depths(edges, entries)).select("address", "name")
 
 
+@query
+def program_unreachable(spark, sf):
+    """Functions of many programs that their least function does not reach."""
+    nodes, edges = b.program_calls(spark, sf)
+    entries = nodes.groupBy("artifact_id").agg(F.min("address").alias("address"))
+    return callgraph.unreachable(nodes, callgraph.depths(edges, entries)).select("artifact_id", "address")
+
+
+@query
+def kept_call_nodes(spark, sf):
+    nodes, edges, _ = _calls(spark, sf)
+    return callgraph.kept_nodes(nodes, 20).select("artifact_id", "address", "name")
+
+
 @query
 def call_statistics(spark, sf):
     nodes, edges, entries = _calls(spark, sf)

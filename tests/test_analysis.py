@@ -256,3 +256,45 @@ def test_header_fields_that_overflow(spark):
     assert [r.name for r in found.collect()] == ["wide"]
     code = spark.createDataFrame([("a", top - 1, 0, top - 1, "nop", "", 4, "Sequential", None), ("a", 4, 0, 4, "nop", "", 4, "Sequential", None)], "artifact_id string, function_addr long, idx int, address long, mnemonic string, operands string, size int, flow_kind string, flow_target long")
     assert sorted(r.end for r in cfg.blocks(cfg.with_blocks(code)).collect()) == [-(1 << 63) + 2, 8]
+
+
+def test_long_call_chains(spark, monkeypatch):
+    monkeypatch.setattr(callgraph, "ROUNDS", 2)
+    n = 400
+    # a: a chain into a cycle; b: a chain that ends; c: a short one with a branch.
+    calls = [("a", i, i + 1) for i in range(n)] + [("a", n, n - 3), ("a", n - 2, 7)] + [("b", i, i + 1) for i in range(n)] + [("c", 1, 2), ("c", 1, 3), ("c", 3, 3), ("c", 9, 2)]
+    edges = spark.createDataFrame(calls, "artifact_id string, caller long, callee long")
+    ends = edges.select("artifact_id", F.explode(F.array("caller", "callee")).alias("address")).distinct()
+    loops = {(r.artifact_id, r.address) for r in callgraph.recursive(ends, edges).collect()}
+    assert loops == {("a", i) for i in range(n + 1)} | {("c", 1), ("c", 3)}
+    entries = spark.createDataFrame([("a", 5), ("b", 390), ("c", 1)], "artifact_id string, address long")
+    got = {(r.artifact_id, r.address): r.depth for r in callgraph.depths(edges, entries).collect()}
+    assert got == {("a", i): i - 5 for i in range(5, n + 1)} | {("b", i): i - 390 for i in range(390, n + 1)} | {("c", 1): 0, ("c", 2): 1, ("c", 3): 1}
+    assert {r.address: r.depth for r in callgraph.depths(edges.where("artifact_id = 'a'"), entries.where("artifact_id = 'a'"), most=40).collect()} == {i: i - 5 for i in range(5, 46)}
+
+
+def test_settling_by_artifact():
+    assert sorted(callgraph.farther([(1, None), (1, 2), (2, 3), (3, 1), (3, 4), (9, 4)], 5, None)) == [(2, 6), (3, 7), (4, 8)]
+    assert callgraph.farther([(1, None), (1, 2), (2, 3)], 5, 6) == [(2, 6)]
+    assert sorted(callgraph.lasting([(1, 2), (2, 3), (3, 4), (4, 3), (5, 6), (7, 7), (8, 5)])) == [(1, 1), (2, 1), (3, 1), (4, 1), (7, 1)]
+
+
+def test_string_patterns_fold_beyond_ascii(spark):
+    rows = [("a", bytearray("ÉTÉ été Straße STRASSE".encode())), ("b", bytearray(b"\xff \xc9T\xc9")), ("n", None)]
+    files = spark.createDataFrame(rows, "artifact_id string, content binary")
+    words = [patterns.Pattern("été", "string", "Été", "Api"), patterns.Pattern("straße", "string", "STRAßE", "Api")]
+    folded = patterns.search(files, words, patterns.MatchConfig(case_sensitive=False)).collect()
+    assert [(r.name, r.offset, bytes(r.data).decode()) for r in folded] == [("été", 0, "ÉTÉ"), ("été", 6, "été"), ("straße", 12, "Straße")]
+    assert patterns.search(files, words).count() == 0
+    many = spark.createDataFrame([("a", bytearray(b"ab" * 3000))], "artifact_id string, content binary")
+    assert patterns.search(many, [patterns.Pattern("ab", "bytes", b"aba", "Api")]).count() == 1000
+    assert patterns.search(many, [patterns.Pattern("ab", "bytes", b"aba", "Api")], patterns.MatchConfig(max_matches=None)).count() == 2999
+
+
+def test_addresses_in_operands(spark):
+    from lodestone.functions.instructions import operand_address
+
+    rows = ["0x10", "0x000000000000000000ff", "0xffffffffffffffff", "0x8000000000000000", "12", "+12", "18446744073709551615", "18446744073709551616", "00000000000000000007", "0x", "", "rax", "0x1g", "-3", "99999999999999999999", None]
+    got = {r.t: r.v for r in spark.createDataFrame([(r,) for r in rows], "t string").select("t", operand_address("t").alias("v")).collect()}
+    want = [16, 255, -1, -(1 << 63), 12, 12, -1, None, 7, None, None, None, None, None, None, None]
+    assert got == dict(zip(rows, want, strict=True))
