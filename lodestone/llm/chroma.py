@@ -9,7 +9,8 @@ and of differing bits decide.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -61,6 +62,42 @@ def pcm_frames(samples: np.ndarray, rate: int, size: int = 4096, hop: int = 1365
     return np.divide(out, norm, out=np.zeros_like(out), where=norm > 1e-9)
 
 
+def wav_samples(data: bytes | None, rate: int = 11_025) -> tuple[np.ndarray, int]:
+    """Mono samples and their rate of a WAV file of whole numbers; other bytes are taken as 16-bit samples at the given rate.
+
+    A file whose header is broken off or of another coding gives no samples.
+    """
+    data = bytes(data or b"")
+    if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
+        return np.frombuffer(data[: len(data) // 2 * 2], "<i2").astype(float), rate
+    at, channels, width, coding, body = 12, 0, 0, 0, b""
+    while at + 8 <= len(data):
+        name, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
+        part = data[at + 8 : at + 8 + size]
+        if name == b"fmt " and len(part) >= 16:
+            coding, channels = int.from_bytes(part[:2], "little"), int.from_bytes(part[2:4], "little")
+            rate, width = int.from_bytes(part[4:8], "little"), int.from_bytes(part[14:16], "little") // 8
+        elif name == b"data":
+            body = part
+        at += 8 + size + size % 2
+    if coding not in (1, 0xFFFE) or not channels or width not in (1, 2, 3, 4) or not rate:
+        return np.empty(0), rate or 1
+    frame = channels * width
+    raw = np.frombuffer(body[: len(body) // frame * frame], np.uint8).reshape(-1, channels, width)
+    if width == 1:
+        values = raw[:, :, 0].astype(float) - 128
+    else:
+        padded = np.zeros((*raw.shape[:2], 4), np.uint8)
+        padded[:, :, 4 - width :] = raw
+        values = np.ascontiguousarray(padded).view("<i4")[:, :, 0] / 2.0 ** (8 * (4 - width))
+    return values.mean(axis=1), rate
+
+
+def audio_frames(data: bytes | None, rate: int = 11_025) -> np.ndarray:
+    """Pitch-class frames of a WAV file or of raw samples (see wav_samples), three a fold of about 0.37 seconds."""
+    samples, rate = wav_samples(data, rate)
+    size = max(256, 1 << round(math.log2(max(1, rate) * 0.3715)))
+    return pcm_frames(samples, rate, size, size // 3)
 
 
 def word_frames(text: str | None) -> np.ndarray:
@@ -159,7 +196,7 @@ def recording_classes(docs: DataFrame, rules: ChromaRules | None = None) -> Data
     """doc_id, n_frames, n_codes and class_id for every row of docs.
 
     Needs doc_id and text. The tables hold no sound, so a text is played: one frame a word (see
-    word_frames); for recordings, pcm_frames gives the frames. Two recordings match if, at their
+    word_frames); audio_classes takes recordings. Two recordings match if, at their
     best offset, at least rules.hits of the longer one's integers are equal and at most
     rules.errors of the bits differ. class_id is the least doc_id of the connected component;
     equal texts always share one.
@@ -168,8 +205,28 @@ def recording_classes(docs: DataFrame, rules: ChromaRules | None = None) -> Data
     their copies. Rows that repeat each give a row. An empty table gives an empty table.
     """
     has_columns(docs, "doc_id", "text")
-    bounded_batches(docs)
-    rules = rules or ChromaRules()
+    keyed = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.col("text").alias("payload"))
+    return _classes(keyed, word_frames, rules or ChromaRules())
+
+
+def audio_classes(recordings: DataFrame, rules: ChromaRules | None = None, rate: int = 11_025) -> DataFrame:
+    """doc_id, n_frames, n_codes and class_id for every row of recordings.
+
+    Needs doc_id and audio, a binary column of WAV files (whole numbers of 8 to 32 bits, any
+    number of channels) or of raw 16-bit mono samples at the given rate. See recording_classes for
+    what matches. Null, broken and very short recordings have no integers and match nothing but
+    their copies. Rows that repeat each give a row. An empty table gives an empty table.
+    """
+    has_columns(recordings, "doc_id", "audio")
+    key = F.unhex(F.md5(F.coalesce(F.col("audio"), F.unhex(F.lit("")))))
+    key = F.when(F.col("audio").isNull(), F.unhex(F.md5(F.lit("null").cast("binary")))).otherwise(key)
+    keyed = recordings.select("doc_id", key.alias("text_key"), F.col("audio").alias("payload"))
+    return _classes(keyed, lambda data: audio_frames(data, rate), rules or ChromaRules())
+
+
+def _classes(keyed: DataFrame, sound: Callable[..., np.ndarray], rules: ChromaRules) -> DataFrame:
+    """The result of recording_classes for doc_id, text_key and payload, whose frames sound gives."""
+    bounded_batches(keyed)
     slots = rules.bands * rules.rows
 
     @F.pandas_udf("bands array<long>, sketch binary, mass long, n_frames long")
@@ -188,9 +245,9 @@ def recording_classes(docs: DataFrame, rules: ChromaRules | None = None) -> Data
                     held.clear()
 
             for i, text in enumerate(texts):
-                sound = word_frames(text)
-                own = codes(sound, rules)
-                frames[i], mass[i] = len(sound), len(own)
+                heard = sound(text)
+                own = codes(heard, rules)
+                frames[i], mass[i] = len(heard), len(own)
                 if len(own):
                     held.append((i, items(own)))
                     weight += len(own) + slots
@@ -200,12 +257,11 @@ def recording_classes(docs: DataFrame, rules: ChromaRules | None = None) -> Data
             flush()
             yield pd.DataFrame({"bands": bands, "sketch": sketches, "mass": mass, "n_frames": frames})
 
-    keyed = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.col("text").alias("payload"))
     marked = cut(keyed.withColumn("m", marks("payload")).select("doc_id", "text_key", "m.bands", "m.sketch", "m.mass", "m.n_frames"))
 
     def links():
         def compare(texts: list, left: int, parts: list) -> list[tuple[int, int]]:
-            own = [codes(word_frames(t), rules) for t in texts]
+            own = [codes(sound(t), rules) for t in texts]
             sets = [items(x) for x in own]
 
             def enough(common: np.ndarray, size: int, sizes: np.ndarray) -> np.ndarray:

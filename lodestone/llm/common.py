@@ -1,14 +1,14 @@
-"""What the training-data operators share: the word pattern, table reads and lineage cuts."""
+"""What the training-data operators share: the word pattern, table reads, lineage cuts and numbering."""
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut, shared_folder
+
 #: A word: a run of characters other than the six ASCII blanks. Java and Python read it alike.
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: The six blanks as characters, for trimming and counting.
@@ -25,27 +25,6 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints and written stages that driver and executors share.
-
-    It is the one that the cluster names in spark.checkpoint.dir; only where that is unset and the
-    master is local (tests, one machine) a temporary folder stands in.
-    """
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return str(context._jsc.sc().getCheckpointDir().get())
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows from a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def written(df: DataFrame) -> DataFrame:
     """The same rows from a table written in the shared folder.
 

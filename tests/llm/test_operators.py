@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 import random
 import re
+import struct
 from pyspark.sql import functions as F
 
 from lodestone.llm import blocks, chroma, common, licenses, linededup, mixing, packing, prefix_tokens, probminhash, quality, sharding, urlfilter
@@ -372,6 +373,60 @@ def test_recording_classes(edges, nothing, spark):
     assert chroma.recording_classes(nothing).count() == 0
 
 
+def melody(seed, seconds=12.0, rate=11_025):
+    r = np.random.default_rng(seed)
+    notes = 220.0 * 2 ** (r.integers(0, 24, int(seconds / 0.25)) / 12)
+    t = np.arange(int(0.25 * rate)) / rate
+    return np.concatenate([np.sin(2 * np.pi * f * t) + 0.3 * np.sin(4 * np.pi * f * t) for f in notes])
+
+
+def wav(samples, rate=11_025, width=2, channels=1):
+    top = 2.0 ** (8 * width - 1) - 1
+    whole = np.repeat(np.round(samples / np.abs(samples).max() * 0.8 * top).astype(np.int64)[:, None], channels, axis=1)
+    body = (whole + 128).astype(np.uint8).tobytes() if width == 1 else whole.astype("<i8").view(np.uint8).reshape(*whole.shape, 8)[:, :, :width].tobytes()
+    head = b"fmt " + struct.pack("<IHHIIHH", 16, 1, channels, rate, rate * width * channels, width * channels, 8 * width)
+    return b"RIFF" + struct.pack("<I", 4 + len(head) + 8 + len(body)) + b"WAVE" + head + b"data" + struct.pack("<I", len(body)) + body
+
+
+def test_wav_samples():
+    tone = melody(1, 2.0)
+    for width in (1, 2, 3, 4):
+        for channels in (1, 2):
+            samples, rate = chroma.wav_samples(wav(tone, 8_000, width, channels))
+            assert rate == 8_000 and len(samples) == len(tone) and np.corrcoef(samples, tone)[0, 1] > 0.99
+    raw = np.round(tone * 9_000).astype("<i2").tobytes()
+    assert chroma.wav_samples(raw + b"x")[1] == 11_025 and len(chroma.wav_samples(raw + b"x")[0]) == len(tone)
+    for broken in (None, b"", b"RIFF", wav(tone)[:30], b"RIFF\0\0\0\0WAVEfmt \xff\xff\xff\xff", wav(tone).replace(b"fmt ", b"fmx ")):
+        assert chroma.audio_frames(broken).shape[1] == 12
+
+
+def test_audio_classes(spark):
+    rows = [(i, wav(melody(i))) for i in range(6)]
+    rows += [(10, wav(0.3 * melody(0), width=3)), (11, wav(melody(1), channels=2)), (12, wav(np.concatenate([melody(2), melody(77, 1.0)]))), (13, np.round(melody(3) * 8_000).astype("<i2").tobytes())]
+    rows += [(20, None), (21, b""), (22, b"RIFF"), (23, None), (24, wav(melody(4)))]
+    schema = "doc_id long, audio binary"
+    got = {r.doc_id: r.class_id for r in chroma.audio_classes(spark.createDataFrame([(i, None if a is None else bytearray(a)) for i, a in rows], schema)).collect()}
+    assert got == {i: i for i in range(6)} | {10: 0, 11: 1, 12: 2, 13: 3, 20: 20, 21: 21, 22: 22, 23: 20, 24: 4}
+    assert chroma.audio_classes(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_recall_of_planted_recordings(spark):
+    rng, rows, planted = random.Random(12), [], []
+    for i in range(150):
+        text = prose(5000 + i, rng.choice([40, 120, 400]))
+        words = text.split(" ")
+        for _ in range(max(1, len(words) // rng.choice([30, 60, 200]))):
+            words[rng.randrange(len(words))] = "edit"
+        if i % 3 == 0:
+            words = prose(9000 + i, 6).split(" ") + words
+        rows += [(2 * i, text), (2 * i + 1, " ".join(words))]
+        planted.append(chroma.matches(*(chroma.codes(chroma.word_frames(t), chroma.ChromaRules()) for _, t in rows[-2:]), chroma.ChromaRules()))
+    got = {r.doc_id: r.class_id for r in chroma.recording_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    caught = [got[2 * i] == got[2 * i + 1] for i, p in enumerate(planted) if p]
+    # Measured: all of them.
+    assert len(caught) > 60 and sum(caught) >= 0.98 * len(caught), (sum(caught), len(caught))
+
+
 def test_recordings_of_repeated_lines(spark):
     # Six pairs and a trio share 70 refrains of 10 words and nothing else; two more share half of one text.
     r = np.random.default_rng(6)
