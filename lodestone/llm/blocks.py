@@ -142,10 +142,11 @@ def agreeing(star: DataFrame, marked: DataFrame, share: float, block_rows: int =
     return judged.where("joined").select("a", "b").union(more)
 
 
-def _parts(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """members with part, the class of the links so far."""
+def _parts(members: DataFrame, of: str, labels: DataFrame) -> DataFrame:
+    """members with part, the label (node, label) of their column of; the column itself where it has none."""
     found = labels.select(F.col("node").alias("labelled"), "label")
-    return written(members.join(found, members["node"] == found["labelled"], "left").select(*members.columns, F.coalesce("label", "node").alias("part")))
+    own = [c for c in members.columns if c != "part"]
+    return written(members.join(found, members[of] == found["labelled"], "left").select(*own, F.coalesce(F.col("label"), F.col(of)).alias("part")))
 
 
 def _blocks(members: DataFrame, block_mass: int) -> DataFrame:
@@ -177,8 +178,30 @@ def _units(dealt: DataFrame) -> DataFrame:
     return both.select("node", "first_id", "cluster", "one", "two", "block", "part")
 
 
+def _stars(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Links of the same components, each from a number to the least one of its component."""
+    near: dict[int, list[int]] = {}
+    for i, j in pairs:
+        near.setdefault(i, []).append(j)
+        near.setdefault(j, []).append(i)
+    out, seen = [], set()
+    for root in sorted(near):
+        open_ = [root] if root not in seen else []
+        seen.add(root)
+        while open_:
+            for j in near[open_.pop()]:
+                if j not in seen:
+                    seen.add(j)
+                    open_.append(j)
+                    out.append((j, root))
+    return out
+
+
 def _compared(keyed: DataFrame, units: DataFrame, links: Callable) -> DataFrame:
-    """Links a, b found in units: node, first_id (the row of keyed that has the payload), cluster, one, two, block and part (null: none yet)."""
+    """Links a, b found in units: node, first_id (the row of keyed that has the payload), cluster, one, two, block and part (null: none yet).
+
+    In units without parts every link leads to the least node of what the unit connects.
+    """
     units = written(units)
     if units.count() <= BROADCAST_ROWS:  # rows of about 100 bytes; beyond that the payloads are shuffled to them
         units = F.broadcast(units)
@@ -193,6 +216,8 @@ def _compared(keyed: DataFrame, units: DataFrame, links: Callable) -> DataFrame:
             parts = [k if unit[k][1] is None else unit[k][1] for k in nodes]
             few = len(set(parts)) < 2 or (one != two and not 0 < left < len(nodes))
             pairs = [] if few else compare([unit[k][2] for k in nodes], left, parts)
+            if pairs and unit[nodes[0]][1] is None:
+                pairs = _stars(pairs)
             return pd.DataFrame([(nodes[i], nodes[j]) for i, j in pairs], columns=["a", "b"])
 
         at, unit = None, {}
@@ -237,22 +262,17 @@ def classes(keyed: DataFrame, marked: DataFrame, links: Callable[[], Callable[[l
     dealt = written(members.join(mass, members["cluster"] == mass["mass_cluster"]).drop("mass_cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("long")))
     inside = dealt.select("node", "first_id", "cluster", F.col("block").alias("one"), F.col("block").alias("two"), "block", F.lit(None).cast("binary").alias("part"))
     pairs = cut(_compared(keyed, inside, links))
-    labels = components(pairs)
 
     large = dealt.where("blocks > 1")
     if not large.isEmpty():
-        # Parts of the large clusters so far; a text that has no link yet is a part of its own.
-        parts = _parts(large, labels)
-        first = parts.groupBy("cluster", "part", "block").agg(F.min("node").alias("rep"))
-        reps = parts.join(first.select("rep"), parts["node"] == F.col("rep"), "left_semi")
-        pairs = pairs.unionByName(cut(_compared(keyed, _units(_blocks(reps, block_mass)), links)))
-        labels = components(pairs)
-        parts = _parts(large, labels)
+        # Parts of the large clusters' blocks, by their least nodes; these represent them.
+        parts = _parts(large, "node", pairs.select(F.col("a").alias("node"), F.col("b").alias("label")))
+        between = cut(_compared(keyed, _units(_blocks(parts.where("node = part"), block_mass)), links))
+        parts = _parts(parts, "part", components(between))
         open_ = parts.groupBy("cluster").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select(F.col("cluster").alias("open_cluster"))
         rest = parts.join(open_, parts["cluster"] == open_["open_cluster"], "left_semi")
-        more = cut(_compared(keyed, _units(_blocks(rest, block_mass)), links))
-        if not more.isEmpty():
-            labels = components(pairs.unionByName(more))
+        pairs = pairs.unionByName(between).unionByName(cut(_compared(keyed, _units(_blocks(rest, block_mass)), links)))
+    labels = components(pairs)
 
     # Class ids come from one row a text; both sides of the last join are exchanges, so that Spark can split a large class.
     by_text = texts.select("text_key", "first_id").join(labels, F.col("text_key") == F.col("node"), "left")
