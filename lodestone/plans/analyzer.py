@@ -29,14 +29,34 @@ class AnalysisConfig:
 
 
 class Analysis:
-    """Frames of an analysis; what is not asked for is not computed. Parsed rows and instructions are kept in memory and on disk."""
+    """Frames of an analysis; what is not asked for is not computed.
+
+    Parsed rows, instructions, blocks and graphs are kept in memory and on disk until close(), or
+    the end of a with statement.
+    """
 
     def __init__(self, artifacts: DataFrame, config: AnalysisConfig | None = None) -> None:
         self.artifacts, self.config = artifacts, config or AnalysisConfig()
+        self._kept: list[DataFrame] = []
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        self._kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return self._kept[-1]
+
+    def close(self) -> None:
+        """Gives back what is kept; frames can still be used and are computed anew."""
+        while self._kept:
+            self._kept.pop().unpersist()
+
+    def __enter__(self) -> Analysis:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
 
     @cached_property
     def parsed(self) -> DataFrame:
-        return parsing.parse(self.artifacts, self.config.inline_limit).persist(StorageLevel.MEMORY_AND_DISK)
+        return self._keep(parsing.parse(self.artifacts, self.config.inline_limit))
 
     @cached_property
     def metadata(self) -> DataFrame:
@@ -72,16 +92,16 @@ class Analysis:
     @cached_property
     def function_instructions(self) -> DataFrame:
         code = disasm.function_code(self.metadata, self.sections, self.functions.select("artifact_id", "start", "size").distinct())
-        return disasm.disassemble(code).where("mnemonic is not null").persist(StorageLevel.MEMORY_AND_DISK)
+        return self._keep(disasm.disassemble(code).where("mnemonic is not null"))
 
     @cached_property
     def blocked(self) -> DataFrame:
-        return cfg.with_blocks(self.function_instructions)
+        return self._keep(cfg.with_blocks(self.function_instructions))
 
     @cached_property
     def cfg(self) -> DataFrame:
         rows = cfg.blocks(self.blocked)
-        return cfg.graph(rows, cfg.edges(rows))
+        return self._keep(cfg.graph(rows, cfg.edges(rows)))
 
     @cached_property
     def complexity(self) -> DataFrame:

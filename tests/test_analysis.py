@@ -52,6 +52,13 @@ def test_analyzer(files):
     assert report.cyclomatic == 2 and report.node_type == "EntryPoint" and report.depth == 0
     assert a.packing.count() == 7 and a.instruction_totals().first().n >= 6
     assert a.loops.count() == 0 and a.dominators.count() == a.cfg.count()
+    kept = list(a._kept)
+    assert len(kept) == 4 and all(df.storageLevel.useMemory for df in kept)
+    a.close()
+    assert not any(df.storageLevel.useMemory for df in kept) and a.cfg.count() > 0
+    with Analysis(files) as b:
+        assert b.metadata.count() == 7
+    assert not b._kept
 
 
 def test_files_source(spark, tmp_path):
