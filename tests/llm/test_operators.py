@@ -564,6 +564,8 @@ def test_url_edges(spark):
     assert got[7] == ("x.org", "", None, "allow") and got[8][2:] == ("example.org/es/", "block") and got[9][2:] == ("org/", "allow") and got[10][2:] == ("example.org/en/1", "block")
     assert got[11][0] == "y:" and urlfilter.judge_urls(pages.limit(0), URL_RULES, listed).count() == 0
     assert urlfilter.judge_urls(pages, [], listed.limit(0)).where("url_verdict = 'block'").count() == 0
+    twice = urlfilter.judge_urls(pages.union(pages), URL_RULES, listed).collect()
+    assert Counter((r.page_id, r.url_host, r.url_verdict) for r in twice) == {(i, g[0], g[3]): 2 for i, g in got.items()}
 
 
 # 8 Packing
