@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,18 +23,6 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The same rows from a table written in the shared folder.
-
-    Unlike a checkpoint it hands on nothing of its plan: the planner takes equalities between
-    columns over from checkpoints, which grow without end where a frame meets its own aggregates
-    again and again.
-    """
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: Bytes of texts that a Python worker is given at a time.
 BATCH_BYTES = 4 << 20
 

@@ -316,11 +316,9 @@ def test_large_clusters_lose_no_link(spark, block_mass):
     marked = keyed.select("doc_id", "text_key", F.array(F.lit(1).cast("long")).alias("bands"), F.lit(10).cast("long").alias("mass"))
 
     def links():
-        def compare(texts, left, parts):
-            # No pair of a unit is already connected as a whole.
-            assert len(set(parts)) > 1
+        def compare(texts, left):
             sets = [np.unique(np.array([zlib.crc32(w.encode()) for w in t.split()], np.uint64)) for t in texts]
-            return blocks.postings_links(sets, left, lambda common, size, sizes: 2 * common >= size + sizes - common, parts=parts)
+            return blocks.postings_links(sets, left, lambda common, size, sizes: 2 * common >= size + sizes - common)
 
         return compare
 
