@@ -24,6 +24,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows from a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """The same rows from a reliable checkpoint in the shared folder, without what was estimated of them.
+
+    A checkpoint keeps the estimated size and the constraints of the plan that it stands for. A join's
+    estimate is the product of its sides', so that one that a loop joins with itself doubles its
+    digits every round and soon fills the driver.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    done = df.checkpoint()
+    rows = done._jdf.queryExecution().logical().rdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, done._jdf.schema(), False), spark)

@@ -333,6 +333,12 @@ def test_components(spark):
     assert got == {i: 0 for i in range(61)} | {i: 100 for i in (100, 101, 102)}
 
 
+def test_rounds_leave_no_estimates(spark):
+    # The driver holds a plan's estimated size; a round that joins its frame with itself must not square it.
+    links = spark.createDataFrame([((i * 37) % 101, ((i + 1) * 37) % 101) for i in range(100)], "a long, b long")
+    assert components(links)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 2**64
+
+
 # 5 Recordings
 
 
