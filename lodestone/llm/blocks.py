@@ -3,7 +3,9 @@
 Documents that share a band's bucket are linked to its least member; connected components of
 these links are the candidate clusters. A cluster is dealt by hash into blocks of bounded mass,
 and every pair of blocks is one unit of work, so that a cluster of any size spreads over tasks
-and each pair of its members is compared in exactly one place. A unit returns a spanning forest of
+and each pair of its members is compared in exactly one place. Where members have sketches, one
+goes only to those units whose other block holds a member that its sketch agrees with: a chain of
+strangers that agree in pairs costs its pairs, not its square. A unit returns a spanning forest of
 its links, never all pairs. Components of the verified links are the classes.
 """
 
@@ -135,13 +137,77 @@ def agreeing(star: DataFrame, marked: DataFrame, share: float, block_rows: int =
     return judged.where("joined").select("a", "b").union(more)
 
 
-def classes(keyed: DataFrame, marked: DataFrame, links: Callable[[], Callable[[list, int], list[tuple[int, int]]]], block_mass: int, agreement: float | None = None, many_bands: bool = False) -> DataFrame:
+def agreeing_blocks(sketches: np.ndarray, block: np.ndarray, first: int, share: float) -> list[tuple[int, int]]:
+    """(row, block) for each row of sketches and each block that holds another row that agrees with it in at least that share of slots.
+
+    Rows before first are compared with those from first on; with first 0 all are compared with all.
+    """
+    least = np.searchsorted(np.arange(sketches.shape[1] + 1) / sketches.shape[1], share)
+    one, two = (np.arange(first), np.arange(first, len(sketches))) if first else (np.arange(len(sketches)),) * 2
+    columns = np.ascontiguousarray(sketches[two].T)
+    found = []
+    for lo in range(0, len(one), 64):
+        rows = one[lo : lo + 64]
+        common = np.zeros((len(rows), len(two)), np.uint16)
+        for slot, own in zip(columns, sketches[rows].T, strict=True):
+            common += own[:, None] == slot
+        near = common >= least
+        if not first:
+            near[np.arange(len(rows)), rows] = False
+        i, j = np.nonzero(near)
+        found.append(np.stack([rows[i], block[two[j]]], axis=1))
+        if first:
+            found.append(np.stack([two[j], block[rows[i]]], axis=1))
+        found = [np.unique(np.concatenate(found), axis=0)] if sum(map(len, found)) > 1 << 20 else found
+    return list(map(tuple, np.unique(np.concatenate(found), axis=0).tolist())) if found else []
+
+
+def meeting(dealt: DataFrame, marked: DataFrame, share: float, few: bool, block_rows: int = BUCKET_ROWS) -> DataFrame:
+    """met (node) and withs (blocks of its cluster with a member that agrees with it) for the members of clusters of several blocks.
+
+    Sketches are compared in blocks of bounded size, too. few says that dealt may be broadcast.
+    """
+    large = dealt.where("blocks > 1")
+    sizes = large.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts")).withColumnRenamed("cluster", "size_cluster")
+    members = large.join(sizes, large["cluster"] == sizes["size_cluster"]).withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int"))
+    members = members.select("node", "first_id", "cluster", "block", "part", "parts")
+    members = F.broadcast(members) if few else members
+    own = marked.join(members, (marked["text_key"] == members["node"]) & marked["doc_id"].eqNullSafe(members["first_id"])).dropDuplicates(["node"])
+    members = own.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    units = members.select("cluster", F.least("part", "with").alias("one"), F.greatest("part", "with").alias("two"), "part", "node", "block", "sketch")
+
+    def compared(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def found(unit: list[tuple], one: int, two: int) -> pd.DataFrame:
+            unit.sort(key=lambda r: r[0])
+            first = sum(r[0] == one for r in unit) if one != two else 0
+            sketches = np.frombuffer(b"".join(r[3] for r in unit), np.uint8).reshape(len(unit), -1)
+            pairs = agreeing_blocks(sketches, np.array([r[2] for r in unit]), first, share) if one == two or 0 < first < len(unit) else []
+            return pd.DataFrame([(unit[i][1], k) for i, k in pairs], columns=["node", "with"])
+
+        at, unit = None, []
+        for part in rows:
+            for cluster, one, two, *row in part.itertuples(index=False, name=None):
+                if at != (cluster, one, two):
+                    if len(unit) > 1:
+                        yield found(unit, *at[1:])
+                    at, unit = (cluster, one, two), []
+                unit.append(row)
+        if len(unit) > 1:
+            yield found(unit, *at[1:])
+
+    pairs = units.repartition("cluster", "one", "two").sortWithinPartitions("cluster", "one", "two").mapInPandas(compared, "node binary, with int")
+    return cut(pairs.groupBy(F.col("node").alias("met")).agg(F.collect_set("with").alias("withs")))
+
+
+def classes(keyed: DataFrame, marked: DataFrame, links: Callable[[], Callable[[list, int], list[tuple[int, int]]]], block_mass: int, agreement: float | None = None, many_bands: bool = False, prepared: Callable[[Column], Column] | None = None) -> DataFrame:
     """doc_id, text_key, class_key and class_id for every row of marked.
 
     keyed: doc_id, text_key and payload, what is compared. marked: doc_id, text_key, bands (hashes,
     array of long) and mass. links() gives a function of payloads and left (see postings_links).
     With agreement, marked has sketch too, and documents of a bucket are linked only if their
-    sketches agree in that share of slots: bands of few slots then do not chain strangers.
+    sketches agree in that share of slots: bands of few slots then do not chain strangers. Members
+    of a cluster of several blocks are compared only where their sketches agree so. prepared, if
+    given, is applied to the payload of cluster members, once each, and links() gets what it returns.
     With many_bands the rows are made one a text before their bands are spread, which moves the
     arrays once and the bands once instead of the bands twice.
     """
@@ -162,10 +228,18 @@ def classes(keyed: DataFrame, marked: DataFrame, links: Callable[[], Callable[[l
     mass = members.groupBy("cluster").agg(F.greatest(F.lit(1), F.ceil(F.sum("mass") / block_mass)).cast("int").alias("blocks")).withColumnRenamed("cluster", "mass_cluster")
     dealt = members.join(mass, members["cluster"] == mass["mass_cluster"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.select("node", "first_id", "cluster", "block", "blocks")
-    if members.count() <= BROADCAST_ROWS:  # rows of about 60 bytes; beyond that the payloads are shuffled to them
+    withs, rows = F.sequence(F.lit(0), F.col("blocks") - 1), members.count()
+    if agreement is None:
+        dealt = dealt.withColumn("withs", F.lit(None).cast("array<int>"))
+    else:
+        met = meeting(dealt, marked, agreement, rows <= BROADCAST_ROWS)
+        rows += met.agg(F.coalesce(F.sum(F.size("withs")), F.lit(0))).first()[0]
+        dealt = dealt.join(met, dealt["node"] == met["met"], "left").where("blocks = 1 or withs is not null").drop("met")
+    if rows <= BROADCAST_ROWS:  # rows of about 60 bytes; beyond that the payloads are shuffled to them
         dealt = F.broadcast(dealt)
-    whole = keyed.join(dealt, (keyed["text_key"] == dealt["node"]) & keyed["doc_id"].eqNullSafe(dealt["first_id"])).select("node", "payload", "cluster", "block", "blocks")
-    units = whole.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    whole = keyed.join(dealt, (keyed["text_key"] == dealt["node"]) & keyed["doc_id"].eqNullSafe(dealt["first_id"]))
+    whole = whole.select("node", (prepared or F.col)("payload").alias("payload"), "cluster", "block", F.coalesce("withs", withs).alias("withs"))
+    units = whole.withColumn("with", F.explode("withs"))
     units = units.select("cluster", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "block", "node", "payload")
 
     def verified(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

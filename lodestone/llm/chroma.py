@@ -117,32 +117,48 @@ def filters(span: int) -> list[tuple[int, int, int, int]]:
     return [(k % 3, (5 * k) % 9, (2, 4)[k // 3 % 2], max(2, span - 2 * (k % 4))) for k in range(16)]
 
 
+#: Positions whose filters are computed at a time.
+POSITIONS = 1 << 14
+#: log1p of the whole numbers that areas of word_frames take as a rule.
+LOGS = np.log1p(np.arange(4096.0))
+
+
 def codes(frames: np.ndarray, rules: ChromaRules) -> np.ndarray:
     """A 32-bit integer for every position whose patch lies in the recording."""
     n = len(frames) - rules.span + 1
     if n <= 0:
         return np.empty(0, np.uint32)
-    image = np.zeros((len(frames) + 1, 13))
-    image[1:, 1:] = frames.cumsum(axis=0).cumsum(axis=1)
-
-    def area(t: int, p: int, width: int, height: int) -> np.ndarray:
-        height = min(height, 12 - p)
-        a, b = slice(t, t + n), slice(t + width, t + width + n)
-        return image[b, p + height] - image[a, p + height] - image[b, p] + image[a, p]
-
-    out = np.zeros(n, np.uint32)
-    for kind, p, height, width in filters(rules.span):
-        h, w = max(1, height // 2), width // 2
-        if kind == 0:  # low against high pitches
-            one, two = area(0, p, width, h), area(0, p + h, width, h)
-        elif kind == 1:  # early against late frames
-            one, two = area(0, p, w, height), area(w, p, w, height)
-        else:  # one diagonal against the other
-            one = area(0, p, w, h) + area(w, p + h, w, h)
-            two = area(w, p, w, h) + area(0, p + h, w, h)
-        ratio = np.log1p(np.maximum(one, 0)) - np.log1p(np.maximum(two, 0))
+    # A row for each pitch, so that areas are differences of rows that lie in one piece.
+    image = np.zeros((13, len(frames) + 1))
+    np.cumsum(np.ascontiguousarray(frames.T).cumsum(axis=1), axis=0, out=image[1:, 1:])
+    plan = filters(rules.span)
+    if whole := bool(image[-1, -1] < 2**53 and (frames == np.rint(frames)).all()):
+        image = image.astype(np.intp)
+    out = np.empty(n, np.uint32)
+    for lo in range(0, n, POSITIONS):
+        m = min(POSITIONS, n - lo)
+
+        def area(t: int, p: int, width: int, height: int, at: int = lo, m: int = m) -> np.ndarray:
+            height = min(height, 12 - p)
+            a, b = slice(at + t, at + t + m), slice(at + t + width, at + t + width + m)
+            return image[p + height, b] - image[p + height, a] - image[p, b] + image[p, a]
+
+        both = np.empty((2, len(plan), m), image.dtype)
+        for k, (kind, p, height, width) in enumerate(plan):
+            h, w = max(1, height // 2), width // 2
+            if kind == 0:  # low against high pitches
+                both[:, k] = area(0, p, width, h), area(0, p + h, width, h)
+            elif kind == 1:  # early against late frames
+                both[:, k] = area(0, p, w, height), area(w, p, w, height)
+            else:  # one diagonal against the other
+                both[:, k] = area(0, p, w, h) + area(w, p + h, w, h), area(w, p, w, h) + area(0, p + h, w, h)
+        np.maximum(both, 0, out=both)
+        logs = LOGS.take(both) if whole and both.max() < len(LOGS) else np.log1p(both)
+        ratio = logs[0] - logs[1]
         level = (ratio > -rules.step).astype(np.uint32) + (ratio > 0) + (ratio > rules.step)
-        out = (out << np.uint32(2)) | (level ^ (level >> 1)).astype(np.uint32)  # Gray code: neighbours differ in one bit
+        level ^= level >> np.uint32(1)  # Gray code: neighbours differ in one bit
+        level <<= (2 * np.arange(len(plan) - 1, -1, -1, dtype=np.uint32))[:, None]
+        out[lo : lo + m] = np.bitwise_or.reduce(level, axis=0)
     return out
 
 
@@ -259,9 +275,13 @@ def _classes(keyed: DataFrame, sound: Callable[..., np.ndarray], rules: ChromaRu
 
     marked = cut(keyed.withColumn("m", marks("payload")).select("doc_id", "text_key", "m.bands", "m.sketch", "m.mass", "m.n_frames"))
 
+    @F.pandas_udf("binary")
+    def heard_codes(texts: pd.Series) -> pd.Series:
+        return pd.Series([codes(sound(t), rules).tobytes() for t in texts], dtype=object)
+
     def links():
-        def compare(texts: list, left: int) -> list[tuple[int, int]]:
-            own = [codes(sound(t), rules) for t in texts]
+        def compare(prints: list, left: int) -> list[tuple[int, int]]:
+            own = [np.frombuffer(x, np.uint32) for x in prints]
             sets = [items(x) for x in own]
 
             def enough(common: np.ndarray, size: int, sizes: np.ndarray) -> np.ndarray:
@@ -271,6 +291,6 @@ def _classes(keyed: DataFrame, sound: Callable[..., np.ndarray], rules: ChromaRu
 
         return compare
 
-    found = classes(keyed, marked.select("doc_id", "text_key", "bands", "sketch", "mass"), links, rules.block_codes, rules.agreement, many_bands=True)
+    found = classes(keyed, marked.select("doc_id", "text_key", "bands", "sketch", "mass"), links, rules.block_codes, rules.agreement, many_bands=True, prepared=heard_codes)
     sizes = marked.groupBy("text_key").agg(F.max("n_frames").alias("n_frames"), F.max("mass").alias("n_codes")).withColumnRenamed("text_key", "size_key")
     return found.join(sizes, found["text_key"] == sizes["size_key"]).select("doc_id", "n_frames", "n_codes", "class_id")

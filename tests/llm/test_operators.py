@@ -480,6 +480,38 @@ def test_a_strangers_bucket_parts_no_pair(spark):
         assert 1 < len(set(want)) < 60
 
 
+def test_chains_of_strangers_cost_their_pairs(spark):
+    # One cluster: each recording's sketch agrees with its neighbours' alone; every tenth matches the one after the next too.
+    n, share, r = 200, 0.25, np.random.default_rng(5)
+    values = r.integers(0, 256, (n + 4, 20), dtype=np.uint8)
+    sketches = [values[i : i + 4].tobytes() for i in range(n)]  # 80 slots, moved by 20 for each neighbour
+    sketches = [b"".join(x[20 * ((k - i) % 4) : 20 * ((k - i) % 4) + 20] for k in range(4)) for i, x in enumerate(sketches)]
+    own = np.array([np.frombuffer(x, np.uint8) for x in sketches])
+    agree = (own[:, None] == own).mean(axis=2) >= share
+    block = r.integers(0, 9, n)
+    for first in (0, 70):
+        got = blocks.agreeing_blocks(own, block, first, share)
+        assert len(got) == len(set(got)) and set(got) == {(i, block[j]) for i in range(n) for j in range(n) if i != j and agree[i, j] and (not first or (i < first) != (j < first))}
+    assert blocks.agreeing_blocks(own[:1], block[:1], 0, share) == []
+
+    rows = [(i, str(i - 2 if i % 10 == 2 else i)) for i in range(n)]
+    keys = [i.to_bytes(4, "big") for i in range(n)]
+    keyed = spark.createDataFrame([(i, keys[i], p) for i, p in rows], "doc_id long, text_key binary, payload string")
+    marked = spark.createDataFrame([(i, keys[i], [i, i + 1, i + 2, i + 3], sketches[i], 10) for i in range(n)], "doc_id long, text_key binary, bands array<long>, sketch binary, mass long")
+    compared = spark.sparkContext.accumulator(0)
+
+    def links():
+        def compare(texts, left):
+            compared.add(len(texts))
+            return [(i, j) for i in range(left or len(texts)) for j in range(left or i + 1, len(texts)) if texts[i] == texts[j]]
+
+        return compare
+
+    got = {x.doc_id: x.class_id for x in blocks.classes(keyed, marked, links, 20, share, prepared=lambda c: F.concat(F.lit("p"), c)).collect()}
+    assert got == {i: int(p) for i, p in rows}
+    assert agree[0, 2] and 0 < compared.value < 8 * n  # all blocks with all: 100 * n
+
+
 # 6 Line runs
 
 
