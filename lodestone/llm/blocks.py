@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 from .graph import components
 
 
@@ -221,6 +221,9 @@ def classes(keyed: DataFrame, marked: DataFrame, links: Callable[[], Callable[[l
     hubs = spread.groupBy("band").agg(F.min("text_id").alias("hub"), F.max("text_id").alias("other"), F.count(F.lit(1)).alias("size")).where("hub <> other").select(F.col("band").alias("hub_band"), "hub", "size")
     star = spread.join(hubs, spread["band"] == hubs["hub_band"]).where("text_id <> hub").select("band", "size", F.col("text_id").alias("a"), F.col("hub").alias("b"))
     clusters = components(star.select("a", "b").distinct() if agreement is None else agreeing(cut(star), marked, agreement))
+    # The bands' shuffle is the largest one; it need not lie beside that of the payloads.
+    del spread, hubs, star
+    release(marked.sparkSession)
 
     # One row per text of a cluster, with the row of documents that stands for it.
     texts = marked.groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.max("mass").alias("mass"))

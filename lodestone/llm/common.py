@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..storage import cut, shared_folder
+from ..storage import cut, release, shared_folder
 
 #: A word: a run of characters other than the six ASCII blanks. Java and Python read it alike.
 WORD = "[^\\x20\\x09-\\x0D]+"
