@@ -42,6 +42,12 @@ class ChromaRules:
     block_codes: int = 1 << 14
     seed: int = 23
 
+    def least_share(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """5 standard deviations under the share of items that recordings of so many integers have in common at least if they match; infinite if they cannot."""
+        ratio = np.minimum(one, two) / np.maximum(np.maximum(one, two), 1)
+        common = self.hits / (1 + np.maximum(ratio, self.hits) - self.hits)
+        return np.where(ratio < self.hits - 1e-9, np.inf, common - 5 * np.sqrt(common * (1 - common) / (self.bands * self.rows)))
+
 
 def pcm_frames(samples: np.ndarray, rate: int, size: int = 4096, hop: int = 1365, low: float = 55.0, high: float = 3520.0) -> np.ndarray:
     """Pitch-class frames of mono samples: spectra of overlapping windows, folded into the 12 classes from A on."""
@@ -291,6 +297,6 @@ def _classes(keyed: DataFrame, sound: Callable[..., np.ndarray], rules: ChromaRu
 
         return compare
 
-    found = classes(keyed, marked.select("doc_id", "text_key", "bands", "sketch", "mass"), links, rules.block_codes, rules.agreement, many_bands=True, prepared=heard_codes)
+    found = classes(keyed, marked.select("doc_id", "text_key", "bands", "sketch", "mass"), links, rules.block_codes, rules.agreement, many_bands=True, prepared=heard_codes, least_share=rules.least_share)
     sizes = marked.groupBy("text_key").agg(F.max("n_frames").alias("n_frames"), F.max("mass").alias("n_codes")).withColumnRenamed("text_key", "size_key")
     return found.join(sizes, found["text_key"] == sizes["size_key"]).select("doc_id", "n_frames", "n_codes", "class_id")

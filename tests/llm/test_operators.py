@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -512,6 +513,47 @@ def test_chains_of_strangers_cost_their_pairs(spark):
     assert agree[0, 2] and 0 < compared.value < 8 * n  # all blocks with all: 100 * n
 
 
+def test_near_copies_meet_pivots_not_each_other(spark):
+    # One cluster: 200 near copies, whose sketches all agree, and four strangers that agree with them too.
+    n, r = 204, np.random.default_rng(8)
+    base = r.integers(0, 256, 100, dtype=np.uint8)
+    sketches = []
+    for i in range(n):
+        own = base.copy()
+        own[r.choice(100, 20 if i < 200 else 65, replace=False)] = r.integers(0, 256, 20 if i < 200 else 65)
+        sketches.append(own.tobytes())
+    sketches[203] = sketches[200]
+    rows = [(i, "copy" if i < 200 else f"stranger{i % 3}") for i in range(n)]
+    keys = [i.to_bytes(4, "big") for i in range(n)]
+    keyed = spark.createDataFrame([(i, keys[i], p) for i, p in rows], "doc_id long, text_key binary, payload string")
+    marked = spark.createDataFrame([(i, keys[i], [7], sketches[i], 8 + i % 5) for i in range(n)], "doc_id long, text_key binary, bands array<long>, sketch binary, mass long")
+    compared = spark.sparkContext.accumulator(0)
+
+    def links():
+        def compare(texts, left):
+            compared.add(len(texts))
+            return [(i, j) for i in range(left or len(texts)) for j in range(left or i + 1, len(texts)) if texts[i] == texts[j]]
+
+        return compare
+
+    got = {x.doc_id: x.class_id for x in blocks.classes(keyed, marked, links, 20, 0.25, many_bands=True).collect()}
+    assert got == {i: 0 if i < 200 else 200 if i == 203 else i for i in range(n)}
+    assert 0 < compared.value < 20 * n  # all blocks with all: 100 * n
+
+
+def test_sizes_that_cannot_match_are_not_compared():
+    rules, r = chroma.ChromaRules(), np.random.default_rng(9)
+    for one, two in r.integers(1, 400, (2000, 2)):
+        least = math.ceil(rules.hits * max(one, two) - 1e-9)
+        share = rules.least_share(np.array([one]), np.array([two]))[0]
+        assert share == math.inf if least > min(one, two) else share < least / (one + two - least)
+    own, mass, block = r.integers(0, 3, (80, 114), dtype=np.uint8), r.integers(50, 200, 80), r.integers(0, 9, 80)
+    agree = ((own[:, None] == own).mean(axis=2) >= 0.3) & ((own[:, None] == own).mean(axis=2) >= rules.least_share(mass[:, None], mass))
+    for first in (0, 30):
+        got = blocks.agreeing_blocks(own, block, first, 0.3, mass, rules.least_share)
+        assert set(got) == {(i, block[j]) for i in range(80) for j in range(80) if i != j and agree[i, j] and (not first or (i < first) != (j < first))}
+
+
 # 6 Line runs
 
 
