@@ -244,6 +244,8 @@ def settled(held: DataFrame, sounded: DataFrame, verified: Callable, share: floa
         shares = rest.groupBy(F.col("cluster").alias("open_cluster")).agg(F.avg(F.col("end").isNotNull().cast("int")).alias("part")).where(F.col("part") >= SETTLED)
         rest = rest.where("end is null").drop("end")
         open_ = cut(rest.join(shares.select("open_cluster"), rest["cluster"] == F.col("open_cluster"), "left_semi"))
+        del sizes, drawn, pivots, mass, members, links, ends, rest, shares
+        release(held.sparkSession)
     return found
 
 
@@ -387,13 +389,18 @@ def classes(keyed: DataFrame, marked: DataFrame, links: Callable[[], Callable[[l
             else:
                 held = held.withColumn("grouped", F.lit(b""))
             met = meeting(cut(held), agreement, block_mass, least_share).withColumnRenamed("node", "met")
+            release(marked.sparkSession)
             more = sounded.join(met, sounded["node"] == met["met"]).withColumn("with", F.explode("withs"))
             columns = ["cluster", "block", "with", "node", "payload"]
             units = units.select(columns).union(more.select(columns))
     units = units.select("cluster", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "block", "node", "payload")
 
     pairs = units.repartition("cluster", "one", "two").sortWithinPartitions("cluster", "one", "two").mapInPandas(verified, "a binary, b binary")
-    labels = components(cut(pairs if first is None else pairs.union(first)))
+    pairs = cut(pairs if first is None else pairs.union(first))
+    del units, dealt, clusters, mass, members
+    release(marked.sparkSession)
+    labels = components(pairs)
+    release(marked.sparkSession)
 
     # Class ids come from one row a text; both sides of the last join are exchanges, so that Spark can split a large class.
     by_text = texts.select("text_key", "first_id").join(labels, F.col("text_key") == F.col("node"), "left")

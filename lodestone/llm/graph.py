@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -37,3 +37,6 @@ def components(links: DataFrame) -> DataFrame:
         now = cut(moved.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct())
         if now.isEmpty():
             return found
+        # A round writes a file a task many times over, however few its rows.
+        del ends, step, ahead, jump, one, two, moved
+        release(links.sparkSession)
